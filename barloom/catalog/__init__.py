@@ -1,5 +1,5 @@
 """All catalogued queries."""
 
 from barloom import functions  # noqa: F401
-from barloom.catalog import indicators  # noqa: F401
+from barloom.catalog import indicators, patterns  # noqa: F401
 from barloom.catalog.base import QUERIES, SQL  # noqa: F401
