@@ -167,24 +167,29 @@ def compute(
     rows = max(block_rows, back, ahead)
     df = to_blocks(src, back, ahead, block_rows=rows)
 
-    urgent: set[str] = set()
-
-    def mark(names: Iterable[str]):
-        for d in names:
-            f = need.get(d)
-            if f is not None and d not in urgent:
-                urgent.add(d)
-                mark(f.deps)
-
-    mark(d for f in todo if f.kind == "ewm" for d in f.deps)
+    def inputs_of(names: Iterable[str]) -> set[str]:
+        seen: set[str] = set()
+        stack = [n for n in names if n in need]
+        while stack:
+            n = stack.pop()
+            if n not in seen:
+                seen.add(n)
+                stack += [d for d in need[n].deps if d in need]
+        return seen
+
+    # Carried columns first, while the frame is narrow; then what the recursions read; then the rest.
+    carried_first = {f.name for f in todo if f.kind in ("total", "fill")
+                     and not any(need[d].kind == "ewm" for d in inputs_of([f.name]))}
+    for_recursions = inputs_of(d for f in todo if f.kind == "ewm" for d in f.deps)
 
     def ready(f: Feature, also: set[str] = frozenset()) -> bool:
         return all(d in BASE or d.startswith("_i") or d == "_rn" or d in done or d in also for d in f.deps)
 
-    phases = (urgent, None)
-    for allowed in phases:
+    for allowed in (inputs_of(carried_first), for_recursions, {f.name for f in todo}):
         while True:
-            pending = [f for f in todo if f.name not in done and (allowed is None or f.name in urgent)]
+            pending = [f for f in todo if f.name not in done and f.name in allowed]
+            if not pending:
+                break
             batch = [f for f in pending if f.kind == "native" and ready(f)]
             if batch:
                 df = df.withColumns({f.name: f.build() for f in batch})

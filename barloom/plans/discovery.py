@@ -18,6 +18,7 @@ from barloom.functions.registry import REGISTRY
 from barloom.functions.states import STATES, state_long, state_table
 from barloom.operators.blocks import BLOCK_ROWS, SERIES
 from barloom.plans.mtf import contexts, last_bar, mtf_table
+from barloom.session import cut_lineage
 
 RET = "future_return"
 # ---- Fixed values: setups by mode; each lists the signals of the high, trading and low timeframe. ----
@@ -158,7 +159,7 @@ def combinations(bars: DataFrame, signals: Sequence[str], first: int = 5, least:
         "performance_score", F.col("discovered_accuracy") * (1 + k * 0.05))
 
 
-def triples(aligned: DataFrame, signals: Sequence[str], mode: str) -> DataFrame:
+def triples(aligned: DataFrame, signals: Sequence[str], mode: str, min_win: float = 0.51) -> DataFrame:
     """Modes A (all three agree), B (two of three) and C (weighted score) over all signal triples."""
     cols = [f"{p}_state_{s}" for p in "htl" for s in signals]
     vectors = aligned.groupBy("pair", *cols).agg(
@@ -192,7 +193,7 @@ def triples(aligned: DataFrame, signals: Sequence[str], mode: str) -> DataFrame:
     acc = F.col("_w") / F.col("sample_size")
     least = {"a": F.lit(10), "b": F.when(F.col("direction") == "bullish", 10).otherwise(25), "c": F.lit(12)}[mode]
     score = {"a": F.lit(1.0), "b": F.lit(0.9), "c": 1 + F.col("threshold") / 10 if mode == "c" else None}[mode]
-    return agg.withColumn("discovered_accuracy", acc).where((F.col("sample_size") > least) & (acc > 0.51)).withColumn(
+    return agg.withColumn("discovered_accuracy", acc).where((F.col("sample_size") > least) & (acc > min_win)).withColumn(
         "performance_score", F.col("discovered_accuracy") * score).drop("_w")
 
 
@@ -256,7 +257,7 @@ def _keep(df: DataFrame, min_n: int, min_win: float, strict: bool, score: Column
     return df.where(ok).withColumn("performance_score", a * score)
 
 
-def multi_signal(aligned: DataFrame) -> DataFrame:
+def multi_signal(aligned: DataFrame, min_n: int = 10, min_win: float = 0.51) -> DataFrame:
     """Mode D: enough of the listed signals agree on each timeframe; a mild RSI also counts."""
     setups, levels = [], []
     for name, (need, *parts) in MULTI_SIGNAL.items():
@@ -277,14 +278,15 @@ def multi_signal(aligned: DataFrame) -> DataFrame:
     agg = x.groupBy("pair", "s.setup", "s.direction").agg(
         F.count(F.lit(1)).alias("sample_size"), F.avg(hits(F.col("s.direction")).cast("int")).alias("discovered_accuracy"),
         F.avg("s.c").alias("avg_confluence"))
-    return _keep(agg, 10, 0.51, True, 1 + F.col("avg_confluence") / 10)
+    return _keep(agg, min_n, min_win, True, 1 + F.col("avg_confluence") / 10)
 
 
-def plain_setups(aligned: DataFrame, mode: str) -> DataFrame:
+def plain_setups(aligned: DataFrame, mode: str, least: tuple[int, float] | None = None) -> DataFrame:
     """Modes E, F and G: every listed signal agrees."""
     table, min_n, min_win, strict, bonus = {
         "e": (HYBRID, 8, 0.51, True, 1.1), "f": (BREAKOUT, 5, 0.50, False, 1.2), "g": (DIVERGENCE, 5, 0.50, False, 1.15)}[mode]
     setups = [(n, side_of(n), all_of(p, side_of(n))) for n, p in table.items()]
+    min_n, min_win = least or (min_n, min_win)
     return _keep(evaluate(aligned, setups), min_n, min_win, strict, F.lit(bonus))
 
 
@@ -426,7 +428,7 @@ def all_modes(bars: DataFrame, timeframes: tuple[str, str, str], group: str = "G
         s, r = signals_of(m)
         states += s
         raw += r
-    aligned = mtf_table(bars, timeframes, list(dict.fromkeys(states)), list(dict.fromkeys(raw)), block_rows=block_rows)
+    aligned = cut_lineage(mtf_table(bars, timeframes, list(dict.fromkeys(states)), list(dict.fromkeys(raw)), block_rows=block_rows))
     ctx = contexts(bars, timeframes, block_rows=block_rows)
     parts = {"d": multi_signal(aligned), "e": plain_setups(aligned, "e"), "f": plain_setups(aligned, "f"), "g": plain_setups(aligned, "g"),
              "k": adaptive(aligned, ctx), "l": structure_aligned(aligned, ctx), "m": volatility_adaptive(aligned, ctx),

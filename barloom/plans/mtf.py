@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions.states import state_table
 from barloom.operators.asof import asof_join
 from barloom.operators.blocks import BLOCK_ROWS, TIMEFRAME_SECONDS
+from barloom.session import cut_lineage
 
 # The timeframe triples (high, trading, low).
 GROUPS = {"Group_1": ("15m", "5m", "1m"), "Group_2": ("1h", "15m", "5m"), "Group_3": ("4h", "1h", "15m")}
@@ -46,17 +47,17 @@ def mtf_table(
     htf, ttf, ltf = timeframes
     cols = [*[f"state_{s}" for s in signals], *extra]
 
-    def one(tf: str, with_label: bool) -> DataFrame:
-        more = [*extra, *([label] if with_label and label else [])]
-        return state_table(bars.where(F.col("timeframe") == tf), signals, block_rows, more)
+    # The states of all three timeframes are one table, written once and read three times.
+    wide = state_table(bars.where(F.col("timeframe").isin(*timeframes)), signals, block_rows, [*extra, *([label] if label else [])])
+    states = cut_lineage(wide.select("pair", "timeframe", "ts", "close", *cols, *([label] if label else [])))
 
-    low = one(ltf, True)
+    low = states.where(F.col("timeframe") == ltf)
     keep = [F.col("pair"), F.col("timeframe"), F.col("ts"), F.col("close"), *[F.col(c).alias(f"l_{c}") for c in cols]]
     if label:
         keep.append(F.col(label).alias("future_return"))
     out = low.select(*keep)
     for tf, p in ((ttf, "t_"), (htf, "h_")):
-        side = one(tf, False).select("pair", "timeframe", "ts", "close", *cols)
+        side = states.where(F.col("timeframe") == tf).select("pair", "timeframe", "ts", "close", *cols)
         out = align(out, side, tf, ltf, p, at)
     return out
 
