@@ -15,6 +15,7 @@ from barloom.functions.frames import lag, rstd
 from barloom.functions.registry import compute, native
 from barloom.operators.blocks import BLOCK_ROWS, SERIES, span
 from barloom.operators.scan import block_scan
+from barloom.session import cut_lineage
 
 MIN_BARS, MAX_BARS, VOL_JUMP, ROTATE = 24, 168, 0.25, 10
 
@@ -234,7 +235,8 @@ def instance_features(with_peaks: bool = False) -> list[str]:
 
 def discover_instances(bars: DataFrame, min_bars: int = MIN_BARS, max_bars: int = MAX_BARS, with_peaks: bool = False,
                        block_rows: int = BLOCK_ROWS) -> DataFrame:
-    feats = compute(bars, instance_features(with_peaks), block_rows)
+    # Read twice, by the cut pass (one flag per bar) and by the description.
+    feats = cut_lineage(compute(bars, instance_features(with_peaks), block_rows))
     return describe(segments(feats, min_bars, max_bars, block_rows), with_peaks)
 
 
