@@ -201,9 +201,9 @@ query("sa14_indicator_combinations", IND + ", ci AS (SELECT pair, timeframe, seg
       " kk AS (SELECT * FROM k1 UNION ALL SELECT * FROM k2 UNION ALL SELECT * FROM k3), gg AS (SELECT combo, count(*) AS n, avg(r1) AS a1, avg(r3) AS a3, avg(CASE WHEN r1 > 0 THEN 1.0 ELSE 0.0 END) AS wr FROM kk JOIN inst USING (pair, timeframe, seg_start) GROUP BY 1)"
       " SELECT combo, n, round(a1, 6) AS avg_1d, round(a3, 6) AS avg_3d, round(wr, 6) AS win_rate FROM gg WHERE n >= 20 ORDER BY a3 DESC, combo LIMIT 20")(
     lambda spark, sf: rounded(S.indicator_combinations(found(spark, sf))))
-query("sa15_correlation_direction", IND + ", x AS (SELECT indicator_name, mean, structure FROM st1 JOIN inst USING (pair, timeframe, seg_start) WHERE mean IS NOT NULL), r AS (SELECT DISTINCT indicator_name, structure FROM x),"
-      " c AS (SELECT r.indicator_name, r.structure, corr(x.mean, CASE WHEN x.structure = r.structure THEN 1.0 ELSE 0.0 END) AS c FROM r JOIN x USING (indicator_name) GROUP BY r.indicator_name, r.structure)"
-      " SELECT indicator_name, structure AS dominant_structure, round(c, 5) AS correlation, CASE WHEN c > 0 THEN 'HIGH' ELSE 'LOW' END AS direction FROM c")(
+query("sa15_correlation_direction", IND + ", xx AS (SELECT indicator_name, mean, structure FROM st1 JOIN inst USING (pair, timeframe, seg_start) WHERE mean IS NOT NULL), rr AS (SELECT DISTINCT indicator_name, structure FROM xx),"
+      " cc AS (SELECT rr.indicator_name, rr.structure, corr(xx.mean, CASE WHEN xx.structure = rr.structure THEN 1.0 ELSE 0.0 END) AS c FROM rr JOIN xx USING (indicator_name) GROUP BY rr.indicator_name, rr.structure)"
+      " SELECT indicator_name, structure AS dominant_structure, round(c, 5) AS correlation, CASE WHEN c > 0 THEN 'HIGH' ELSE 'LOW' END AS direction FROM cc")(
     lambda spark, sf: rounded((lambda t: S.correlation_direction(t["instances"], t["regime_confirming_indicators"]))(tables(spark, sf)), 5))
 
 

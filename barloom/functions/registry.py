@@ -92,7 +92,7 @@ def closure(wanted: Iterable[str]) -> dict[str, Feature]:
     need: dict[str, Feature] = {}
 
     def visit(name: str):
-        if name in BASE or name.startswith("_i") or name == "_rn" or name in need:
+        if name in BASE or name in ("_i", "_rn") or name in need:
             return
         f = REGISTRY[name]
         for d in f.deps:
@@ -183,7 +183,7 @@ def compute(
     for_recursions = inputs_of(d for f in todo if f.kind == "ewm" for d in f.deps)
 
     def ready(f: Feature, also: set[str] = frozenset()) -> bool:
-        return all(d in BASE or d.startswith("_i") or d == "_rn" or d in done or d in also for d in f.deps)
+        return all(d in BASE or d in ("_i", "_rn") or d in done or d in also for d in f.deps)
 
     for allowed in (inputs_of(carried_first), for_recursions, {f.name for f in todo}):
         while True:
