@@ -41,3 +41,6 @@ native("sideways", ["high", "low", "close", "atr_percent_simple"],
        back=20, group=G)
 native("atr_percent_simple", ["tr", "close"],
        lambda: F.when(F.count("tr").over(trailing(14)) == 14, div(F.avg("tr").over(trailing(14)), "close") * 100), back=14, group=G)
+native("_bar_range", ["high", "low"], lambda: F.col("high") - F.col("low"))
+native("avg_range14", ["_bar_range"],
+       lambda: F.when(F.count("_bar_range").over(trailing(14)) == 14, F.avg("_bar_range").over(trailing(14))), back=14, group=G)
