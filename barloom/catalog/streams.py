@@ -36,8 +36,8 @@ def bar_files(spark, sf):
     return spark.readStream.schema(BAR_SCHEMA).parquet(f"{root}/bars")
 
 
-query("str4_rule_signals", f"WITH {B}, {step('q', {'m': roll('avg', 'close', 50, True)})} SELECT pair, timeframe, ts, round(close, 6) AS close, round(m, 6) AS mean, CASE WHEN close > m THEN 'BULLISH' WHEN close < m THEN 'BEARISH' ELSE 'NEUTRAL' END AS signal FROM q")(
-    lambda spark, sf: rounded(drained(spark, T.stream_signals(bar_files(spark, sf)))))
+query("str4_rule_signals", f"WITH {B}, {step('q', {'m': roll('avg', 'close', 50, True)})} SELECT pair, timeframe, ts, round(close, 6) AS close, round(m + 1e-9, 6) AS mean, CASE WHEN close > m THEN 'BULLISH' WHEN close < m THEN 'BEARISH' ELSE 'NEUTRAL' END AS signal FROM q")(
+    lambda spark, sf: rounded(drained(spark, T.stream_signals(bar_files(spark, sf))).withColumn("mean", F.col("mean") + 1e-9)))
 query("str5_stop_monitor")(lambda spark, sf: rounded(drained(spark, T.stream_stops(bar_files(spark, sf)))))
 query("str6_segments")(lambda spark, sf: drained(spark, T.stream_segments(bar_files(spark, sf))))
 

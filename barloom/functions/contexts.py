@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.frames import div
 from barloom.functions.registry import native
-from barloom.operators.blocks import trailing
+from barloom.operators.blocks import span, trailing
 
 G = "context"
 
@@ -44,3 +44,32 @@ native("atr_percent_simple", ["tr", "close"],
 native("_bar_range", ["high", "low"], lambda: F.col("high") - F.col("low"))
 native("avg_range14", ["_bar_range"],
        lambda: F.when(F.count("_bar_range").over(trailing(14)) == 14, F.avg("_bar_range").over(trailing(14))), back=14, group=G)
+_VOL = {"high_volatility": "high_vol", "low_volatility": "low_vol", "normal_volatility": "normal_vol"}
+
+
+def _bar_regime():
+    vol = F.lit("normal_vol")
+    for k, v in _VOL.items():
+        vol = F.when(F.col("volatility_class") == k, v).otherwise(vol)
+    return F.when(F.col("adx") > 25, F.concat(F.lit("strong_trend_"), vol)).when(F.col("adx") > 18, "weak_trend").when(
+        F.col("is_transition"), F.concat(F.lit("transition_"), vol)).otherwise(F.concat(F.lit("ranging_"), vol))
+
+
+native("bar_regime", ["adx", "volatility_class", "is_transition"], _bar_regime, group=G)
+
+# Window features of the last 33 bars: Parkinson volatility and the slope of the scaled closes.
+WINDOW = 33
+native("_hl_log2", ["high", "low"], lambda: F.pow(F.ln(div("high", "low")), 2))
+native("parkinson_vol", ["_hl_log2"],
+       lambda: F.when(F.count("_hl_log2").over(trailing(WINDOW)) == WINDOW,
+                      F.sqrt(F.avg("_hl_log2").over(trailing(WINDOW)) / F.lit(2.772588722239781)) * 100), back=WINDOW, group=G)
+native("_quartiles33", ["close"], lambda: F.percentile("close", F.array(F.lit(0.25), F.lit(0.75))).over(trailing(WINDOW)), back=WINDOW)
+native("robust_slope", ["close", "_quartiles33"],
+       lambda: F.when(F.count("close").over(trailing(WINDOW)) == WINDOW,
+                      div(F.regr_slope("close", F.col("_i").cast("double")).over(trailing(WINDOW)),
+                          F.col("_quartiles33")[1] - F.col("_quartiles33")[0]) * 100), back=WINDOW, group=G)
+native("log_slope", ["close"],
+       lambda: F.when(F.count("close").over(trailing(WINDOW)) == WINDOW,
+                      F.regr_slope(F.ln("close"), F.col("_i").cast("double")).over(trailing(WINDOW)) * 100), back=WINDOW, group=G)
+native("_slope10", ["close"], lambda: F.regr_slope("close", F.col("_i").cast("double")).over(span(-5, 4)), back=5, ahead=4)
+native("_gradient10", ["_pct_diff"], lambda: F.avg("_pct_diff").over(span(-5, 4)), back=5, ahead=4)

@@ -42,7 +42,9 @@ def _bucket(df: DataFrame, keys: Sequence[str], order: str, bucket_rows: int) ->
     return F.floor(F.col(order) / F.lit(bucket_rows))
 
 
-def number_rows(df: DataFrame, keys: Sequence[str] = SERIES, order: str = "ts", bucket_rows: int = 4096) -> DataFrame:
+def number_rows(
+    df: DataFrame, keys: Sequence[str] = SERIES, order: str = "ts", bucket_rows: int = 4096, ties: Sequence[str] = ()
+) -> DataFrame:
     """Row number of each row in its series without sorting a whole series in one task.
 
     Rows are numbered inside coarse time slots; the slot counts (a table smaller by the slot size) are
@@ -53,7 +55,7 @@ def number_rows(df: DataFrame, keys: Sequence[str] = SERIES, order: str = "ts",
     counts = slotted.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*keys, "_slot").orderBy(order)
+    inside = Window.partitionBy(*keys, "_slot").orderBy(order, *ties)
     return (
         slotted.withColumn("_rn", F.row_number().over(inside))
         .join(offsets, [*keys, "_slot"])
@@ -130,8 +132,10 @@ def carry(
     sums, lasts = dict(sums or {}), dict(lasts or {})
     in_back_halo = F.col("_i") <= 0
     seen = F.col("_core") & (F.col("_i") <= block_rows - back // 2)
+    # Fills count an event in the nearer half of the halo here and in the prefix otherwise, so rows at the
+    # very start of a frame, whose own look-back is cut short, decide nothing.
     src = df
-    for name, expr in {**sums, **lasts}.items():
+    for name, expr in {**sums, **{n: F.when(F.col("_i") > -(back // 2), e) for n, e in lasts.items()}}.items():
         src = src.withColumn(f"_x_{name}", expr)
 
     aggs = []
