@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.catalog.base import KEYS, bars, prev, query, roll, rounded
+from barloom.catalog.base import KEYS, bars, query, roll, rounded
 from barloom.catalog.discovery import MTF, aligned
-from barloom.catalog.indicators import ATRJ, B, RSI, step
+from barloom.catalog.indicators import ATRJ, B, step
 from barloom.catalog.patterns import PIV
 from barloom.functions.registry import compute
 from barloom.functions.states import state_table
-from barloom.operators.blocks import core_rows
 from barloom.plans import backtest as BT
 from barloom.plans import reports as R
 from barloom.plans import risk as RK
@@ -145,4 +144,3 @@ query("rep6_robust_rank")(lambda spark, sf: rounded(R.robust_rank(pool(spark, sf
 query("sa17_wilson_interval", POOL + ", z AS (SELECT *, 1.959963984540054::DOUBLE AS z FROM g) SELECT pair, setup, round(((wr + z * z / (2 * n)) - z * sqrt(wr * (1 - wr) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS low,"
       " round(((wr + z * z / (2 * n)) + z * sqrt(wr * (1 - wr) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS high FROM z")(
     lambda spark, sf: rounded(pool(spark, sf).select("pair", "setup", *[c.alias(n) for n, c in zip(("low", "high"), R.wilson(F.col("w").cast("double"), F.col("n").cast("double")))])))
-del RSI, prev, core_rows

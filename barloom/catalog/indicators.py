@@ -102,7 +102,15 @@ closed("tr4_ichimoku", {"ichimoku_conversion": "c", "ichimoku_base": "b",
        [f"i AS (SELECT *, (({roll('max', 'high', 9)}) + ({roll('min', 'low', 9)})) / 2 AS c,"
         f" (({roll('max', 'high', 26)}) + ({roll('min', 'low', 26)})) / 2 AS b,"
         f" (({roll('max', 'high', 52)}) + ({roll('min', 'low', 52)})) / 2 AS d FROM bars)"], "i")
-feature_query("tr5_psar", ["psar"])
+PSAR = """w AS (SELECT *, row_number() OVER (PARTITION BY pair, timeframe ORDER BY ts) AS rn FROM bars),
+  p AS (SELECT pair, timeframe, ts, rn, close AS sar, true AS up, 0.02::DOUBLE AS acc, high AS ext, low AS l1, NULL::DOUBLE AS l2, high AS h1, NULL::DOUBLE AS h2 FROM w WHERE rn = 1
+    UNION ALL SELECT n.pair, n.timeframe, n.ts, n.rn, CASE WHEN u2 THEN least(s2, p.l1, p.l2) ELSE greatest(s2, p.h1, p.h2) END, u2,
+      CASE WHEN rev THEN 0.02::DOUBLE WHEN e2 <> p.ext THEN least(p.acc + 0.02::DOUBLE, 0.2::DOUBLE) ELSE p.acc END, e2, n.low, p.l1, n.high, p.h1
+    FROM p JOIN w n ON n.pair = p.pair AND n.timeframe = p.timeframe AND n.rn = p.rn + 1,
+      LATERAL (SELECT p.sar + p.acc * (p.ext - p.sar) AS s1) a, LATERAL (SELECT CASE WHEN p.up THEN n.low < s1 ELSE n.high > s1 END AS rev) b,
+      LATERAL (SELECT CASE WHEN rev THEN p.ext ELSE s1 END AS s2, CASE WHEN rev THEN NOT p.up ELSE p.up END AS u2,
+        CASE WHEN rev THEN CASE WHEN p.up THEN n.low ELSE n.high END WHEN p.up THEN greatest(p.ext, n.high) ELSE least(p.ext, n.low) END AS e2) c)"""
+feature_query("tr5_psar", ["psar"], f"WITH RECURSIVE {B}, {PSAR} SELECT pair, timeframe, ts, round(sar, 6) AS psar FROM p")
 TRIX = [ewm_cte("e1", "bars", "close", [ema_spec("a1", 15)]), ewm_cte("e2", "e1", "a1", [ema_spec("a2", 15)]),
         ewm_cte("e3", "e2", "a2", [ema_spec("a3", 15)]),
         "t AS (SELECT bars.*, a3 FROM bars LEFT JOIN e3 USING (pair, timeframe, ts))", step("u", {"trix": f"{roc('a3', 1)} * 100"}, "t")]

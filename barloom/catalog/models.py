@@ -6,8 +6,8 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from barloom.catalog.base import KEYS, bars, query, roll, rounded
-from barloom.catalog.indicators import B, SW, step
+from barloom.catalog.base import KEYS, bars, query, rounded
+from barloom.catalog.indicators import B, SW
 from barloom.functions.registry import compute
 from barloom.plans import discovery as D
 from barloom.plans import exports as X
@@ -81,7 +81,11 @@ def regime_aligned(spark, sf, mode):
 
 query("dsc13_mode_j")(lambda spark, sf: rounded(D.regime_optimised(regime_aligned(spark, sf, "j"), "l_bar_regime")))
 query("dsc19_confluence")(lambda spark, sf: rounded(D.confluence(regime_aligned(spark, sf, "confluence"), "l_bar_regime")))
-query("lb2_swing_labels")(lambda spark, sf: _labels(spark, sf))
+AROUND = "OVER (PARTITION BY pair, timeframe ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)"
+query("lb2_swing_labels", f"WITH {B}, x AS (SELECT *, CASE WHEN high = max(high) {AROUND} THEN high WHEN low = min(low) {AROUND} THEN low END AS p FROM bars),"
+      " v AS (SELECT pair, timeframe, ts, p, lead(p) OVER (PARTITION BY pair, timeframe ORDER BY ts) AS n FROM x WHERE p IS NOT NULL),"
+      " l AS (SELECT pair, timeframe, ts, CASE WHEN (n - p) / nullif(p, 0) >= 0.02::DOUBLE THEN 2 WHEN (n - p) / nullif(p, 0) <= -0.02::DOUBLE THEN 1 ELSE 0 END AS r FROM v)"
+      " SELECT b.pair, b.timeframe, b.ts, coalesce(l.r, 0) AS regime FROM bars b ASOF LEFT JOIN l ON b.pair = l.pair AND b.ts >= l.ts")(lambda spark, sf: _labels(spark, sf))
 
 
 def _labels(spark, sf):
@@ -92,4 +96,3 @@ def _labels(spark, sf):
 
 query("exp1_9_bundle")(lambda spark, sf: X.write_bundle(bars(spark, sf), tempfile.mkdtemp(prefix="barloom-export-")))
 query("exp8_instance_summary")(lambda spark, sf: rounded(X.instance_summary(compute(bars(spark, sf), ["bar_regime", "_pct1"]))))
-del roll, step

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.catalog.base import (
-    KEYS, bars, bars_cte, ema_spec, ewm_cte, features, frame, prev, query, roll, rounded, sql_flags, sql_select,
+    KEYS, bars, bars_cte, ema_spec, ewm_cte, frame, prev, query, roll, rounded, sql_flags, sql_select,
 )
 from barloom.catalog.indicators import (
-    ADX, B, BB, CLV, CUM, DC, E1226, ET, FIBSQL, GL, MACD, MFI, OBV, RSI, STOCH, SWALL, TR, VORTEX, feature_query, fl, lastv, roc, step,
+    ADX, B, BB, CLV, CUM, DC, ET, FIBSQL, MACD, MFI, OBV, RSI, STOCH, SWALL, VORTEX, feature_query, fl, lastv, roc, step,
 )
-from barloom.functions.charts import CHARTS, FRAME_PATTERNS, PEAK_PATTERNS, TROUGH_PATTERNS
+from barloom.functions.charts import FRAME_PATTERNS, PEAK_PATTERNS, TROUGH_PATTERNS
 from barloom.functions.registry import compute
 from barloom.functions.states import all_signals, state_table, unmapped_features
 from barloom.plans.price_action import price_structure, structure_score, support_resistance
@@ -110,7 +110,7 @@ PA14[3] = PA14[3].replace("m AS (", "mm AS (", 1)
 PA14[4] = PA14[4].replace("FROM m WHERE", "FROM mm WHERE")
 feature_query("pa14_squeeze_and_extremes", ["bb_squeeze", "rsi_extreme", "momentum_confirmation", "volume_price_mismatch", "volume_below_trend"],
               sql_flags([B, *PA14], {
-                  "bb_squeeze": f"bw < ({roll('avg', 'bw', 20).replace('PARTITION BY pair, timeframe ORDER BY ts', 'PARTITION BY pair, timeframe ORDER BY ts')}) * 0.7::DOUBLE",
+                  "bb_squeeze": f"bw < ({roll('avg', 'bw', 20)}) * 0.7::DOUBLE",
                   "rsi_extreme": "rsi < 30 OR rsi > 70",
                   "momentum_confirmation": "(macd > sig AND macd > 0) OR (macd < sig AND macd < 0)",
                   "volume_price_mismatch": f"count(close) OVER {frame(10)} = 10 AND (close > {prev('close', 9)}) <> (volume > {prev('volume', 9)})",
@@ -267,4 +267,3 @@ feature_query("lb4_excursions", ["max_favorable_excursion_1d", "max_adverse_excu
               sql_select([B], {"max_favorable_excursion_1d": f"(max(high) {over(0, 23)} - close) / nullif(close, 0) * 100",
                                "max_adverse_excursion_1d": f"(min(low) {over(0, 23)} - close) / nullif(close, 0) * 100",
                                **{f"future_return_{h}": f"({ahead(h)} / nullif(close, 0) - 1) * 100" for h in (24, 72, 168)}}))
-del E1226, GL, TR, CHARTS, ewm_cte, features

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.catalog.base import bars, ewm_cte, prev, query, roll, rounded
+from barloom.catalog.base import bars, prev, query, roll, rounded
 from barloom.catalog.indicators import ADX, ATR, B, BB, CUM, MACD, RSI, SW, roc, step
 from barloom.functions.registry import compute
 from barloom.plans import instances as I
@@ -214,4 +214,3 @@ def _drivers(spark, sf):
     return S.drivers(S.causal_suite(fl), S.correlation_direction(t["instances"], t["regime_confirming_indicators"]))
 
 
-del ewm_cte
