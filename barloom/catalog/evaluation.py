@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import functions as F
 
 from barloom.catalog.base import KEYS, bars, query, roll, rounded
@@ -11,6 +13,7 @@ from barloom.catalog.patterns import PIV
 from barloom.functions.registry import compute
 from barloom.functions.states import state_table
 from barloom.plans import backtest as BT
+from barloom.plans import portfolio as PF
 from barloom.plans import reports as R
 from barloom.plans import risk as RK
 
@@ -144,3 +147,40 @@ query("rep6_robust_rank")(lambda spark, sf: rounded(R.robust_rank(pool(spark, sf
 query("sa17_wilson_interval", POOL + ", z AS (SELECT *, 1.959963984540054::DOUBLE AS z FROM g) SELECT pair, setup, round(((wr + z * z / (2 * n)) - z * sqrt(wr * (1 - wr) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS low,"
       " round(((wr + z * z / (2 * n)) + z * sqrt(wr * (1 - wr) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS high FROM z")(
     lambda spark, sf: rounded(pool(spark, sf).select("pair", "setup", *[c.alias(n) for n, c in zip(("low", "high"), R.wilson(F.col("w").cast("double"), F.col("n").cast("double")))])))
+
+
+# ---- portfolio ----
+_TRIO = (f"WITH {B}, {step('q', {'m': roll('avg', 'close', 20), 'c10': 'lag(close, 10) OVER (PARTITION BY pair, timeframe ORDER BY ts)', 'f': RET.replace('{0}', '5')})},"
+         " s AS (SELECT CASE WHEN close > m THEN f WHEN close < m THEN -f END AS sma, CASE WHEN close > c10 THEN f WHEN close < c10 THEN -f END AS roc,"
+         " CASE WHEN close > open THEN f WHEN close < open THEN -f END AS bop FROM q)")
+
+
+def trio(spark, sf):
+    x = state_table(bars(spark, sf), ["sma_20", "roc", "bop"], extra=["future_return_5"])
+    r = F.col("future_return_5")
+    return x.select(*[F.when(F.col(f"state_{s}") != 0, F.col(f"state_{s}") * r).alias(n) for n, s in (("sma", "sma_20"), ("roc", "roc"), ("bop", "bop"))])
+
+
+query("ag12_strategy_correlation", _TRIO + " SELECT 'sma' AS a, 'roc' AS b, round(corr(sma, roc), 6) AS correlation, count(*) FILTER (sma IS NOT NULL AND roc IS NOT NULL) AS n FROM s"
+      " UNION ALL SELECT 'sma', 'bop', round(corr(sma, bop), 6), count(*) FILTER (sma IS NOT NULL AND bop IS NOT NULL) FROM s"
+      " UNION ALL SELECT 'roc', 'bop', round(corr(roc, bop), 6), count(*) FILTER (roc IS NOT NULL AND bop IS NOT NULL) FROM s")(
+    lambda spark, sf: rounded(PF.correlations(trio(spark, sf), ["sma", "roc", "bop"])))
+
+
+@query("ag12_diversified")
+def _diversified(spark, sf):
+    r = trio(spark, sf)
+    scores = r.unpivot([], ["sma", "roc", "bop"], "strategy", "ret").where("ret is not null").groupBy("strategy").agg(F.avg((F.col("ret") > 0).cast("int")).alias("win_rate"))
+    return rounded(PF.diversified(scores, PF.correlations(r, ["sma", "roc", "bop"]), "strategy", "win_rate"))
+
+
+@query("rep8_9_exports")
+def _exports(spark, sf):
+    """The pool as CSV and JSON, counted when read back."""
+    root = tempfile.mkdtemp(prefix="barloom-pool-")
+    p = pool(spark, sf)
+    p.write.option("header", True).csv(f"{root}/csv")
+    p.write.json(f"{root}/json")
+    csv = spark.read.schema(p.schema).option("header", True).csv(f"{root}/csv").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("samples"))
+    js = spark.read.schema(p.schema).json(f"{root}/json").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("samples"))
+    return csv.withColumn("format", F.lit("csv")).unionByName(js.withColumn("format", F.lit("json")))
