@@ -50,7 +50,7 @@ def statistics(column: pa.Array) -> np.ndarray:
     counts = np.zeros((len(n), len(_KINDS)))
     if some.any():
         for k, t in enumerate(_KINDS):
-            counts[some, k] = np.add.reduceat(t[data], bounds[:-1][some] - bounds[0], dtype=np.int64)
+            counts[some, k] = np.add.reduceat(t[data], bounds[:-1][some], dtype=np.int64)
     same = np.concatenate([[False], hashes[1:] == hashes[:-1]]) if len(hashes) else np.zeros(0, bool)
     distinct, repeated, top = (np.zeros(len(n)) for _ in range(3))
     for i, (a, b) in enumerate(zip(words[:-1], words[1:])):
@@ -60,7 +60,7 @@ def statistics(column: pa.Array) -> np.ndarray:
             distinct[i], top[i], repeated[i] = len(edges) - 1, np.diff(edges).max(), same[a + 1: b].sum()
     one, letters = np.maximum(n, 1), np.maximum(size, 1)
     mean = size / one
-    return np.stack([np.log1p(n), np.minimum(mean, 30), np.log(np.maximum(mean, 1)), distinct / one, repeated / one, top / one, np.minimum(counts[:, 0] / one, 3), np.minimum(counts[:, 1] / one, 3),
+    return np.stack([np.log1p(n), np.minimum(mean, 30), np.log(np.maximum(mean, 1)), distinct / one, repeated / one, top / one, np.minimum(counts[:, 0] / one, 0.3), np.minimum(counts[:, 1] / one, 0.3),
                      counts[:, 2] / letters, counts[:, 3] / letters, np.minimum(counts[:, 4] / one, 3), np.minimum(counts[:, 5] / one, 3), np.log1p(n / (counts[:, 6] + 1))], axis=1)
 
 

@@ -53,7 +53,8 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
     _, offsets, data = column.buffers()
     bounds = np.frombuffer(offsets, np.int64)[column.offset: column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
-    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), bounds
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[bounds[0]: bounds[-1]], bounds - bounds[0]
 
 
 def blocks(data: np.ndarray, bounds: np.ndarray, stop: np.ndarray) -> Iterator[tuple[int, int]]:
