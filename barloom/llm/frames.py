@@ -53,18 +53,16 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     Alternating large-star and small-star rounds: each node sees only the smallest of its neighbours, found by a pre-aggregated
     minimum, so a node with a third of all links is an aggregate and a join that Spark can split, never a collected list.
     """
-    e = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), name)
-    mark = None
+    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     while True:
+        e = saved(e, name)
+        # done once no smaller end of a link is the larger end of another one
+        if e.select("b").distinct().join(e.select(F.col("a").alias("b")), "b", "left_semi").isEmpty() and e.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+            break
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(
-            low.filter("m <> a").select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.filter("m <> a").select("a", F.col("m").alias("b")))
+        large = saved(large.filter("a <> b").distinct(), name)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        e = saved(small.filter("a <> b").distinct(), name)
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if now == mark:
-            break
-        mark = now
+        e = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -10,9 +10,11 @@ the count is exact), so if each set leaves out its ``bound - 1`` most frequent v
 that very many documents share are left out that way without a cap. With z = 6 a pair at exactly t is missed with a chance near
 1e-9, and one above it more rarely.
 
-Lists are worked in rounds. In a star round one member of each list, chosen anew by hash, is compared with the members of other
-components; links join components, and a list of one component is done. When few enough pairs between components are left (or no
-round helps), they are all compared, so no link between components is left out and no list is expanded into all its pairs.
+A list of at most ``short`` members is compared in full. Members of longer lists get lists anew, from all hashes of their exact sets:
+of similar sets each may leave out its ``ceil(t * n) - 1`` most frequent hashes, so a passage drops out up to three quarters of a set.
+In a round on these lists a few members of each, chosen by hash, are compared with the members of other components; links join
+components, and a list of one component is done. When few pairs between components are left (or ``rounds`` are over), they are all
+compared, so no link between components is left out and no group of copies is expanded into all its pairs.
 
 Defined results: empty and null texts link with nothing (n_shingles 0); so do rows with a null doc_id, whose component is null and
 which are kept; rows that repeat a doc_id are judged by their own texts; an empty table gives an empty result.
@@ -78,7 +80,17 @@ def needed(n: Column, k: int, t: float, z: float) -> Column:
     return F.greatest(F.lit(1), F.least(bound(n), bound(n / t))).cast("int")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 75, shingle: int = 5, k: int = 96, z: float = 6.0, star_rounds: int = 12) -> DataFrame:
+def _rarest(rows: DataFrame, total: Column, need: Column) -> DataFrame:
+    """(v, r, n, s) of the hashes that a set must put into lists: all but its need - 1 most frequent ones. Hashes of one set come first; s is
+    how many of the hashes given more than one set has."""
+    often = rows.groupBy("v").agg(F.count("*").alias("c")).filter("c > 1")
+    # the window groups are single documents
+    ranked = rows.join(often, "v").withColumns({"x": F.expr("row_number() over (partition by r order by c, v)"), "shared": F.expr("count(*) over (partition by r)")})
+    return ranked.filter(F.col("x") <= total - need + 1 - (total - F.col("shared"))).select("v", "r", "n", F.col("shared").alias("s"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 75, shingle: int = 5, k: int = 64, z: float = 6.0,
+                    short: int = 32, hubs: int = 4, rounds: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: sets with 100 * intersection >= percent * union are linked."""
     small_batches(docs.sparkSession)
     t = percent / 100
@@ -87,58 +99,63 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     reps = sigs.filter(there).groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     reps = saved(reps.withColumn("r", F.monotonically_increasing_id()), "sets")
 
-    values = reps.select("r", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
-    often = values.groupBy("v").agg(F.count("*").alias("c")).filter("c > 1")
-    # the rarest values of a set come first: those it holds alone, then these by count; window groups have k rows at most
-    ranked = values.join(often, "v").withColumns({
-        "x": F.expr("row_number() over (partition by r order by c, v)"), "shared": F.expr("count(*) over (partition by r)")})
-    lists = saved(ranked.filter(F.col("x") <= F.col("m") - needed(F.col("n"), k, t, z) + 1 - (F.col("m") - F.col("shared"))).select("v", "r", "n"), "lists")
+    lists = _rarest(reps.select("r", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("v")), F.col("m"), needed(F.col("n"), k, t, z))
+    lists = saved(lists.withColumn("s", F.col("n")), "lists")
+    lists = saved(lists.join(lists.groupBy("v").agg(F.count("*").alias("q")).filter("q > 1"), "v"), "lists")
 
-    chosen = lists.select("r").distinct().join(reps, "r").select("r", "node", F.col("low").alias("__low"))
+    chosen = lists.groupBy("r").agg(F.max("q").alias("q")).join(reps, "r").select("r", "q", "n", "sketch", "node", F.col("low").alias("__low"))
     texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(chosen.select("__low").distinct(), F.col("__id") == F.col("__low"), "left_semi")
-    hashes = full_sets(texts, shingle).join(chosen.select("r", "node"), "node").dropDuplicates(["r"])
-    hashes = saved(hashes.join(reps.select("r", "n", "sketch"), "r").select("r", "n", "hashes", "sketch"), "hashes")
+    sets = saved(full_sets(texts, shingle).join(chosen, "node").dropDuplicates(["r"]).select("r", "n", "q", "hashes", "sketch"), "hashes")
+    crowd = sets.filter(F.col("q") > short).select("r", "n", F.explode("hashes").alias("v"))
+    long = saved(_rarest(crowd, F.col("n"), F.ceil(F.lit(t) * F.col("n") - 1e-9)), "long-lists")
 
-    def side(c: str) -> DataFrame:
-        return hashes.select(*[F.col(x).alias(f"{x}_{c}") for x in hashes.columns])
+    def side(c: str, *columns: str) -> DataFrame:
+        return sets.select(*[F.col(x).alias(f"{x}_{c}") for x in ("r", *columns)])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(side("a").select("r_a", "sketch_a"), "r_a").join(side("b").select("r_b", "sketch_b"), "r_b")
-        both = both.withColumn("u", F.sort_array(F.array_union("sketch_a", "sketch_b"))).withColumn("u", F.slice("u", 1, k))
+        both = pairs.join(side("a", "n", "sketch", "hashes"), "r_a").join(side("b", "n", "sketch", "hashes"), "r_b")
+        both = both.withColumn("u", F.slice(F.sort_array(F.array_union("sketch_a", "sketch_b")), 1, k))
         common = F.size(F.array_intersect(F.array_intersect("u", "sketch_a"), F.col("sketch_b")))
-        likely = both.filter(common >= (t - z * (t * (1 - t) / k) ** 0.5) * F.size("u")).select("r_a", "r_b")
-        exact = likely.join(side("a").select("r_a", "n_a", "hashes_a"), "r_a").join(side("b").select("r_b", "n_b", "hashes_b"), "r_b")
-        exact = exact.withColumn("i", F.size(F.array_intersect("hashes_a", "hashes_b")))
+        likely = both.filter(common >= (t - z * (t * (1 - t) / k) ** 0.5) * F.size("u"))
+        exact = likely.withColumn("i", F.size(F.array_intersect("hashes_a", "hashes_b")))
         return exact.filter(100 * F.col("i") >= percent * (F.col("n_a") + F.col("n_b") - F.col("i"))).select(F.col("r_a").alias("a"), F.col("r_b").alias("b"))
 
-    close = lambda a, b: percent * F.greatest(a, b) <= 100 * F.least(a, b)
-    links = found = tested = None
-    for turn in range(star_rounds + 1):
-        comps = found.select(F.col("node").alias("r"), F.col("component").alias("c")) if found is not None else None
-        act = lists.withColumn("c", F.col("r")) if comps is None else lists.join(comps, "r", "left").withColumn("c", F.coalesce("c", "r"))
-        alive = act.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("v")
-        act = saved(act.join(alive, "v", "left_semi"), "active")
-        lists = act.drop("c")
-        per = act.groupBy("v", "c").agg(F.count("*").cast("double").alias("q")).groupBy("v").agg(F.sum("q").alias("q"), F.sum(F.col("q") * F.col("q")).alias("qq"))
-        size = per.agg(F.sum("q"), F.sum((F.col("q") * F.col("q") - F.col("qq")) / 2)).first()
-        if not size[0]:
-            break
-        last = turn == star_rounds or size[1] <= 3 * size[0]
+    def close(a: Column, b: Column, sa: Column, sb: Column) -> Column:
+        """Sizes allow the similarity, and so does what each set has in common with any other one."""
+        return (percent * F.greatest(a, b) <= 100 * F.least(a, b)) & (percent * (a + b) <= (100 + percent) * F.least(sa, sb))
+
+    def within(rows: DataFrame) -> DataFrame:
+        """Pairs of different components in one list."""
+        a, b = (rows.select("v", *[F.col(x).alias(f"{x}_{s}") for x in ("r", "n", "s", "c")]) for s in "ab")
+        return a.join(b, "v").filter((F.col("r_a") < F.col("r_b")) & (F.col("c_a") != F.col("c_b")) & close(*map(F.col, ("n_a", "n_b", "s_a", "s_b")))).select("r_a", "r_b")
+
+    pairs = within(lists.filter(F.col("q") <= short).withColumn("c", F.col("r")))
+    found = tested = None
+    for turn in range(rounds + 1):
+        act = long.withColumn("c", F.col("r")) if found is None else long.join(found.withColumnsRenamed({"node": "r", "component": "c"}), "r", "left").withColumn("c", F.coalesce("c", "r"))
+        # per list: the member with the least of its own, which is near most of a group of copies, and the first ones in orders by hash
+        alone = (F.col("n") - F.col("s")) / F.col("n")
+        pick = [F.min(F.struct((F.lit(0.0) if i or turn else alone).alias("o"), F.xxhash64("r", F.lit(turn * hubs + i)).alias("h"), "r", "n", "s", "c")) for i in range(hubs)]
+        per = act.groupBy("v").agg(F.count("*").cast("double").alias("q"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.array(*pick).alias("hub")).filter("lo < hi")
+        last = turn == rounds
+        if turn:
+            alike = act.groupBy("v", "c").agg(F.count("*").cast("double").alias("m")).groupBy("v").agg(F.sum(F.col("m") * F.col("m")).alias("qq"))
+            rows, cross = per.join(alike, "v").agg(F.sum("q"), F.sum((F.col("q") * F.col("q") - F.col("qq")) / 2)).first()
+            if not rows:
+                break
+            last = last or cross <= 10 * rows
         if last:
-            a, b = (act.select("v", *[F.col(x).alias(f"{x}_{s}") for x in ("r", "n", "c")]) for s in "ab")
-            pairs = a.join(b, "v").filter((F.col("r_a") < F.col("r_b")) & (F.col("c_a") != F.col("c_b")) & close(F.col("n_a"), F.col("n_b"))).select("r_a", "r_b")
+            pairs = within(act.join(per.select("v"), "v", "left_semi"))
         else:
-            hub = act.groupBy("v").agg(F.min(F.struct(F.xxhash64("r", F.lit(turn)).alias("h"), "r", "n", "c")).alias("hub"))
-            pairs = act.join(hub, "v").filter((F.col("c") != F.col("hub.c")) & close(F.col("n"), F.col("hub.n"))).select(
+            star = act.join(per.select("v", "hub"), "v").select("r", "n", "s", "c", F.explode("hub").alias("hub")).filter(
+                (F.col("c") != F.col("hub.c")) & close(*map(F.col, ("n", "hub.n", "s", "hub.s")))).select(
                 F.least("r", "hub.r").alias("r_a"), F.greatest("r", "hub.r").alias("r_b"))
+            pairs = star if turn else pairs.union(star)
         pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["r_a", "r_b"], "left_anti")
-        pairs = saved(pairs, "pairs")
+        pairs = saved(pairs if tested is None else pairs.join(tested, ["r_a", "r_b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        new = saved(verified(pairs), "links")
-        links = new if links is None else links.union(new)
-        found = connected_components(links, "near")
+        links = verified(pairs)
+        found = connected_components(links if found is None else links.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))), "near")
         if last:
             break
 
