@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from barloom.session import scratch
+
 from barloom.catalog.base import KEYS, bars, query, roll, rounded
 from barloom.catalog.discovery import MTF, aligned
 from barloom.catalog.indicators import ATRJ, B, step
@@ -177,7 +177,7 @@ def _diversified(spark, sf):
 @query("rep8_9_exports")
 def _exports(spark, sf):
     """The pool as CSV and JSON, counted when read back."""
-    root = tempfile.mkdtemp(prefix="barloom-pool-")
+    root = scratch(spark, "barloom-pool")
     p = pool(spark, sf)
     p.write.option("header", True).csv(f"{root}/csv")
     p.write.json(f"{root}/json")

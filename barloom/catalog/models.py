@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from barloom.catalog.base import KEYS, bars, query, rounded
@@ -13,7 +11,7 @@ from barloom.plans import discovery as D
 from barloom.plans import exports as X
 from barloom.plans import models as M
 from barloom.plans.mtf import mtf_table
-from barloom.session import cut_lineage
+from barloom.session import cut_lineage, scratch
 
 TF = ("4h", "1h", "15m")
 SWU = (f"WITH {B}, {SW}, u AS (SELECT pair, timeframe, ts, 0 AS k, 'high' AS kind, high AS price FROM s0 WHERE swing_high = 1 UNION ALL SELECT pair, timeframe, ts, 1, 'low', low FROM s0 WHERE swing_low = 1),"
@@ -50,11 +48,11 @@ def windows(spark, sf):
 
 def clustered(spark, sf):
     w = windows(spark, sf)
-    return M.predict_windows(M.fit_window_model(w, restarts=2), w)
+    return M.predict_windows(M.fit_window_model(w, restarts=3), w)
 
 
 query("rm29_30_window_regimes")(lambda spark, sf: clustered(spark, sf).groupBy("regime").agg(F.count(F.lit(1)).alias("bars"), F.round(F.avg("parkinson_vol"), 2).alias("vol")))
-query("rm31_walk_forward")(lambda spark, sf: rounded(M.walk_forward_windows(windows(spark, sf), folds=2).groupBy("fold", "regime").agg(
+query("rm31_walk_forward")(lambda spark, sf: rounded(M.walk_forward_windows(windows(spark, sf)).groupBy("fold", "regime").agg(
     F.count(F.lit(1)).alias("bars"), F.avg(F.abs("log_forward_return")).alias("abs_forward")), 4))
 
 
@@ -63,8 +61,8 @@ def _saved(spark, sf):
     from pyspark.ml import PipelineModel
 
     w = windows(spark, sf)
-    path = tempfile.mkdtemp(prefix="barloom-model-") + "/m"
-    M.fit_window_model(w, restarts=1).write().overwrite().save(path)
+    path = scratch(spark, "barloom-model") + "/m"
+    M.fit_window_model(w, restarts=3).write().overwrite().save(path)
     return rounded(M.dwell(M.predict_windows(PipelineModel.load(path), w)), 4)
 
 
@@ -94,5 +92,5 @@ def _labels(spark, sf):
     return swing_labels(bars(spark, sf)).select(*KEYS, "regime")
 
 
-query("exp1_9_bundle")(lambda spark, sf: X.write_bundle(bars(spark, sf), tempfile.mkdtemp(prefix="barloom-export-")))
+query("exp1_9_bundle")(lambda spark, sf: X.write_bundle(bars(spark, sf), scratch(spark, "barloom-export")))
 query("exp8_instance_summary")(lambda spark, sf: rounded(X.instance_summary(compute(bars(spark, sf), ["bar_regime", "_pct1"]))))

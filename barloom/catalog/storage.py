@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 
 from pyspark.sql import functions as F
 
+from barloom.session import scratch
+
 from barloom.catalog.base import KEYS, bars, bars_cte, load, prev, query, roll, rounded
 from barloom.catalog.indicators import B, RSI, roc, step
 from barloom.functions.registry import BASE, REGISTRY, compute
@@ -59,7 +59,7 @@ query("src6_series_lists", f"WITH {bars_cte('1h', 'a')}, {bars_cte('4h', 'b')} S
 def _csv(spark, sf):
     from barloom.sources.bars import BAR_SCHEMA
 
-    path = tempfile.mkdtemp(prefix="barloom-csv-") + "/bars"
+    path = scratch(spark, "barloom-csv") + "/bars"
     bars(spark, sf).select(*BASE).write.option("header", True).csv(path)
     return rounded(spark.read.schema(BAR_SCHEMA).option("header", True).csv(path))
 
@@ -71,7 +71,7 @@ query("snk1_insert_absent", f"WITH {B} SELECT pair, timeframe, ts, {SEL} FROM ba
 @query("snk2_upsert_features", f"WITH {B}, {step('q', {'m': roll('avg', 'close', 7)})} SELECT pair, timeframe, ts, round(close, 6) AS close, CASE WHEN ts >= {HALF} THEN round(m, 6) END AS sma_7 FROM q")
 def _upsert(spark, sf):
     """A later write brings a new column and replaces the rows it has."""
-    path = tempfile.mkdtemp(prefix="barloom-upsert-") + "/features"
+    path = scratch(spark, "barloom-upsert") + "/features"
     b = compute(bars(spark, sf), ["sma_7"])
     store.upsert(spark, path, b.select("pair", "timeframe", "ts", "close"))
     store.upsert(spark, path, half(b, True).select("pair", "timeframe", "ts", "close", "sma_7"))

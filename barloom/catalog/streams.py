@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from barloom.session import scratch
+
 from barloom.catalog.base import bars, bars_cte, query, roll, rounded
 from barloom.catalog.indicators import B, step
 from barloom.sources.bars import BAR_SCHEMA
@@ -15,7 +15,7 @@ SEL = ", ".join(f"round({c}, 6) AS {c}" for c in ("open", "high", "low", "close"
 
 
 def drained(spark, stream):
-    root = tempfile.mkdtemp(prefix="barloom-stream-")
+    root = scratch(spark, "barloom-stream")
     T.to_files(stream, f"{root}/out", f"{root}/ckpt")
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
@@ -30,7 +30,7 @@ query("str6_sessions")(lambda spark, sf: drained(spark, T.sessions(T.tick_stream
 
 def bar_files(spark, sf):
     """Bars landed as ordered files, one per fifth of the month, read back as a stream."""
-    root = tempfile.mkdtemp(prefix="barloom-bars-")
+    root = scratch(spark, "barloom-bars")
     b = bars(spark, sf).select([f.name for f in BAR_SCHEMA])
     b.repartition(8, F.floor(F.dayofmonth("ts") / 6)).sortWithinPartitions("ts").write.parquet(f"{root}/bars")
     return spark.readStream.schema(BAR_SCHEMA).parquet(f"{root}/bars")
@@ -44,6 +44,6 @@ query("str6_segments")(lambda spark, sf: drained(spark, T.stream_segments(bar_fi
 
 @query("str3_feature_updates", f"WITH {B}, {step('q', {'m': roll('avg', 'close', 20)})} SELECT pair, timeframe, ts, round(close, 6) AS close, round(m, 6) AS sma_20 FROM q")
 def _features(spark, sf):
-    root = tempfile.mkdtemp(prefix="barloom-feat-")
+    root = scratch(spark, "barloom-feat")
     T.update_features(bar_files(spark, sf), f"{root}/bars", f"{root}/features", ["sma_20"], f"{root}/ckpt")
     return rounded(spark.read.parquet(f"{root}/features").select("pair", "timeframe", "ts", "close", "sma_20"))

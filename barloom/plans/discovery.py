@@ -139,9 +139,12 @@ def single_signals(bars: DataFrame, signals: Sequence[str], min_n: int = 20, min
     )
 
 
-def combinations(bars: DataFrame, signals: Sequence[str], first: int = 5, least: int = 3, min_n: int = 10,
+def combinations(bars: DataFrame, signals: Sequence[str], first: int | None = None, least: int = 3, min_n: int = 10,
                  min_win: float = 0.55, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Sets of signals active together, taken on every bar where they are (not only on bars that moved)."""
+    """Sets of signals active together, taken on every bar where they are (not only on bars that moved).
+
+    A set holds all active signals, or the ``first`` of them in the order of ``signals``.
+    """
     wide = state_table(bars, signals, block_rows, ["future_return_5"])
 
     def active(code):
@@ -151,7 +154,7 @@ def combinations(bars: DataFrame, signals: Sequence[str], first: int = 5, least:
         F.struct(F.lit("bullish").alias("direction"), active(1).alias("active")),
         F.struct(F.lit("bearish").alias("direction"), active(-1).alias("active")))).alias("s")
     rows = wide.select(*SERIES, "future_return_5", sides).where(F.size("s.active") >= least)
-    combo = F.concat_ws("+", F.array_sort(F.slice("s.active", 1, first))).alias("combo")
+    combo = F.concat_ws("+", F.array_sort(F.slice("s.active", 1, first) if first else F.col("s.active"))).alias("combo")
     agg = rows.select(*SERIES, "s.direction", combo, hits(F.col("s.direction"), "future_return_5").alias("hit")).groupBy(
         *SERIES, "direction", "combo").agg(F.count(F.lit(1)).alias("sample_size"), F.avg(F.col("hit").cast("int")).alias("discovered_accuracy"))
     k = F.size(F.split("combo", r"\+"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.candles import CANDLES
-from barloom.functions.charts import FRAME_PATTERNS
+from barloom.functions.charts import CHARTS
 from barloom.functions.registry import compute
 from barloom.operators.blocks import SERIES
 from barloom.session import cut_lineage
@@ -30,7 +30,7 @@ def views(features: DataFrame) -> dict[str, DataFrame]:
     reference = long.unpivot([], long.columns, "column_name", "v").groupBy("column_name").agg(
         F.count("v").alias("non_null"), F.sum(F.col("v").isNull().cast("int")).alias("nulls"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
     return {
-        "enriched": features, "indicator_reference": reference, "candles": pick([f"pattern_{c}" for c in CANDLES]), "chart_patterns": pick(FRAME_PATTERNS),
+        "enriched": features, "indicator_reference": reference, "candles": pick([f"pattern_{c}" for c in CANDLES]), "chart_patterns": pick(CHARTS),
         "pullbacks": pick(PULLBACK), "price_action": pick(ACTION), "regime_states": pick(["bar_regime"]), "instance_summary": instance_summary(features),
         "summary": features.agg(F.count(F.lit(1)).alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")),
     }
@@ -38,7 +38,7 @@ def views(features: DataFrame) -> dict[str, DataFrame]:
 
 def write_bundle(bars: DataFrame, path: str) -> DataFrame:
     """Writes every view as CSV (series views partitioned by pair and timeframe); returns the row count of each."""
-    names = ["rsi", "adx", "atr", "_pct1", "bar_regime", *[f"pattern_{c}" for c in CANDLES], *FRAME_PATTERNS, *PULLBACK, *ACTION]
+    names = ["rsi", "adx", "atr", "_pct1", "bar_regime", *[f"pattern_{c}" for c in CANDLES], *CHARTS, *PULLBACK, *ACTION]
     feats = cut_lineage(compute(bars, names))
     counts = None
     for name, df in views(feats).items():

@@ -261,8 +261,8 @@ def child_tables(instances: DataFrame) -> dict[str, DataFrame]:
 
 
 def find_instances(instances: DataFrame, pair: str | None = None, timeframe: str | None = None, structure: str | None = None,
-                   min_consistency: float | None = None, limit: int | None = 1000) -> DataFrame:
-    """Instances by optional filters, newest first; the limit is the caller's page size."""
+                   min_consistency: float | None = None, limit: int | None = None) -> DataFrame:
+    """Instances by optional filters, newest first; all of them unless the caller asks for a page."""
     conds = [F.col(c) == v for c, v in (("pair", pair), ("timeframe", timeframe), ("dominant_structure", structure)) if v is not None]
     if min_consistency is not None:
         conds.append(F.col("consistency_score") >= min_consistency)

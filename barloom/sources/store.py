@@ -100,11 +100,12 @@ def newest_context(bars: DataFrame, new_rows: int, context: int = 1000) -> DataF
     return scan(bars, last=context + new_rows)
 
 
-def catch_up(bars: DataFrame, done: DataFrame, names: Sequence[str], min_rows: int = 50) -> DataFrame:
+def catch_up(bars: DataFrame, done: DataFrame, names: Sequence[str], min_rows: int = 0) -> DataFrame:
     """Features of the bars not yet featured, all series in one job.
 
-    Per series only the context before its own watermark is read: the block halo needed by the features.
-    Series shorter than ``min_rows`` are left out.
+    Per series only the context before its own watermark is read: the block halo needed by the features. Features whose
+    value depends on the whole past (running totals, carried fills, state machines) are computed from the start of the
+    series. Series shorter than ``min_rows`` are left out; by default none is.
     """
     from barloom.functions.registry import closure, compute, halo
 
@@ -113,8 +114,8 @@ def catch_up(bars: DataFrame, done: DataFrame, names: Sequence[str], min_rows: i
     marks = watermarks(done)
     src = bars.join(sizes, list(SERIES)).join(marks, list(SERIES), "left")
     fresh = F.col("last_ts").isNull() | (F.col("ts") > F.col("last_ts"))
-    has_totals = any(f.kind in ("total", "fill") for f in closure(names).values())
-    if not has_totals:
+    whole_past = any(f.kind in ("total", "fill", "table") for f in closure(names).values())
+    if not whole_past:
         w = Window.partitionBy(*SERIES).orderBy(F.desc("ts"))
         old = src.where(~fresh).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= back + 1).drop("_k")
         src = src.where(fresh).unionByName(old)

@@ -49,9 +49,13 @@ def to_files(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
     return q
 
 
-def update_features(bars: DataFrame, bar_table: str, feature_table: str, names: Sequence[str], checkpoint: str, context: int = 1000):
-    """Each micro-batch merges its bars, then features of the new rows from the newest ``context`` rows of the touched series."""
-    from barloom.functions.registry import compute
+def update_features(bars: DataFrame, bar_table: str, feature_table: str, names: Sequence[str], checkpoint: str):
+    """Each micro-batch merges its bars, then computes features of the new rows from as much of the touched series as they need:
+    the halo of the features, or the whole series where a value depends on all of the past."""
+    from barloom.functions.registry import closure, compute, halo
+
+    need = closure(names)
+    context = None if any(f.kind in ("total", "fill", "table") for f in need.values()) else halo(need)[0] + 1
 
     def batch(df: DataFrame, _epoch: int) -> None:
         spark = df.sparkSession
@@ -61,9 +65,12 @@ def update_features(bars: DataFrame, bar_table: str, feature_table: str, names:
         stored = stored.select(*df.columns, "_from", "_new")
         from pyspark.sql import Window
 
-        w = Window.partitionBy("pair", "timeframe").orderBy(F.desc("ts"))
-        near = stored.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= F.col("_new") + context)
-        feats = compute(near.drop("_k", "_new", "_from"), names).join(touched, ["pair", "timeframe"]).where(F.col("ts") >= F.col("_from"))
+        near = stored
+        if context is not None:
+            newer = stored.withColumn("_late", (F.col("ts") < F.col("_from")).cast("int"))
+            w = Window.partitionBy("pair", "timeframe", "_late").orderBy(F.desc("ts"))
+            near = newer.withColumn("_k", F.row_number().over(w)).where((F.col("_late") == 0) | (F.col("_k") <= context)).drop("_k", "_late")
+        feats = compute(near.drop("_new", "_from"), names).join(touched, ["pair", "timeframe"]).where(F.col("ts") >= F.col("_from"))
         upsert(spark, feature_table, feats.select("pair", "timeframe", "ts", "close", *names))
 
     q = bars.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -132,3 +132,18 @@ def test_user_feature(bars):
         assert compute(bars, ["my_range"]).where("my_range < 0").count() == 0
     finally:
         REGISTRY.pop("my_range")
+
+
+def test_catch_up_equals_a_full_compute(bars):
+    from pyspark.sql import functions as F
+
+    from barloom.functions.registry import compute
+    from barloom.sources.store import catch_up
+
+    names = ["psar", "mcginley", "obv", "vwap", "last_swing_high", "sma_20"]
+    done = bars.where("ts < timestamp'2023-02-01'")
+    key = ["pair", "timeframe", "ts"]
+    new = catch_up(bars, done, names).select(*key, *[F.round(n, 6).alias(n) for n in names])
+    full = compute(bars, names).join(done.groupBy("pair", "timeframe").agg(F.max("ts").alias("last")), ["pair", "timeframe"], "left").where(
+        "last is null or ts > last").select(*key, *[F.round(n, 6).alias(n) for n in names])
+    assert new.count() == full.count() > 0 and new.exceptAll(full).isEmpty()
