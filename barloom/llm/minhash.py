@@ -12,6 +12,8 @@ that very many documents share are left out that way without a cap. With z = 6 a
 
 A list of at most ``short`` members is compared in full. Members of longer lists get lists anew, from all hashes of their exact sets:
 of similar sets each may leave out its ``ceil(t * n) - 1`` most frequent hashes, so a passage drops out up to three quarters of a set.
+Two members are compared if what both have from the list's hash on, in the order from rare to frequent, can hold the intersection that
+the similarity asks for: the first hash they share has all of it from there on.
 In a round on these lists a few members of each, chosen by hash, are compared with the members of other components; links join
 components, and a list of one component is done. When few pairs between components are left (or ``rounds`` are over), they are all
 compared, so no link between components is left out and no group of copies is expanded into all its pairs.
@@ -82,11 +84,11 @@ def needed(n: Column, k: int, t: float, z: float) -> Column:
 
 def _rarest(rows: DataFrame, total: Column, need: Column) -> DataFrame:
     """(v, r, n, s) of the hashes that a set must put into lists: all but its need - 1 most frequent ones. Hashes of one set come first; s is
-    how many of the hashes given more than one set has."""
+    how many of the hashes given more than one set has and come at or after v in the order of all hashes, from rare to frequent."""
     often = rows.groupBy("v").agg(F.count("*").alias("c")).filter("c > 1")
     # the window groups are single documents
     ranked = rows.join(often, "v").withColumns({"x": F.expr("row_number() over (partition by r order by c, v)"), "shared": F.expr("count(*) over (partition by r)")})
-    return ranked.filter(F.col("x") <= total - need + 1 - (total - F.col("shared"))).select("v", "r", "n", F.col("shared").alias("s"))
+    return ranked.filter(F.col("x") <= total - need + 1 - (total - F.col("shared"))).select("v", "r", "n", (F.col("shared") - F.col("x") + 1).alias("s"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 75, shingle: int = 5, k: int = 64, z: float = 6.0,
@@ -121,7 +123,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return exact.filter(100 * F.col("i") >= percent * (F.col("n_a") + F.col("n_b") - F.col("i"))).select(F.col("r_a").alias("a"), F.col("r_b").alias("b"))
 
     def close(a: Column, b: Column, sa: Column, sb: Column) -> Column:
-        """Sizes allow the similarity, and so does what each set has in common with any other one."""
+        """Sizes allow the similarity, and so does what either set has from this hash on: of the hashes that a pair shares, the first one
+        in the order of all passes if the pair is similar, so no link is lost."""
         return (percent * F.greatest(a, b) <= 100 * F.least(a, b)) & (percent * (a + b) <= (100 + percent) * F.least(sa, sb))
 
     def within(rows: DataFrame) -> DataFrame:
