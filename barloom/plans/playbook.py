@@ -64,13 +64,51 @@ RANGING = [
     ("Low Volume (Z=%.2f)", ("volume_zscore",), "volume_zscore < -0.5"),
 ]
 RANGING_PATTERNS = [("Price Mid-Bollinger Band", (), "bb_pct between 0.4 and 0.6"), ("Price Mid-Keltner Channel", (), "kc_pct between 0.4 and 0.6")]
+VOLUME_BULL = [
+    ("OBV Rising", (), "obv_change > 0"), ("CMF Strong Positive (%.3f)", ("cmf",), "cmf > 0.1"), ("CMF Positive (%.3f)", ("cmf",), "cmf > 0 and cmf <= 0.1"),
+    ("MFI Bullish (%.1f)", ("mfi",), "mfi > 50"), ("MFI Overbought (%.1f)", ("mfi",), "mfi > 80"), ("Force Index Positive", (), "force_index > 0"),
+    ("Force Index EMA Bullish", (), "force_index_ema > 0"), ("A/D Line Positive", (), "ad > 0"),
+    ("Chaikin Osc Positive (%.2e)", ("chaikin_osc",), "chaikin_osc > 0"), ("Ease of Movement Positive", (), "eom > 0"), ("EOM SMA Positive", (), "eom_sma > 0"),
+    ("VPT Rising", (), "vpt > 0"), ("NVI Value: %.2f", ("nvi",), "nvi is not null"), ("Extreme Volume Surge (Z=%.2f)", ("volume_zscore",), "volume_zscore > 2"),
+    ("High Volume (Z=%.2f)", ("volume_zscore",), "volume_zscore > 1 and volume_zscore <= 2"),
+    ("Volume Increasing (%.2f%%)", ("volume_roc * 100",), "volume_roc > 0.5"), ("Balance of Power Bullish (%.2f)", ("bop",), "bop > 0.5"),
+    ("Volume Spike Detected", (), "volume_spike = 1"),
+]
+VOLUME_BEAR = [
+    ("OBV Falling", (), "obv_change < 0"), ("CMF Strong Negative (%.3f)", ("cmf",), "cmf < -0.1"), ("CMF Negative (%.3f)", ("cmf",), "cmf < 0 and cmf >= -0.1"),
+    ("MFI Bearish (%.1f)", ("mfi",), "mfi < 50"), ("MFI Oversold (%.1f)", ("mfi",), "mfi < 20"), ("Force Index Negative", (), "force_index < 0"),
+    ("Force Index EMA Bearish", (), "force_index_ema < 0"), ("A/D Line Negative", (), "ad < 0"),
+    ("Chaikin Osc Negative (%.2e)", ("chaikin_osc",), "chaikin_osc < 0"), ("Ease of Movement Negative", (), "eom < 0"), ("EOM SMA Negative", (), "eom_sma < 0"),
+    ("VPT Falling", (), "vpt < 0"), ("Volume Decreasing (%.2f%%)", ("volume_roc * 100",), "volume_roc < -0.3"),
+    ("Balance of Power Bearish (%.2f)", ("bop",), "bop < -0.5"), ("Volume Decreasing (Potential Reversal)", (), "volume_decreasing = 1"),
+]
+VOLATILITY_BULL = [
+    ("Price Near Lower BB (%.2f%%) - Potential Bounce", ("bb_pct * 100",), "bb_pct < 0.2"),
+    ("Price Near Upper BB (%.2f%%) - Strong Momentum", ("bb_pct * 100",), "bb_pct > 0.8"),
+    ("BB Squeeze (%.4f) - Breakout Potential", ("bb_width",), "bb_width < 0.02"), ("BB Expansion (%.4f) - High Volatility", ("bb_width",), "bb_width > 0.05"),
+    ("Price Mid-Keltner (Neutral Zone)", (), "kc_pct > 0.3 and kc_pct < 0.7"), ("Price Near Upper KC (Strong)", (), "kc_pct > 0.8"),
+    ("Low Volatility (ATR=%.2f%%) - Consolidation", ("atr_percent",), "atr_percent < 1.5"),
+    ("High Volatility (ATR=%.2f%%) - Trending", ("atr_percent",), "atr_percent > 3"), ("ATR Ratio: %.4f", ("atr_ratio",), "atr_ratio is not null"),
+    ("Price Near Donchian Upper (Breakout)", (), "dc_pct > 0.8"), ("Low Drawdown Risk (Ulcer=%.2f)", ("ulcer_index",), "ulcer_index < 2"),
+    ("Bull Power Positive (%.4f)", ("bull_power",), "bull_power > 0"), ("Bear Power Weakening", (), "bear_power > -0.5"),
+    ("Low Chop (%.1f) - Trending", ("choppiness",), "choppiness < 40"), ("Low Variance (%.4f)", ("normalized_variance",), "normalized_variance < 0.02"),
+]
+VOLATILITY_BEAR = [
+    ("Price Near Upper BB (%.2f%%) - Potential Reversal", ("bb_pct * 100",), "bb_pct > 0.8"),
+    ("Price Near Lower BB (%.2f%%) - Weak Momentum", ("bb_pct * 100",), "bb_pct < 0.2"), ("Price Near Lower KC (Weak)", (), "kc_pct < 0.2"),
+    ("High Drawdown Risk (Ulcer=%.2f)", ("ulcer_index",), "ulcer_index > 5"), ("Bull Power Weakening", (), "bull_power < -0.5"),
+    ("Bear Power Negative (%.4f)", ("bear_power",), "bear_power < 0"), ("High Chop (%.1f) - Sideways", ("choppiness",), "choppiness > 60"),
+]
 RULES = {"momentum_bull": MOMENTUM_BULL, "momentum_bear": MOMENTUM_BEAR, "trend_bull": TREND_BULL, "trend_bear": TREND_BEAR, "ranging": RANGING,
-         "ranging_patterns": RANGING_PATTERNS}
+         "ranging_patterns": RANGING_PATTERNS, "volume_bull": VOLUME_BULL, "volume_bear": VOLUME_BEAR, "volatility_bull": VOLATILITY_BULL,
+         "volatility_bear": VOLATILITY_BEAR}
 INPUTS = [
     "rsi", "rsi_30", "connors_rsi", "stoch_k", "stoch_d", "stoch_rsi_k", "williams_r", "roc", "roc_20", "momentum", "momentum_pct", "ultimate_osc", "tsi",
     "smi", "smi_signal", "smi_ergodic", "cci", "woodies_cci", "woodies_cci_signal", "macd", "macd_hist", "macd_signal", "ppo", "ppo_hist", "adx", "di_plus",
     "di_minus", "aroon_up", "aroon_down", "aroon_osc", "trix", "trix_signal", "dpo", "kst", "kst_signal", "mass_index", "ao", "ichimoku_a", "ichimoku_b",
     "ichimoku_conversion", "ichimoku_base", "psar", "vortex_pos", "vortex_neg", "vortex_diff", "bb_width", "bb_pct", "kc_pct", "choppiness", "volume_zscore",
+    "obv_change", "cmf", "mfi", "force_index", "force_index_ema", "ad", "chaikin_osc", "eom", "eom_sma", "vpt", "nvi", "volume_roc", "bop", "volume_spike",
+    "volume_decreasing", "atr_percent", "atr_ratio", "dc_pct", "ulcer_index", "bull_power", "bear_power", "normalized_variance",
 ]
 # ---- end of fixed values ----
 
@@ -79,7 +117,7 @@ def confirmations(rules: Sequence[tuple[str, tuple[str, ...], str]]) -> Column:
     """The texts of the rules that hold on the row."""
     parts = []
     for text, cols, cond in rules:
-        say = F.format_string(text, *[F.col(c) for c in cols]) if cols else F.lit(text.replace("%%", "%"))
+        say = F.format_string(text, *[F.expr(c) for c in cols]) if cols else F.lit(text.replace("%%", "%"))
         parts.append(F.when(F.expr(cond), say))
     return F.array_compact(F.array(*parts))
 
@@ -99,10 +137,11 @@ def playbook(segment_rows: DataFrame, by: Sequence[str] = ("pair", "timeframe",
     ends = segment_rows.groupBy(*by).agg(((F.max_by("close", "pos") / F.min_by("close", "pos") - 1) * 100).alias("change_pct"))
     x = confirmed(t.join(ends, list(by)))
     side = F.when(F.col("adx") < 20, "ranging").when(F.col("change_pct") > 0, "bullish").otherwise("bearish")
-    texts = F.when(side == "ranging", F.concat("ranging", "ranging_patterns")).when(side == "bullish", F.concat("momentum_bull", "trend_bull")).otherwise(
-        F.concat("momentum_bear", "trend_bear"))
+    texts = F.when(side == "ranging", F.concat("ranging", "ranging_patterns")).when(side == "bullish", F.concat("momentum_bull", "trend_bull", "volume_bull", "volatility_bull")).otherwise(
+        F.concat("momentum_bear", "trend_bear", "volume_bear", "volatility_bear"))
     # The printed values differ per instance; the rule is the text before them.
-    names = F.transform(texts, lambda s: F.trim(F.regexp_replace(s, r"[(:][^)]*-?\d[^)]*\)?$", "")))
+    names = F.transform(texts, lambda s: F.regexp_replace(s, r" \([^()]*\d%?\) - ", " - "))
+    names = F.transform(names, lambda s: F.trim(F.regexp_replace(s, r"[(:][^)]*-?\d[^)]*\)?$", "")))
     y = x.withColumn("regime_name", side).withColumn("name", F.explode(names))
     n = x.withColumn("regime_name", side).groupBy("regime_name").agg(F.count(F.lit(1)).alias("instances"))
     g = y.groupBy("regime_name", "name").agg(F.count(F.lit(1)).alias("hits")).join(n, "regime_name")
