@@ -44,6 +44,10 @@ class PieceModel:
         self.byte_id, self.byte_of = bytes_at, {i: b for b, i in bytes_at.items()}
         self.longest = max(map(len, self.ids), default=1)
         self.control = {i for i in range(len(pieces)) if not plain[i]} - set(self.byte_of)
+        said = [bytes([self.byte_of[i]]) if i in self.byte_of else p.encode() if i not in self.control else " ⁇ ".encode() if i == unknown else b"" for i, p in enumerate(pieces)]
+        #: the bytes that ids decode to, one after the other
+        self.said, self.sizes = np.frombuffer(b"".join(said), np.uint8), np.array([len(x) for x in said], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.cut = re.compile(f"{SPACE}+[^{SPACE}\\n]*|[^{SPACE}\\n]+|\\n+" if not crossing and not any("\n" in p for p in self.ids) else r"(?s).+")
         self.max_pairs = pairs
@@ -234,23 +238,12 @@ class PieceModel:
         for text, ids in zip(texts, self.units.encode(texts)):
             yield np.array(self.encode(text), np.int32) if ids is None or not text else ids
 
-    def decode(self, ids: list[int]) -> str:
-        out: list[str] = []
-        raw = bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                raw.append(self.byte_of[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            if i not in self.control:
-                out.append(self.pieces[i])
-            elif i == self.unknown:
-                out.append(" ⁇ ")
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out)
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        """The bytes of all ids in a row; bytes that are no UTF-8 become U+FFFD."""
+        x = np.asarray(ids, np.int64)
+        size = self.sizes[x]
+        first = np.repeat(self.starts[x] - np.cumsum(size) + size, size)
+        text = self.said[first + np.arange(len(first))].tobytes().decode("utf-8", "replace")
         return text[text.startswith(SPACE):].replace(SPACE, " ")
 
 
@@ -288,6 +281,10 @@ def decode(docs: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     return docs.mapInArrow(work, T.StructType([*docs.schema, T.StructField("decoded", T.StringType())]))
 
 
+def _checksums(lists: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    return pa.array([len(x) for x in lists], pa.int64()), pa.array([zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in lists], pa.int64())
+
+
 def digests(docs: DataFrame, ids: str = "ids") -> DataFrame:
     """``docs`` with n_ids and ids_crc32, the unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
     column = docs.columns.index(ids)
@@ -295,6 +292,31 @@ def digests(docs: DataFrame, ids: str = "ids") -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = [np.asarray(x.values if x.is_valid else [], "<u4") for x in batch.column(column)]
-            yield _with(_with(batch, "n_ids", pa.array([len(x) for x in lists], pa.int64())), "ids_crc32", pa.array([zlib.crc32(x.tobytes()) for x in lists], pa.int64()))
+            n, sums = _checksums(lists)
+            yield _with(_with(batch, "n_ids", n), "ids_crc32", sums)
 
     return docs.mapInArrow(work, T.StructType([*docs.schema, T.StructField("n_ids", T.LongType()), T.StructField("ids_crc32", T.LongType())]))
+
+
+def coded(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
+    """``encode``, ``decode`` and ``digests`` in one pass of one Python worker per task: ids, n_ids, ids_crc32 and round_trip (whether the
+    ids decode to the text, null taken as empty) in place of the text. Columns of these names are replaced."""
+    small_batches(docs.sparkSession)
+    docs = docs.drop("ids", "n_ids", "ids_crc32", "round_trip")
+    column = docs.columns.index(text)
+    others = [i for i in range(len(docs.columns)) if i != column]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = PieceModel.get(model)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(column).to_pylist()]
+            ids = list(m.encode_all(texts))
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            out = batch.select(others)
+            for name, values in (("ids", pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))),
+                                 *zip(("n_ids", "ids_crc32"), _checksums(ids)), ("round_trip", pa.array([m.decode(x) == t for x, t in zip(ids, texts)], pa.bool_()))):
+                out = _with(out, name, values)
+            yield out
+
+    kinds = [("ids", T.ArrayType(T.IntegerType())), ("n_ids", T.LongType()), ("ids_crc32", T.LongType()), ("round_trip", T.BooleanType())]
+    return docs.mapInArrow(work, T.StructType([*[docs.schema[i] for i in others], *[T.StructField(n, k) for n, k in kinds]]))

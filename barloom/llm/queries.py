@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import embeddings, licenses, line_dedup, minhash, mixing, pieces, quality_model, quality_rules, token_files, toxicity
 
@@ -80,9 +79,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_sentencepiece")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and what they decode to: n_ids, crc32 of the ids and whether the text came back."""
-    model = tokenizer(PIECES)
-    docs = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
-    return pieces.digests(docs).select("doc_id", "n_ids", "ids_crc32", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    docs = pieces.coded(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer(PIECES))
+    return docs.select("doc_id", "n_ids", "ids_crc32", "round_trip")
 
 
 @query("op10_license_scan", licenses.sql())

@@ -39,9 +39,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = tokenizer(PIECES)
-    out = pieces.digests(pieces.decode(pieces.encode(docs.select("doc_id", "source", "text"), model), model))
-    return out.select("doc_id", "source", "n_ids", "ids_crc32", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    return pieces.coded(docs.select("doc_id", "source", "text"), tokenizer(PIECES)).select("doc_id", "source", "n_ids", "ids_crc32", "ids", "round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

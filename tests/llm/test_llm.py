@@ -357,7 +357,38 @@ def test_pieces_in_frames(spark, odd, clash, empty):
         got = pieces.digests(pieces.decode(pieces.encode(docs, model), model)).collect()
         assert len(got) == len(odd_rows())
         assert all(g.decoded == (g.text or "").replace("▁", " ") and g.n_ids == len(g.ids) and g.ids_crc32 == zlib.crc32(np.array(g.ids, "<u4").tobytes()) for g in got)
-    assert pieces.encode(empty, model).count() == 0
+        once = pieces.coded(docs, model)
+        assert once.columns == [*[c for c in docs.columns if c not in ("text", "ids")], "ids", "n_ids", "ids_crc32", "round_trip"]
+        key = lambda r: (str(r.doc_id), r.n_ids, r.ids_crc32, r.ids)
+        assert sorted((*key(g), g.decoded == (g.text or "")) for g in got) == sorted((*key(g), g.round_trip) for g in once.collect())
+    assert pieces.encode(empty, model).count() == 0 and pieces.coded(empty, model).count() == 0
+
+
+def test_decoding_equals_the_library_on_any_ids():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer(PIECES))
+    m, r = pieces.PieceModel.load(tokenizer(PIECES)), random.Random(8)
+    for turn in range(400):
+        ids = [r.choice([*m.byte_of, *range(3), *range(len(m.pieces))] if turn % 2 else list(m.byte_of)[100:] + [5000]) for _ in range(r.randint(0, 30))]
+        old = m.decode(ids)
+        assert old == slow_decode(m, ids), ids
+        assert "\ufffd" in old or old.lstrip() == sp.decode(ids).lstrip(), ids
+
+
+def slow_decode(m, ids):
+    """Piece by piece; runs of byte ids are decoded together."""
+    out, raw = [], bytearray()
+    for i in [*ids, None]:
+        if i in m.byte_of:
+            raw.append(m.byte_of[i])
+            continue
+        out.append(raw.decode("utf-8", "replace"))
+        raw.clear()
+        if i is not None:
+            out.append(m.pieces[i] if i not in m.control else " ⁇ " if i == m.unknown else "")
+    text = "".join(out)
+    return text[text.startswith("▁"):].replace("▁", " ")
 
 
 # 10 licences
