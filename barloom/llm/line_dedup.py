@@ -1,16 +1,23 @@
 """Line dedup by pairwise alignment.
 
-Overlapping documents are found through shared line hashes: every line that more than one document holds pairs each later holder
-with the first one. That star has one pair per (document, line) at most, so a line of a third of all documents makes as many pairs
-as it has holders and no all-pairs group. Each pair is aligned with patience diff over the two sequences of line hashes, and the
-aligned common blocks are deleted from the later document.
+A line leaves a document if an earlier one aligns it: the two sequences of line hashes are aligned with patience diff, gaps without
+unique lines by their longest common run, and the aligned common blocks of at least ``min_chars`` characters are deleted from the later
+document. The result is that of all pairs of documents, found through the shortest runs of lines of that size (mostly one line), which
+every such block holds:
+
+1. Each later holder of a run meets the first one. That star has one pair per (document, run) at most, so a line of a third of all
+   documents makes as many pairs as it has holders and no all-pairs group.
+2. Runs that stay (crossing or repeated lines) meet their other holders. An alignment sees of the earlier document only the lines that
+   both have, so earlier documents that are equal up to lines no such later document has count once; those that share nothing but
+   the run with the later document differ only by its shape, and one of each shape is enough; the others are found by the run and
+   a second common line.
 
 Later means the larger (doc_id, text hash). Alignment reads the original lines of both sides, so the result does not depend on the
-order of work. Lines of fewer than ``min_chars`` characters start no pair, and a block with fewer characters in all is left alone.
+order of work.
 
 Defined results: a null text stays null, an empty one empty; a text of which every line goes becomes the empty string; rows with a
 null doc_id pair with nothing; rows equal in doc_id and text are one document and get one result; columns named n_lines or
-n_removed are replaced. Hashes of lines have 64 bits.
+n_removed are replaced. Hashes of lines, runs and shapes have 64 bits.
 """
 
 from __future__ import annotations
@@ -26,6 +33,79 @@ from pyspark.sql import functions as F
 from .frames import saved, small_batches
 
 
+
+def longest_run(a: list[int], b: list[int]) -> tuple[int, int, int]:
+    """(start in a, start in b, length) of the longest run of lines in both, the first one in ``b`` and then in ``a``, by a suffix automaton of ``a``."""
+    if set(a).isdisjoint(b):
+        return 0, 0, 0
+    step: list[dict[int, int]] = [{}]
+    link, size, end = [-1], [0], [-1]
+    last = 0
+    for k, x in enumerate(a):
+        new = len(step)
+        step.append({})
+        link.append(0)
+        size.append(size[last] + 1)
+        end.append(k)
+        p, last = last, new
+        while p >= 0 and x not in step[p]:
+            step[p][x] = new
+            p = link[p]
+        if p < 0:
+            continue
+        q = step[p][x]
+        if size[q] != size[p] + 1:
+            step.append(dict(step[q]))
+            link.append(link[q])
+            size.append(size[p] + 1)
+            end.append(end[q])
+            copy = len(step) - 1
+            while p >= 0 and step[p].get(x) == q:
+                step[p][x] = copy
+                p = link[p]
+            link[q] = copy
+            q = copy
+        link[new] = q
+    best = (0, 0, 0)
+    at = run = 0
+    for k, x in enumerate(b):
+        while at and x not in step[at]:
+            at = link[at]
+            run = size[at]
+        if x in step[at]:
+            at, run = step[at][x], run + 1
+        if run > best[2]:
+            best = (end[at] - run + 1, k - run + 1, run)
+    return best
+
+
+def runs(seq: list[int], chars: list[int], min_chars: int) -> list[tuple[int, int]]:
+    """(first, last) of the shortest run of at least ``min_chars`` characters from each position on and up to each position.
+
+    Every block of that many characters is covered by such runs inside it, so two documents without a common one have no block to align.
+    """
+    out = set()
+    total = lo = 0
+    for hi, n in enumerate(chars):
+        total += n
+        while total - chars[lo] >= min_chars:
+            # the run from lo on first reaches the size at hi or before
+            total -= chars[lo]
+            lo += 1
+        if total >= min_chars:
+            out.add((lo, hi))
+    total, hi = 0, -1
+    for lo in range(len(chars)):
+        while total < min_chars and hi + 1 < len(chars):
+            hi += 1
+            total += chars[hi]
+        if total < min_chars:
+            break
+        out.add((lo, hi))
+        total -= chars[lo]
+    return sorted(out)
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned index pairs, rising in both: common ends first, then the longest rising run of lines unique in both, then the gaps."""
     out: list[tuple[int, int]] = []
@@ -44,6 +124,11 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         at = {a[k]: k for k in range(i, m) if ca[a[k]] == 1}
         pairs = [(at[b[k]], k) for k in range(j, n) if cb[b[k]] == 1 and b[k] in at]
         if not pairs:
+            p, q, n_run = longest_run(a[i:m], b[j:n])
+            if n_run:
+                p, q = i + p, j + q
+                out += [(p + x, q + x) for x in range(n_run)]
+                todo += [(i, p, j, q), (p + n_run, m, q + n_run, n)]
             continue
         tails: list[int] = []
         ends: list[int] = []
@@ -80,6 +165,42 @@ def removed(a: list[int], b: list[int], chars: list[int], min_chars: int) -> lis
     return cut
 
 
+def projected(seq: list[int], keep: set[int]) -> list[int | None]:
+    """``seq`` with each run of lines outside ``keep`` as one None."""
+    out: list[int | None] = []
+    for x in seq:
+        if x in keep:
+            out.append(x)
+        elif not out or out[-1] is not None:
+            out.append(None)
+    return out
+
+
+def digest(*parts: int | None) -> int:
+    """The hash of a tuple of integers, equal in all processes."""
+    return hash(tuple(0 if x is None else x for x in parts))
+
+
+def held_runs(seq: list[int], chars: list[int], min_chars: int) -> dict[int, list[tuple[int, int]]]:
+    """digest -> places of the runs of a document."""
+    out: dict[int, list[tuple[int, int]]] = {}
+    for lo, hi in runs(seq, chars, min_chars):
+        out.setdefault(digest(*seq[lo: hi + 1]), []).append((lo, hi))
+    return out
+
+
+def pair_keys(seq: list[int | None], own_lines: dict[int, set[int]]) -> list[int]:
+    """For each run (digest -> its lines) one key with each other line of the document."""
+    lines = set(seq) - {None}
+    return [digest(run, 2, y) for run, own in own_lines.items() for y in lines - own]
+
+
+#: A document with more runs left meets all the earlier documents that hold one, as its keys with a second line would be too many.
+FEW = 4
+#: Documents of one shape that are tried; if all share more than the run with the later document, it meets all the holders of the run.
+TRIED = 4
+
+
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = 10) -> DataFrame:
     """``docs`` with the text of later documents shortened, n_lines and n_removed."""
     small_batches(docs.sparkSession)
@@ -89,25 +210,100 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     seqs = docs.filter(F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(
         F.struct(F.col(doc_id).alias("i"), h.alias("h")).alias("k"), F.transform(lines, lambda x: F.xxhash64(x)).alias("seq"), F.transform(lines, lambda x: F.length(x)).alias("chars"))
     seqs = saved(seqs, "lines")
-    held = seqs.select("k", F.explode(F.arrays_zip("seq", "chars")).alias("l")).filter(F.col("l.chars") >= min_chars).select("k", F.col("l.seq").alias("line"))
-    first = held.groupBy("line").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last").select("line", "first")
-    pairs = held.join(first, "line").filter("first < k").select("first", "k").distinct()
+    kind = docs.schema[doc_id].dataType.simpleString()
+
+    def each(df: DataFrame, columns: tuple[str, ...], work, schema: str) -> DataFrame:
+        """(i, h) of k and the values that ``work`` yields for the row; ``schema`` is theirs."""
+        names = [c.split(":")[0] for c in schema.split(", ")]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, out = [], []
+                for n, row in enumerate(zip(*(batch.column(c).to_pylist() for c in columns))):
+                    for values in work(*row):
+                        at.append(n)
+                        out.append(values)
+                k = batch.column("k").take(pa.array(at, pa.int32()))
+                kinds = [{"bigint": pa.int64(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64())}[c.split(":")[1]] for c in schema.split(", ")]
+                yield pa.RecordBatch.from_arrays([k.field(0), k.field(1), *(pa.array([v[x] for v in out], t) for x, t in enumerate(kinds))], ["i", "h", *names])
+
+        return df.select("k", *columns).mapInArrow(run, f"i {kind}, h bigint, {schema.replace(':', ' ')}").select(F.struct("i", "h").alias("k"), *names)
+
+    def aligned(pairs: DataFrame, a: DataFrame) -> DataFrame:
+        """(k, cut) of every k of ``pairs`` (first, k), ``a`` having the lines of first."""
+        sides = pairs.join(a, "first").join(seqs.select("k", F.col("seq").alias("b"), "chars"), "k")
+        cuts = each(sides, ("a", "b", "chars"), lambda a, b, n: [(removed(a, b, n, min_chars),)], "cut:array<int>")
+        # a document has no more partners than runs in the first step; what is gathered of a partner is bounded by its own length
+        return cuts.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
+
+    held = saved(each(seqs, ("seq", "chars"), lambda s, n: [(x,) for x in held_runs(s, n, min_chars)], "run:bigint"), "held")
     seqs = seqs.dropDuplicates(["k"])
-    sides = pairs.join(seqs.select(F.col("k").alias("first"), F.col("seq").alias("a")), "first").join(seqs.select("k", F.col("seq").alias("b"), "chars"), "k")
+    first = held.groupBy("run").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last").select("run", "first")
+    pairs = held.join(first, "run").filter("first < k").select("first", "k").distinct()
+    cuts = saved(aligned(pairs, seqs.select(F.col("k").alias("first"), F.col("seq").alias("a"))), "cuts")
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "chars")))
-            cuts = [removed(a, b, n, min_chars) for a, b, n in rows]
-            k = batch.column("k")
-            yield pa.RecordBatch.from_arrays([k.field(0), k.field(1), pa.array(cuts, pa.list_(pa.int32()))], ["i", "h", "cut"])
+    def left_runs(seq: list[int], chars: list[int], cut: list[int]) -> list[tuple[int]]:
+        gone = set(cut)
+        return [(x,) for x, places in held_runs(seq, chars, min_chars).items() if any(q not in gone for lo, hi in places for q in range(lo, hi + 1))]
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    cuts = sides.select("k", "a", "b", "chars").mapInArrow(align, f"i {kind}, h bigint, cut array<int>").filter(F.size("cut") > 0)
-    # a document has no more partners than lines, so what is gathered for it is bounded by its own length
-    cuts = cuts.groupBy("i", "h").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("__cut")).withColumnsRenamed({"i": "__i", "h": "__h"})
+    left = each(seqs.join(cuts, "k"), ("seq", "chars", "cut"), left_runs, "run:bigint")
+    left = saved(left.join(first, "run").filter("first < k").select("k", "run"), "left")
+    if not left.isEmpty():
+        cuts = cuts.union(aligned(*other_pairs(seqs, held, left, each, min_chars)))
+        cuts = cuts.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
+    cuts = cuts.filter(F.size("cut") > 0).select(F.col("k.i").alias("__i"), F.col("k.h").alias("__h"), F.col("cut").alias("__cut"))
     out = docs.join(cuts, (F.col(doc_id) == F.col("__i")) & (h == F.col("__h")), "left")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__cut"))
-    new = F.when(F.col("__cut").isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("__lines"), i)), "\n"))
+    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__cut"))
+    new = F.when(F.col("__cut").isNull(), F.col(text)).otherwise(F.array_join(F.transform(rest, lambda i: F.get(F.col("__lines"), i)), "\n"))
     out = out.withColumn("__lines", lines).withColumn("n_lines", F.size("__lines").cast("long")).withColumn("n_removed", F.coalesce(F.size("__cut"), F.lit(0)).cast("long"))
     return out.withColumn(text, new).drop("__i", "__h", "__cut", "__lines")
+
+
+def other_pairs(seqs: DataFrame, held: DataFrame, left: DataFrame, each, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (first, k) for the runs of ``left`` (k, run), and the lines of each first that count for them."""
+    later = saved(left.distinct().groupBy("k").agg(F.collect_list("run").alias("open")).join(seqs, "k"), "later")
+    wanted = later.select(F.explode("seq").alias("line")).distinct()
+    holders = held.join(left.select("run").distinct(), "run", "left_semi").distinct().groupBy("k").agg(F.collect_list("run").alias("open"))
+    holders = holders.join(seqs, "k")
+    kept = holders.select("k", F.explode(F.array_distinct("seq")).alias("line")).join(wanted, "line", "left_semi").groupBy("k").agg(F.collect_list("line").alias("keep"))
+
+    def shortened(seq: list[int], keep: list[int]) -> list[tuple[list[int | None], int]]:
+        a = projected(seq, set(keep))
+        return [(a, digest(*a))]
+
+    earlier = each(holders.join(kept, "k"), ("seq", "keep"), shortened, "a:array<bigint>, sig:bigint").groupBy("sig").agg(F.min("k").alias("k"))
+    earlier = saved(earlier.select("k").join(holders, "k").join(kept, "k"), "earlier")
+
+    def own_lines(seq: list[int], chars: list[int], open_: list[int]) -> dict[int, set[int]]:
+        places = held_runs(seq, chars, min_chars)
+        return {x: set(seq[slice(places[x][0][0], places[x][0][1] + 1)]) for x in open_}
+
+    def keys_of_later(seq: list[int], chars: list[int], open_: list[int]) -> list[tuple[int]]:
+        if len(open_) > FEW:
+            return [(digest(x, 3),) for x in open_]
+        return [(x,) for x in pair_keys(seq, own_lines(seq, chars, open_))]
+
+    def keys_of_earlier(seq: list[int], chars: list[int], open_: list[int], keep: list[int], few: list[int]) -> list[tuple[int, int]]:
+        a, few_runs = projected(seq, set(keep)), set(few)
+        few_lines = own_lines(seq, chars, [x for x in open_ if x in few_runs])
+        return [(x, digest(*a)) for x in (*(digest(run, 3) for run in open_), *pair_keys(a, few_lines))]
+
+    def shapes(seq: list[int], chars: list[int], few: list[int]) -> list[tuple[int, int, int]]:
+        return [(run, digest(*projected(seq, own)), digest(*seq) % TRIED) for run, own in own_lines(seq, chars, few).items()]
+
+    def alone(a: list[int | None], seq: list[int], chars: list[int], run: int, shape: int) -> list[tuple[int, int, int]]:
+        return [(run, shape, int(set(a) & set(seq) <= own_lines(seq, chars, [run])[run]))]
+
+    few_later = later.filter(F.size("open") <= FEW).select("k", F.explode("open").alias("run"))
+    few = earlier.select("k", F.explode("open").alias("run")).join(few_later.select("run").distinct(), "run", "left_semi").groupBy("k").agg(F.collect_list("run").alias("few"))
+    few = earlier.join(few, "k", "left").withColumn("few", F.coalesce("few", F.array().cast("array<bigint>")))
+    lines = each(earlier, ("seq", "keep"), lambda s, keep: [(projected(s, set(keep)),)], "a:array<bigint>").select(F.col("k").alias("first"), "a")
+    of_shape = each(few, ("seq", "chars", "few"), shapes, "run:bigint, shape:bigint, part:bigint").groupBy("run", "shape", "part").agg(F.min("k").alias("first"))
+    of_shape = saved(few_later.join(of_shape, "run").filter("first < k").select("k", "run", "shape", "first"), "shapes")
+    # documents that share only the run are equal for the later one if the run has the same shape in them
+    tried = each(of_shape.join(lines, "first").join(seqs, "k"), ("a", "seq", "chars", "run", "shape"), alone, "run:bigint, shape:bigint, alone:bigint")
+    unsure = tried.groupBy("k", "run", "shape").agg(F.max("alone").alias("alone")).filter("alone = 0").select("k", "run").distinct()
+    keys = each(later, ("seq", "chars", "open"), keys_of_later, "key:bigint").union(each(unsure, ("run",), lambda x: [(digest(x, 3),)], "key:bigint"))
+    of_earlier = each(few, ("seq", "chars", "open", "keep", "few"), keys_of_earlier, "key:bigint, sig:bigint").groupBy("key", "sig").agg(F.min("k").alias("first"))
+    pairs = keys.join(of_earlier, "key").filter("first < k").select("first", "k").union(of_shape.select("first", "k")).distinct()
+    return pairs, lines

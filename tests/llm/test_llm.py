@@ -267,6 +267,41 @@ def test_line_dedup(spark, odd, clash, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_equals_all_pairs(spark):
+    r = random.Random(9)
+    pool = ["", "}", "a b", "x", "short 1"] + ["a line of more than ten characters %d" % i for i in range(12)]
+    texts = ["\n".join(r.choice(pool) if r.random() < 0.8 else "own %d of this text only" % r.randrange(10**9) for _ in range(r.randint(1, 9))) for _ in range(150)]
+    block = ["the first line of the block", "the second line of the block"]
+    # the first holders have the lines of the block in another order
+    texts += ["\n".join(x) for x in ([block[1], "u" * 20], [block[0], "v" * 20, block[1]], ["w" * 20, *block], [*block, "z" * 20, *reversed(block)], ["}", "a b"] * 8 + ["q" * 20, "}", "a b", "}"] * 3)]
+    texts.append("\n".join(pool[5:][::-1]))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    got = {g.doc_id: g.text for g in line_dedup.dedup_lines(docs).collect()}
+    seqs = [[hash(x) for x in t.split("\n")] for t in texts]
+    for i, t in rows:
+        lines = t.split("\n")
+        cut = {q for j in range(i) for q in line_dedup.removed(seqs[j], seqs[i], list(map(len, lines)), 10)}
+        assert got[i] == "\n".join(x for q, x in enumerate(lines) if q not in cut), i
+
+
+def test_gap_without_unique_lines():
+    assert line_dedup.patience([1, 5, 5, 2], [3, 5, 5, 4]) == [(1, 1), (2, 2)]
+    assert line_dedup.longest_run([1, 2, 3, 1, 2, 3, 4], [9, 2, 3, 4, 1, 2]) == (4, 1, 3)
+    r = random.Random(4)
+    for _ in range(300):
+        a, b = ([r.randint(0, 3) for _ in range(r.randint(1, 12))] for _ in range(2))
+        p, q, n = line_dedup.longest_run(a, b)
+        assert a[p: p + n] == b[q: q + n] and n == max((k for i in range(len(a)) for j in range(len(b)) for k in range(min(len(a) - i, len(b) - j) + 1) if a[i: i + k] == b[j: j + k]), default=0)
+        chars = [r.randint(0, 12) for _ in a]
+        inside = line_dedup.runs(a, chars, 10)
+        assert all(sum(chars[x: y + 1]) >= 10 for x, y in inside)
+        for i in range(len(a)):
+            for j in range(i, len(a)):
+                if sum(chars[i: j + 1]) >= 10:
+                    assert {k for x, y in inside if i <= x and y <= j for k in range(x, y + 1)} == set(range(i, j + 1))
+
+
 # 6 mixing
 
 def test_mixing(spark, odd, clash, empty):
