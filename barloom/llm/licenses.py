@@ -1,8 +1,8 @@
 """Licence scans by canonical digest lookup (native).
 
 A text is brought to a canonical form (case, copyright lines, equivalent spellings, punctuation and white space), and the digest of
-the entire text is joined by hash to the digests of known licences. Each line is a text too, so that one-line notices are found in
-longer documents. The table of known texts is a constant of this module, which bounds what is broadcast.
+the entire text is joined by hash to the digests of known licences. Each line and each paragraph of several lines is a text too, so
+that notices, headers and titles are found in longer documents. The table of known texts is a constant of this module, which bounds what is broadcast.
 
 Defined results: a null or empty text matches nothing; repeated rows stay repeated; columns of the input that share a name with a
 result are replaced; an empty table gives an empty result.
@@ -70,6 +70,47 @@ KNOWN: list[tuple[str, str]] = [
     ("CC0-1.0", "Released under CC0 1.0."),
     ("LicenseRef-all-rights-reserved", "All rights reserved."),
 ]
+# Canonical digests of entire texts as published (/usr/share/common-licenses), with and without what follows the terms.
+TEXTS: list[tuple[str, str]] = [
+    ("Apache-2.0", "2f973fce6821968caa77d834b80cee7c"),
+    ("Apache-2.0", "a90697331248535821cbca3716b02146"),
+    ("Apache-2.0", "d03e86ac7a1ff3f8d928e1d6027bfd17"),
+    ("Artistic-1.0", "01297679267ad921516667ccd889865e"),
+    ("CC0-1.0", "93a180096f6cfcf2c0dd24f75c2eec48"),
+    ("GFDL-1.2", "52e0a7a295a9d54312c3bc7706f38185"),
+    ("GFDL-1.3", "44771568e7355662712e7982d5c82165"),
+    ("GPL-1.0", "78f3b35da3d393ee93ecfeb7d20907e6"),
+    ("GPL-1.0", "9a6d41337fa0145d93e534071bfae3f8"),
+    ("GPL-1.0", "f9bdbdf2be484ced90e5d8d884a7bed9"),
+    ("GPL-2.0", "1fd12f39754123f61dc30956c432e777"),
+    ("GPL-2.0", "42f2f51f3e726d001525877e3528c3d0"),
+    ("GPL-2.0", "b73af68d56407814bb0960dcc4125f3d"),
+    ("GPL-3.0", "6f7a704d5521abca765227f63e6f8173"),
+    ("GPL-3.0", "7953c2a35c921fbf3e8a6c8e784329c4"),
+    ("GPL-3.0", "c6e3371f21808ec12136735f091080c0"),
+    ("LGPL-2.0", "6608c762a898a5214a0bdfe43ebccdf0"),
+    ("LGPL-2.0", "97832943be1e344d51af5aee1b658e4f"),
+    ("LGPL-2.0", "c396ba2f94537628797123bc12cd2d6e"),
+    ("LGPL-2.1", "3054b3781b1af43f906dc753acad15ee"),
+    ("LGPL-2.1", "61babd02f0832750d51cef545886b23e"),
+    ("LGPL-2.1", "eaf6afb73fc860a002bfbccbe6f07ce7"),
+    ("LGPL-3.0", "993aef82f34a705d491848394cf21cd6"),
+    ("MPL-1.1", "9fa8ae3e869a929215034d82982372b5"),
+    ("MPL-2.0", "b5b7a0cf4994910cd0204fba4637d6ec"),
+]
+_FREE = "{} is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+_GPL, _LESSER, _AFFERO = "General Public License", "Lesser General Public License", "Affero General Public License"
+# Paragraphs of several lines that name a licence, as headers of files or titles of texts.
+HEADERS: list[tuple[str, str]] = [
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    *((f"{short}-{version}", _FREE.format(what, name, major)) for what in ("This program", "This library", "This file", "This software") for short, name, version, major in (
+        ("GPL", _GPL, "2.0", "2"), ("GPL", _GPL, "3.0", "3"), ("LGPL", _LESSER, "2.1", "2.1"), ("LGPL", _LESSER, "3.0", "3"), ("AGPL", _AFFERO, "3.0", "3"))),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"), ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"), ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"), ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+]
 # Spellings that count as equal, after punctuation has gone.
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("organisation", "organization"), ("favour", "favor"), ("judgement", "judgment"),
              ("fulfil", "fulfill"), ("noncommercial", "non commercial"), ("per cent", "percent"), ("copyright owner", "copyright holder"), ("creative commons attribution", "cc by"),
@@ -77,6 +118,8 @@ SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sublicence", "s
 #: A line that opens with a copyright claim. "All rights reserved" on its own line is a notice and stays.
 COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(copyright|\(c\)|©)[ \t,:]*(\(c\)|©)?[ \t]*[0-9][^\n]*$"
 ALLOWED = ("MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL-2.0", "CC-BY-4.0", "CC0-1.0")
+#: Between paragraphs: lines without letters and digits. Paragraphs of one line are lines already.
+GAP = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
 
 
 def canonical(text: Column) -> Column:
@@ -94,17 +137,19 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]]) -> DataFram
 
 
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", known: list[tuple[str, str]] | None = None, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
-    """One row per row of ``docs``: id, digest of the entire text, its licence (null if unknown), notices (ids of matching lines, sorted, joined by a
-    space), n_notices (matching lines) and permitted (no licence found, or only allowed ones).
+    """One row per row of ``docs``: id, digest of the entire text, its licence (null if unknown), notices (ids of matching lines and paragraphs, sorted, joined by a
+    space), n_notices (their number) and permitted (no licence found, or only allowed ones).
 
-    Each text and each of its lines is digested once and meets the broadcast digests; the lines of a row collapse before the shuffle.
+    Each text, line and paragraph is digested once and meets the broadcast digests; the lines of a row collapse before the shuffle.
     """
-    known = KNOWN if known is None else known
+    digests = known_digests(docs.sparkSession, KNOWN + HEADERS if known is None else known)
+    if known is None:
+        digests = digests.union(docs.sparkSession.createDataFrame(TEXTS, "license string, digest string").select("digest", "license")).groupBy("digest").agg(F.min("license").alias("license"))
     t = F.coalesce(F.col(text), F.lit(""))
     units = docs.select(F.col(doc_id).alias("__id"), F.xxhash64(t, F.lit(1)).alias("__h"), F.xxhash64(t, F.lit(2)).alias("__h2"),
-                        F.posexplode(F.concat(F.array(t), F.split(t, "\n"))).alias("__pos", "__unit"))
+                        F.posexplode(F.concat(F.array(t), F.split(t, "\n"), F.filter(F.split(F.concat(F.lit("\n"), t, F.lit("\n")), GAP), lambda x: F.contains(F.btrim(x, F.lit("\n")), F.lit("\n"))))).alias("__pos", "__unit"))
     units = units.filter((F.col("__pos") == 0) | (F.col("__unit") != "")).select("__id", "__h", "__h2", "__pos", F.md5(canonical(F.col("__unit")).cast("binary")).alias("digest"))
-    found = units.join(F.broadcast(known_digests(docs.sparkSession, known)), "digest", "left")
+    found = units.join(F.broadcast(digests), "digest", "left")
     whole = F.col("__pos") == 0
     per = found.groupBy("__id", "__h", "__h2").agg(
         F.count_if(whole).alias("__times"), F.max(F.when(whole, F.col("digest"))).alias("digest"), F.max(F.when(whole, F.col("license"))).alias("license"),

@@ -441,6 +441,17 @@ def test_licenses(spark, odd, clash, empty):
     assert got[0][0].license is None and licenses.scan(clash).count() == len(odd_rows()) and licenses.scan(empty).count() == 0
 
 
+def test_whole_licenses_and_headers(spark):
+    box = "/usr/share/common-licenses/"
+    header = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\n"
+    apache = "/*\n * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n *\n *     http://www.apache.org/licenses/LICENSE-2.0\n */\n"
+    texts = [open(box + f).read() for f in ("GPL-2", "GPL-3", "Apache-2.0", "CC0-1.0", "LGPL-2.1")] + [header + "x = 1", apache + "int x;", "about the GNU GPL"]
+    got = {g.doc_id: g for g in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].license for i in range(5)] == ["GPL-2.0", "GPL-3.0", "Apache-2.0", "CC0-1.0", "LGPL-2.1"]
+    assert [got[i].permitted for i in range(8)] == [False, False, True, True, False, False, True, True]
+    assert got[5].notices == "GPL-3.0" and got[6].notices == "Apache-2.0" and got[7].notices == "" and got[5].n_notices == 1
+
+
 # the pipeline
 
 def test_pipeline_stages(spark, odd, empty):
