@@ -4,11 +4,11 @@ Two character models of order 5, one of toxic and one of ordinary labelled text,
 it. Their own counts are discounted and interpolated with one shared lower-order model, whose Kneser-Ney continuation counts come
 from all documents, labelled or not: a rare expression falls back on the same counts in both classes and speaks for neither. A
 document is compared by its length-normalised log-likelihoods: the mean difference over the text and over its best window. A
-logistic curve over the two, fitted on training rows that the counts left out, turns them into a score.
+logistic curve over the two, fitted on a bounded sample of training rows by counts without them, turns them into a score.
 
 A symbol is the boundary or one of 26 classes of bytes (letters without case; bytes of other alphabets fold into the same range), so
 a model is at most 27 ** 5 counts, which bounds what is gathered and broadcast whatever the corpus holds. Counts cover every text
-and, per class, every labelled row outside the held-out fold; only the curve is fitted on a sample of at most ``max_fit`` rows.
+and, per class, every labelled row outside the held-out fold; only the curve is fitted on a sample of at most ``max_fit`` ids.
 
 Defined results: a null text counts as empty; a text without letters has the score of two equal likelihoods; rows that repeat a
 doc_id are scored by their own texts; a null doc_id is never held out and has no label; without labels of both classes every score
@@ -163,13 +163,16 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", doc_
     """doc_id, held_out, score, predicted; ``labels`` has doc_id and toxic."""
     small_batches(docs.sparkSession)
     train = labels.select(F.col("doc_id").alias("id"), F.col("toxic").alias("label")).filter((fold("id", folds) != held) & F.col("label").isin(0, 1)).dropDuplicates(["id"])
-    # one training row in four fits the curve, the others fill the counts
-    fits = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(4)) == 0
-    counted = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(train.filter(~fits), F.col("__id") == F.col("id"), "left")
-    rows = count_rows(counted).toPandas()
-    table = ratios(rows["code"].to_numpy(np.int64), rows["toxic"].to_numpy(float), rows["ordinary"].to_numpy(float))
-    x = saved(compared(docs, table, text, doc_id), "compared")
-    sample = x.join(train.filter(fits), F.col("doc_id") == F.col("id")).orderBy(F.xxhash64("doc_id", F.lit(9)), "mean").limit(max_fit).select("mean", "best", "label").collect()
+    # at most max_fit rows of one training row in four fit the curve, on ratios of counts without them; the final ratios count every training row
+    fits = train.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(4)) == 0).orderBy(F.xxhash64("id", F.lit(9)), "id").limit(max_fit)
+    texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text"))
+    rows = count_rows(texts.join(train, F.col("__id") == F.col("id"), "left")).toPandas().sort_values("code")
+    fitting = saved(texts.join(fits, F.col("__id") == F.col("id")), "fitting")
+    less = count_rows(fitting).toPandas().set_index("code").reindex(rows["code"], fill_value=0)
+    code, toxic, ordinary = rows["code"].to_numpy(np.int64), rows["toxic"].to_numpy(float), rows["ordinary"].to_numpy(float)
+    without = ratios(code, toxic - less["toxic"].to_numpy(float), ordinary - less["ordinary"].to_numpy(float))
+    sample = compared(fitting, without, "text", "__id").join(fits, F.col("doc_id") == F.col("id")).select("mean", "best", "label").collect()
+    x = saved(compared(docs, ratios(code, toxic, ordinary), text, doc_id), "compared")
     a = np.array([tuple(r) for r in sample]).reshape(-1, 3)
     share = float(a[:, 2].mean()) if len(a) else 0.0
     if 0 < share < 1:

@@ -183,6 +183,16 @@ def test_held_out_labels_do_not_matter(spark):
         assert a == b
 
 
+def test_all_training_rows_are_counted(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "abc defg" if i % 3 else "hij") for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(80)], "doc_id long, toxic int")
+    seen, real = [], toxicity.ratios
+    monkeypatch.setattr(toxicity, "ratios", lambda code, toxic, ordinary: seen.append((toxic.sum(), ordinary.sum())) or real(code, toxic, ordinary))
+    assert toxicity.toxicity_scores(docs, labels).count() == 80
+    train = [i for i in range(80) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert seen[-1] == (4 * sum(i % 3 == 0 for i in train), 9 * sum(i % 3 != 0 for i in train)) and seen[0] < seen[-1]
+
+
 def test_quality_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
