@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch; with texts of a few kB a batch stays in the low megabytes.
@@ -47,6 +47,37 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds))
 
 
+#: The 256 remainders of the byte-wise crc32, as a list of the one row of ``crc_table`` (a CTE for SQL twins).
+CRC_TABLE = "crc_table AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t)"
+
+
+def crc_sql(text: str, t: str) -> str:
+    """DuckDB's expression for the unsigned crc32 of a text's UTF-8 bytes; ``t`` is the list of ``CRC_TABLE``."""
+    data = f"list_transform(range(strlen({text})), lambda k: ('0x' || substr(hex(encode({text})), 2 * k + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, b: xor(c // 256, {t}[xor(c, b) % 256 + 1])), 4294967295)"
+
+
+def numbered(df: DataFrame, order: list[str], group: str | None = None, name: str = "numbered") -> DataFrame:
+    """``df`` with ``i``, the place from 0 in ascending ``order`` (nulls first) within ``group``, and ``n``, the rows of the group.
+
+    A range partitioning by group and order spreads a group that holds a third of all rows; each range counts its own rows, and the
+    rows before a range come from a table with one row per range and group. Equal rows may stand in either order.
+    """
+    whole = group or "__whole"
+    if group is None:
+        df = df.withColumn(whole, F.lit(0))
+    ranged = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(whole, *order, "__tie")
+    ranged = saved(ranged.withColumn("__range", F.spark_partition_id()), name)
+    counts = ranged.groupBy("__range", whole).agg(F.count("*").alias("rows"))
+    ranges = Window.partitionBy(whole).orderBy("__range")
+    starts = counts.select(
+        F.col("__range").alias("r"), F.col(whole).alias("g"), (F.sum("rows").over(ranges.rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows")).alias("before"),
+        F.sum("rows").over(Window.partitionBy(whole)).alias("n"))
+    own = ranged.withColumn("__place", F.row_number().over(Window.partitionBy("__range", whole).orderBy(*order)).cast("long"))
+    out = own.join(starts, (F.col("__range") == F.col("r")) & F.col(whole).eqNullSafe(F.col("g")))
+    return out.select(*[c for c in df.columns if c != "__whole"], (F.col("before") + F.col("__place") - 1).alias("i"), "n")
+
+
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(a, b) links to (node, component), component being the smallest node reached; nodes without links are left out.
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embeddings, licenses, line_dedup, minhash, mixing, pieces, quality_model, quality_rules, token_files, toxicity
+from . import embeddings, language, licenses, line_dedup, manifest, minhash, mixing, pieces, quality_model, quality_rules, spelling, token_files, toxicity
 
 PIECES, BYTE_BPE = "piece_bpe_32k.model", "byte_bpe_50k.json"
 
@@ -86,3 +87,27 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_license_scan", licenses.sql())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op11_merkle_manifest", manifest.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all rows, and what they give for rows of which the lines of every other document were run together."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    tampered = manifest.leaf_digest(*[text if c == "text" else F.col(c) for c in manifest.COLUMNS])
+    m = manifest.manifest(docs, extra={"tampered": tampered})
+    root = F.lit(m.root).cast("string")
+    out = m.proofs().withColumn("folded_root", manifest.folded(F.col("tampered"), F.col("path")))
+    return out.select(
+        F.col("id").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", root.alias("root"), F.sha2(manifest.siblings(F.col("path")), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == root).alias("verified"))
+
+
+@query("op12_spelling_variants", spelling.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_language_id")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"))
