@@ -71,11 +71,11 @@ def numbered(df: DataFrame, order: list[str], group: str | None = None, name: st
     counts = ranged.groupBy("__range", whole).agg(F.count("*").alias("rows"))
     ranges = Window.partitionBy(whole).orderBy("__range")
     starts = counts.select(
-        F.col("__range").alias("r"), F.col(whole).alias("g"), (F.sum("rows").over(ranges.rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows")).alias("before"),
-        F.sum("rows").over(Window.partitionBy(whole)).alias("n"))
+        F.col("__range").alias("__r"), F.col(whole).alias("__g"), (F.sum("rows").over(ranges.rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows")).alias("__before"),
+        F.sum("rows").over(Window.partitionBy(whole)).alias("__n"))
     own = ranged.withColumn("__place", F.row_number().over(Window.partitionBy("__range", whole).orderBy(*order)).cast("long"))
-    out = own.join(starts, (F.col("__range") == F.col("r")) & F.col(whole).eqNullSafe(F.col("g")))
-    return out.select(*[c for c in df.columns if c != "__whole"], (F.col("before") + F.col("__place") - 1).alias("i"), "n")
+    out = own.join(starts, (F.col("__range") == F.col("__r")) & F.col(whole).eqNullSafe(F.col("__g")))
+    return out.select(*[c for c in df.columns if c != "__whole"], (F.col("__before") + F.col("__place") - 1).alias("i"), F.col("__n").alias("n"))
 
 
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:

@@ -1,7 +1,8 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton of labelled text accepts exactly the substrings of that text. A document is parsed greedily into
-phrases, each the longest match in the labelled text of the language; a letter that no match can be prolonged by begins the next phrase.
+phrases, each the longest match in the labelled text of the language; the symbol that ends a match begins the next phrase, and one
+that the labelled text lacks is a phrase of its own.
 The fewer phrases, the better the labelled text predicts the document. With ``c`` phrases over ``m`` symbols and ``n`` symbols of
 labelled text, ``c * log2(n) / m`` estimates the cross entropy; the language with the smallest wins, so languages with
 less labelled text are not favoured or hurt. The score is the winner's share of ``2 ** -bits`` over all languages.
@@ -125,11 +126,12 @@ class Parser:
         self.code = code[_byte]
         base, tables = [0], []
         for source, byte, target in parts:
-            states = int(max(target.max(), source.max())) + 1
+            states = int(max(target.max(), source.max())) + 2
             table = np.zeros((states, SYMBOLS), np.int32)
             known = code[byte] > 0
             at = (base[-1] + target[known]) * SYMBOLS
-            start = np.full(SYMBOLS, base[-1] * SYMBOLS)
+            # the last state has no past: any symbol begins a phrase there; one that the labelled text lacks leads back to it
+            start = np.full(SYMBOLS, (base[-1] + states - 1) * SYMBOLS)
             first = source[known] == 0
             start[code[byte[known]][first]] = at[first]
             table[:] = ~start
@@ -137,7 +139,7 @@ class Parser:
             tables.append(table)
             base.append(base[-1] + states)
         self.table = np.concatenate(tables).ravel()
-        self.start = np.array(base[:-1], np.int64)[:, None] * SYMBOLS
+        self.start = (np.array(base[1:], np.int64)[:, None] - 1) * SYMBOLS
         self.bits = np.array([math.log2(f["size"]) for f in fits])
 
     def phrases(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +168,7 @@ class Parser:
             start, own = start[order], own[order]
             active = len(own) - np.searchsorted(own[::-1], np.arange(SEGMENT), side="right")
             state = np.repeat(self.start, len(own), axis=1)
-            found = np.ones(state.shape, np.int64)
+            found = np.zeros(state.shape, np.int64)
             for k in range(int(own[0])):
                 m = active[k]
                 step = self.table[state[:, :m] + symbols[start[:m] + k]]
