@@ -5,6 +5,7 @@ names, adds what they need, sizes the halo and emits a handful of stages over on
 
 * native - a Column over the block window,
 * total / fill - since-the-start running sum or forward fill (``blocks.carry``),
+* ring - the last k events as an array (``rings.ring_carry``),
 * ewm - exponential recursion, evaluated per block with a warm-up long enough that the influence of
   anything earlier is below double precision,
 * table - joined in from a function of the bars (sequential scans, chart peaks).
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 from barloom.operators.blocks import BLOCK_ROWS, SERIES, carry, core_rows, to_blocks
+from barloom.operators.rings import ring_carry
 
 BASE = ("pair", "timeframe", "ts", "open", "high", "low", "close", "volume")
 
@@ -43,6 +45,7 @@ class Feature:
 
 
 REGISTRY: dict[str, Feature] = {}
+CARRIED = ("total", "fill", "ring")
 
 
 def register(feature: Feature) -> Feature:
@@ -62,6 +65,11 @@ def fill(name: str, deps: Sequence[str], build: Callable[[], Column], back: int
     return register(Feature(name, "fill", tuple(deps), build, back, group=group))
 
 
+def ring(name: str, deps: Sequence[str], build: Callable[[], tuple[Column, Column]], back: int = 1, group: str = ""):
+    """The last events, newest first; ``build`` gives the event and the value kept of it."""
+    return register(Feature(name, "ring", tuple(deps), build, back, group=group))
+
+
 def warm_up(alpha: float) -> int:
     """Rows after which the weight of older observations is below 1e-17."""
     return 1 if alpha >= 1 else math.ceil(math.log(1e-17) / math.log1p(-alpha))
@@ -111,7 +119,7 @@ def halo(need: dict[str, Feature]) -> tuple[int, int]:
         back[name] = f.back + max((back.get(d, 0) for d in f.deps), default=0)
         ahead[name] = f.ahead + max((ahead.get(d, 0) for d in f.deps), default=0)
     b, a = max(back.values(), default=0), max(ahead.values(), default=0)
-    if any(f.kind in ("total", "fill") for f in need.values()):
+    if any(f.kind in CARRIED for f in need.values()):
         b = 2 * b + 16
     return b, a
 
@@ -178,7 +186,7 @@ def compute(
         return seen
 
     # Carried columns first, while the frame is narrow; then what the recursions read; then the rest.
-    carried_first = {f.name for f in todo if f.kind in ("total", "fill")
+    carried_first = {f.name for f in todo if f.kind in CARRIED
                      and not any(need[d].kind == "ewm" for d in inputs_of([f.name]))}
     for_recursions = inputs_of(d for f in todo if f.kind == "ewm" for d in f.deps)
 
@@ -195,10 +203,13 @@ def compute(
                 df = df.withColumns({f.name: f.build() for f in batch})
                 done |= {f.name for f in batch}
                 continue
-            carried = [f for f in pending if f.kind in ("total", "fill") and ready(f)]
+            carried = [f for f in pending if f.kind in CARRIED and ready(f)]
             if carried:
-                df = carry(df, back, {f.name: f.build() for f in carried if f.kind == "total"},
-                           {f.name: f.build() for f in carried if f.kind == "fill"}, block_rows=rows)
+                sums, lasts, rings = ({f.name: f.build() for f in carried if f.kind == k} for k in CARRIED)
+                if sums or lasts:
+                    df = carry(df, back, sums, lasts, block_rows=rows)
+                if rings:
+                    df = ring_carry(df, back, rings, block_rows=rows)
                 done |= {f.name for f in carried}
                 continue
             chain: list[Feature] = []

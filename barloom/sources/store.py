@@ -114,7 +114,7 @@ def catch_up(bars: DataFrame, done: DataFrame, names: Sequence[str], min_rows: i
     marks = watermarks(done)
     src = bars.join(sizes, list(SERIES)).join(marks, list(SERIES), "left")
     fresh = F.col("last_ts").isNull() | (F.col("ts") > F.col("last_ts"))
-    whole_past = any(f.kind in ("total", "fill", "table") for f in closure(names).values())
+    whole_past = any(f.kind in ("total", "fill", "ring", "table") for f in closure(names).values())
     if not whole_past:
         w = Window.partitionBy(*SERIES).orderBy(F.desc("ts"))
         old = src.where(~fresh).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= back + 1).drop("_k")

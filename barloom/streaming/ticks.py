@@ -55,7 +55,7 @@ def update_features(bars: DataFrame, bar_table: str, feature_table: str, names:
     from barloom.functions.registry import closure, compute, halo
 
     need = closure(names)
-    context = None if any(f.kind in ("total", "fill", "table") for f in need.values()) else halo(need)[0] + 1
+    context = None if any(f.kind in ("total", "fill", "ring", "table") for f in need.values()) else halo(need)[0] + 1
 
     def batch(df: DataFrame, _epoch: int) -> None:
         spark = df.sparkSession
