@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from barloom.catalog.base import ema_spec, ewm_cte, frame, prev, roll
-from barloom.catalog.indicators import ADX, ATRJ, B, CCI, CUM, MACD, OBV, RSI, STOCH, SW, SW1, SW2, FIBSQL, feature_query, step
+from pyspark.sql import functions as F
+
+from barloom.catalog.base import KEYS, bars, bars_cte, ema_spec, ewm_cte, frame, prev, query, roll, rounded
+from barloom.catalog.indicators import ADX, ATRJ, B, CCI, CUM, FIBSQL, MACD, OBV, RSI, STOCH, SW, SW1, SW2, feature_query, roc, step
 from barloom.functions.pullback_quality import ADVICE, GRADES, PULLBACK_QUALITY, WEIGHTS
+from barloom.functions.registry import compute
 from barloom.functions.trend_class import ALIGNMENT_POINTS, LABELS, MOMENTUM_POINTS, QUALITY_POINTS, TREND_CLASS, VOLUME_POINTS
+from barloom.operators.touch import first_touch
+from barloom.plans import structure as S
+from barloom.plans.structure import CLASSES, LOOK, PARTS, SHARES, TOLERANCE, TREND_SCORES
 
 
 def case(x: str, table: dict, other="0") -> str:
@@ -111,3 +117,113 @@ QUALITY_COLUMNS = {
 }
 assert list(QUALITY_COLUMNS) == PULLBACK_QUALITY
 feature_query("mt3_pullback_quality", PULLBACK_QUALITY, f"WITH {B}, {', '.join(QUALITY)} SELECT pair, timeframe, ts, " + ", ".join(f"{e} AS {c}" for c, e in QUALITY_COLUMNS.items()) + " FROM p4")
+
+# ---- three timeframes ----
+TF = ("4h", "1h", "15m")
+BARS3 = [bars_cte("15m", "b15"), bars_cte("1h", "b60"), bars_cte("4h", "b240"), "bars AS (SELECT * FROM b15 UNION ALL SELECT * FROM b60 UNION ALL SELECT * FROM b240)"]
+
+
+def aligned_sql(source: str, cols: dict[str, str]) -> list[str]:
+    """The columns of each timeframe as of the close of every fast bar: CTE ``al`` with h_, t_ and l_ columns."""
+    sel = ", ".join(f"{e} AS {c}" for c, e in cols.items())
+    put = lambda p, x: ", ".join(f"{x}.{c} AS {p}_{c}" for c in cols)
+    return [f"side AS (SELECT pair, timeframe, ts, {sel} FROM {source})", *[f"side_{p} AS (SELECT * FROM side WHERE timeframe = '{tf}')" for p, tf in zip("htl", TF)],
+            f"a1 AS (SELECT l.pair, l.timeframe, l.ts, {put('l', 'l')}, {put('t', 't')} FROM side_l l ASOF LEFT JOIN side_t t ON l.pair = t.pair AND l.ts >= t.ts + INTERVAL 45 MINUTE)",
+            f"al AS (SELECT a1.*, {put('h', 'h')} FROM a1 ASOF LEFT JOIN side_h h ON a1.pair = h.pair AND a1.ts >= h.ts + INTERVAL 225 MINUTE)"]
+
+
+def agreement(x: str, values: tuple) -> str:
+    a, b, c, d = (f"'{v}'" if isinstance(v, str) else v for v in values)
+    return f"CASE WHEN {x} <= 0.5 THEN {a} WHEN {x} <= 1.0 THEN {b} WHEN {x} <= 1.5 THEN {c} ELSE {d} END"
+
+
+def trend_points(x: str) -> str:
+    return f"({case(x, TREND_SCORES)})"
+
+
+SYNTHESIS = [*TREND, *aligned_sql("p4", {"trend": TREND_COLUMNS["primary_trend"], "strength": TREND_COLUMNS["primary_trend_strength"], "quality": "quality", "osc": "osc"}),
+             "y0 AS (SELECT *, coalesce(h_trend, 'neutral') AS th, coalesce(t_trend, 'neutral') AS tt, coalesce(l_trend, 'neutral') AS tl FROM al)",
+             step("y1", {"sd": f"list_stddev_pop([{trend_points('th')}, {trend_points('tt')}, {trend_points('tl')}])",
+                         "same": "CASE WHEN th = tt AND tt = tl THEN 3 WHEN th = tt OR tt = tl OR th = tl THEN 2 ELSE 1 END",
+                         "up": " + ".join(one(f"{p}_osc = 'bullish'") for p in "htl"), "down": " + ".join(one(f"{p}_osc = 'bearish'") for p in "htl"),
+                         "primary_trend": "list_max([" + ", ".join(f"{{'n': {one(f'th = {chr(39)}{x}{chr(39)}')} * 5 + {one(f'tt = {chr(39)}{x}{chr(39)}')} * 3 + {one(f'tl = {chr(39)}{x}{chr(39)}')} * 2, 'o': {-i}, 'label': '{x}'}}"
+                                                                     for i, x in enumerate(LABELS)) + "]).label"}, "y0")]
+SYNTHESIS_COLUMNS = {
+    "htf_trend": "th", "ttf_trend": "tt", "ltf_trend": "tl", "primary_trend": "primary_trend",
+    "trend_strength": "round((coalesce(h_strength, 0) * 5 + coalesce(t_strength, 0) * 3 + coalesce(l_strength, 0) * 2) / 10, 6)",
+    "alignment": agreement("sd", ("perfect_alignment", "good_alignment", "partial_alignment", "conflicting")), "trend_alignment_score": "round(same / 3.0 * 100, 6)",
+    "structure_quality_score": "round((" + " + ".join("(" + case(f"coalesce({p}_quality, 'poor')", QUALITY_POINTS) + f") * {w}" for p, w in SHARES.items()) + ") / 10.0, 6)",
+    "momentum_alignment": "CASE WHEN up >= 2 THEN 'bullish_alignment' WHEN down >= 2 THEN 'bearish_alignment' ELSE 'mixed_momentum' END",
+}
+query("mt2_trend_synthesis", f"WITH {', '.join([*BARS3, *SYNTHESIS])} SELECT pair, timeframe, ts, " + ", ".join(f"{e} AS {c}" for c, e in SYNTHESIS_COLUMNS.items()) + " FROM y1")(
+    lambda spark, sf: rounded(S.trend_synthesis(bars(spark, sf, *TF), TF)))
+
+PIVOTS = f"""WITH {bars_cte('1h', 'b60')}, {bars_cte('4h', 'b240')}, bars AS (SELECT * FROM b60 UNION ALL SELECT * FROM b240), {SW},
+  slow AS (SELECT pair, timeframe, ts, low AS price FROM s0 WHERE timeframe = '4h' AND swing_low = 1), fast AS (SELECT pair, ts, high FROM s0 WHERE timeframe = '1h' AND swing_low = 1),
+  m AS (SELECT slow.*, f.ts AS near_ts, f.high AS near_high, row_number() OVER (PARTITION BY slow.pair, slow.ts ORDER BY abs(epoch_us(f.ts) - epoch_us(slow.ts)), f.ts) AS k
+    FROM slow LEFT JOIN fast f ON f.pair = slow.pair)
+  SELECT pair, timeframe, ts, round(price, 6) AS price, near_ts, round(near_high, 6) AS near_high, round(abs(epoch_us(near_ts) - epoch_us(ts)) / 1e6::DOUBLE, 6) AS seconds,
+    round((near_high - price) / nullif(price, 0), 6) AS price_diff, coalesce(abs((near_high - price) / nullif(price, 0)) < 0.01::DOUBLE, false) AS agrees FROM m WHERE k = 1"""
+query("jn7_nearest_pivot", PIVOTS)(lambda spark, sf: rounded(S.nearest_pivots(bars(spark, sf, "1h", "4h"), "4h", "1h", "low")))
+
+ORDER = ("CASE WHEN coalesce(len(h8) < 3, true) OR coalesce(len(l8) < 3, true) THEN 'neutral' WHEN h8[-1].high < h8[-2].high AND h8[-2].high < h8[-3].high AND l8[-1].low < l8[-2].low AND l8[-2].low < l8[-3].low THEN 'strong_downtrend'"
+         " WHEN h8[-1].high < h8[-2].high AND h8[-2].high < h8[-3].high THEN 'weak_downtrend'"
+         " WHEN h8[-1].high > h8[-2].high AND h8[-2].high > h8[-3].high AND l8[-1].low > l8[-2].low AND l8[-2].low > l8[-3].low THEN 'strong_uptrend'"
+         " WHEN h8[-1].high > h8[-2].high AND h8[-2].high > h8[-3].high THEN 'weak_uptrend' ELSE 'neutral' END")
+STATE = {"rsi": ("rsi < 30", "rsi > 70"), "macd": ("macd > 0", "macd < 0"), "stoch_k": ("k < 20", "k > 80"), "momentum_continuation": ("r5 > 50 AND close > pcl", "r5 < 50 AND close < pcl")}
+ALIGNED = [
+    *MACD[:2], *RSI, *STOCH, SW,
+    step("p0", {"h8": f"(list({{'ts': ts, 'high': high, 'low': low}}) FILTER (swing_high = 1) {CUM})[-8:]", "l8": f"(list({{'ts': ts, 'high': high, 'low': low}}) FILTER (swing_low = 1) {CUM})[-8:]",
+                "swings": f"sum(swing_high + swing_low) {CUM}", "pcl": prev("close"), "vm": roll("avg", "volume", 20), "pr": roc("close", 1),
+                "seen": one(f"rn >= 16 AND {prev('close', 5)} > max(close) OVER (PARTITION BY pair, timeframe ORDER BY ts ROWS BETWEEN 10 PRECEDING AND 6 PRECEDING) AND close < {prev('close', 5)} * 0.98::DOUBLE"),
+                "vd": one(f"rn > 20 AND close < {prev('close', 5)} AND avg(volume) OVER (PARTITION BY pair, timeframe ORDER BY ts ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)"
+                          " < avg(volume) OVER (PARTITION BY pair, timeframe ORDER BY ts ROWS BETWEEN 10 PRECEDING AND 6 PRECEDING) * 0.8::DOUBLE")}, "s0"),
+    "p1 AS (SELECT p0.*, rs.rsi, m.macd, k1.k FROM p0 LEFT JOIN rs USING (pair, timeframe, ts) LEFT JOIN m USING (pair, timeframe, ts) LEFT JOIN k1 USING (pair, timeframe, ts))",
+    step("p2", {"r5": roll("avg", "rsi", 5), "sd": roll("stddev_samp", "pr", 20), "pullbacks": f"sum(seen) {CUM}"}, "p1"),
+    step("p3", {"vc": "CASE WHEN volume > vm * 1.5 AND abs(pr) > sd AND close > pcl THEN 1 WHEN volume > vm * 1.5 AND abs(pr) > sd AND close < pcl THEN -1 ELSE 0 END", "ord": ORDER,
+                "strength": "CASE WHEN rn < 20 THEN 0.0 ELSE least(1.0, swings / greatest(1, rn // 20)) END",
+                **{f"st_{s}": f"CASE WHEN {u} THEN 1 WHEN {d} THEN -1 ELSE 0 END" for s, (u, d) in STATE.items()}}, "p2"),
+    *aligned_sql("p3", {c: c for c in ("h8", "l8", "ord", "strength", "pullbacks", "vc", "vd", *[f"st_{s}" for s in STATE])}),
+]
+
+
+def met_sql(p: str, ring: str, side: str) -> str:
+    near = f"{p}_{ring}[-{LOOK[p]}:]"
+    best = f"list_min(list_transform({near}, lambda x: {{'d': abs(epoch_us(x.ts) - epoch_us(s.ts)), 'ts': x.ts, 'high': x.high}})).high"
+    return f"coalesce(len(list_filter(h_{ring}[-3:], lambda s: coalesce(abs(({best} - s.{side}) / nullif(s.{side}, 0)) < {TOLERANCE[p]}::DOUBLE, false))), 0)"
+
+
+_met = " + ".join(met_sql(p, r, side) for r, side in (("h8", "high"), ("l8", "low")) for p in "tl")
+_asked = "2 * (coalesce(len(h_h8[-3:]), 0) + coalesce(len(h_l8[-3:]), 0))"
+_back = "[coalesce(h_pullbacks, 0), coalesce(t_pullbacks, 0), coalesce(l_pullbacks, 0)]"
+SCORES = {
+    "trend_score": agreement(f"list_stddev_pop([{', '.join(trend_points(f'coalesce({p}_ord, {chr(39)}neutral{chr(39)})') for p in 'htl')}])", (1.0, 0.75, 0.5, 0.25)),
+    "swing_score": f"CASE WHEN {_asked} > 0 THEN ({_met}) / ({_asked}) ELSE 0.0 END",
+    "pullback_score": f"CASE WHEN list_min({_back}) > 0 THEN list_min({_back}) / list_max({_back}) ELSE 0.0 END",
+    "structure_score": "(coalesce(h_strength, 0) + coalesce(t_strength, 0) + coalesce(l_strength, 0)) / 3",
+    "momentum_score": "(" + " + ".join(one(f"coalesce(h_st_{s}, 0) = coalesce(t_st_{s}, 0) AND coalesce(t_st_{s}, 0) = coalesce(l_st_{s}, 0)") for s in STATE) + ") / 4.0",
+    "volume_score": "(" + " + ".join(one(f"(coalesce(h_{c}, 0) > 0 AND coalesce(t_{c}, 0) > 0 AND coalesce(l_{c}, 0) > 0) OR (coalesce(h_{c}, 0) < 0 AND coalesce(t_{c}, 0) < 0 AND coalesce(l_{c}, 0) < 0)") for c in ("vc", "vd")) + ") / 3.0",
+}
+_total = " + ".join(f"{p}_score::DOUBLE * {w}::DOUBLE" for p, w in PARTS.items())
+query("mt6_structure_alignment", f"WITH {', '.join([*BARS3, *ALIGNED])}, z0 AS (SELECT pair, timeframe, ts, {', '.join(f'{e} AS {c}' for c, e in SCORES.items())} FROM al),"
+      f" z1 AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, {_total})) AS score FROM z0) SELECT pair, timeframe, ts, {', '.join(f'round({c}::DOUBLE, 6) AS {c}' for c in SCORES)}, round(score + 1e-9::DOUBLE, 6) AS alignment_score,"
+      f" {ladder('(score + 1e-9::DOUBLE)', CLASSES, 'conflicting')} AS alignment_class FROM z1")(
+    # scores fall on exact half units of the last place; a fixed nudge settles them on both sides
+    lambda spark, sf: rounded(S.structure_alignment(bars(spark, sf, *TF), TF).withColumn("alignment_score", F.col("alignment_score") + 1e-9)))
+
+# ---- first touch ----
+TOUCH = f"""WITH {B}, e AS (SELECT pair, timeframe, ts, high, low, row_number() OVER (PARTITION BY pair, timeframe ORDER BY ts) AS rn,
+    max(high) OVER {frame(50)} AS target, min(low) OVER {frame(50)} AS stop FROM bars),
+  hit AS (SELECT e.pair, e.timeframe, e.ts, arg_min(b.rn, b.rn) AS t, arg_min(b.ts, b.rn) AS touch_ts, arg_min(b.low <= e.stop, b.rn) AS stopped
+    FROM e JOIN e b ON b.pair = e.pair AND b.timeframe = e.timeframe AND b.rn > e.rn AND (b.high >= e.target OR b.low <= e.stop) GROUP BY ALL)
+  SELECT pair, timeframe, ts, round(target, 6) AS target, round(stop, 6) AS stop, touch_ts, CASE WHEN stopped THEN 'stop' WHEN NOT stopped THEN 'target' END AS touch_side, t - rn AS bars_held
+  FROM e LEFT JOIN hit USING (pair, timeframe, ts)"""
+
+
+@query("jn12_first_touch", TOUCH)
+def _touch(spark, sf):
+    """From every bar, the first later one that leaves the range of the 50 bars up to it."""
+    b = bars(spark, sf)
+    framed = compute(b, ["_high_50", "_low_50"])
+    entries = framed.select(*KEYS, F.col("_high_50").alias("target"), F.col("_low_50").alias("stop"))
+    return rounded(first_touch(entries, b))
