@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.catalog.base import KEYS, bars, bars_cte, ema_spec, ewm_cte, frame, prev, query, roll, rounded
-from barloom.catalog.indicators import ADX, ATRJ, B, CCI, CUM, FIBSQL, MACD, OBV, RSI, STOCH, SW, SW1, SW2, feature_query, roc, step
+from barloom.catalog.indicators import ADX, ATRJ, B, CCI, CTX, CUM, FIBSQL, MACD, OBV, RSI, STOCH, SW, SW1, SW2, feature_query, roc, step
+from barloom.catalog.patterns import PIV, RS11, TS
 from barloom.functions.pullback_quality import ADVICE, GRADES, PULLBACK_QUALITY, WEIGHTS
 from barloom.functions.registry import compute
 from barloom.functions.trend_class import ALIGNMENT_POINTS, LABELS, MOMENTUM_POINTS, QUALITY_POINTS, TREND_CLASS, VOLUME_POINTS
 from barloom.operators.touch import first_touch
+from barloom.plans import confluence as C
+from barloom.plans import discovery as D
 from barloom.plans import structure as S
+from barloom.plans.mtf import mtf_table
 from barloom.plans.structure import CLASSES, LOOK, PARTS, SHARES, TOLERANCE, TREND_SCORES
 
 
@@ -227,3 +231,141 @@ def _touch(spark, sf):
     framed = compute(b, ["_high_50", "_low_50"])
     entries = framed.select(*KEYS, F.col("_high_50").alias("target"), F.col("_low_50").alias("stop"))
     return rounded(first_touch(entries, b))
+
+# ---- confluence ----
+CONFIG = {"h": ("macd", "obv"), "t": ("rsi", "macd", "roc"), "l": ("rsi", "bb_pct", "swing_low", "momentum")}
+
+
+def mean_sql(parts) -> str:
+    parts = list(parts)
+    return f"(({' + '.join(parts)}) / {float(len(parts))}::DOUBLE)"
+
+
+def strength_of(s: str) -> str:
+    if "rsi" in s:
+        return f"CASE WHEN {s} < 40 THEN 0.8::DOUBLE - {s} / 100 ELSE 0.5::DOUBLE END"
+    if "macd" in s:
+        return f"coalesce(least(0.9::DOUBLE, abs({s} - sig) * 10), 0.9::DOUBLE)"
+    if "bb" in s:
+        return f"CASE WHEN abs({s}) > 0.8::DOUBLE THEN 0.8::DOUBLE WHEN abs({s}) > 0.5 THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END"
+    if "swing" in s:
+        return f"CASE WHEN {s} <> 0 THEN 0.7::DOUBLE + abs({s}) * 0.3::DOUBLE ELSE 0.5::DOUBLE END"
+    return "0.5::DOUBLE"
+
+
+_SIGNALS = list(dict.fromkeys(s for g in CONFIG.values() for s in g))
+_STATES = {"macd": ("macd > 0", "macd < 0"), "obv": (f"round(obv - {prev('obv')}, 6) > 0", "false"), "rsi": ("rsi < 30", "rsi > 70"), "roc": ("roc > 0", "roc < 0"),
+           "bb_pct": ("bb_pct < 0.2::DOUBLE", "bb_pct > 0.8::DOUBLE"), "swing_low": ("swing_low = 1", "false"), "momentum": ("momentum > 0", "momentum < 0")}
+CONF = [
+    *MACD, *RSI, *OBV, *ADX, *ATRJ[2:], SW,
+    step("p0", {"vm": roll("avg", "volume", 20), "pr": roc("close", 1), "pcl": prev("close"), "pc9": prev("close", 9), "roc": f"{roc('close', 10)} * 100",
+                "momentum": f"close - {prev('close', 10)}", "bm": roll("avg", "close", 20), "bs": roll("stddev_samp", "close", 20),
+                "rp": f"(({roll('max', 'high', 10)}) - ({roll('min', 'low', 10)})) / nullif(close, 0)",
+                "v5": f"avg(volume) OVER {frame(5)}", "w5": "avg(volume) OVER (PARTITION BY pair, timeframe ORDER BY ts ROWS BETWEEN 9 PRECEDING AND 5 PRECEDING)",
+                "swings": f"sum(swing_high + swing_low) OVER {frame(20)}"}, "s0"),
+    "p1 AS (SELECT p0.*, rs.rsi, m.macd, s.sig, q1.obv, z.adx, atj.atr, (p0.close - (bm - 2 * bs)) / nullif(4 * bs, 0) AS bb_pct FROM p0 LEFT JOIN rs USING (pair, timeframe, ts) LEFT JOIN m USING (pair, timeframe, ts)"
+    " LEFT JOIN s USING (pair, timeframe, ts) LEFT JOIN q1 USING (pair, timeframe, ts) LEFT JOIN z USING (pair, timeframe, ts) LEFT JOIN atj USING (pair, timeframe, ts))",
+    step("p2", {"sdp": roll("stddev_samp", "pr", 20), "eq": one(f"rp < ({roll('avg', 'rp', 20)}) * 0.5"), "am": roll("avg", "atr", 20)}, "p1"),
+    step("p3", {"vc": "CASE WHEN volume > vm * 1.5 AND abs(pr) > sdp AND close > pcl THEN 1 ELSE 0 END", "eqs": f"sum(eq) OVER {frame(10)}",
+                **{f"sy_{s}": f"CASE WHEN rn < 10 THEN 0.3::DOUBLE ELSE sum({one(f'{s} > 0')}) OVER {frame(10)} / 10.0::DOUBLE END" for s in _SIGNALS},
+                **{f"sg_{s}": strength_of(s) for s in _SIGNALS}, **{f"on_{s}": one(f"{s} > 0") for s in _SIGNALS},
+                **{f"st_{s}": f"CASE WHEN {u} THEN 1 WHEN {d} THEN -1 ELSE 0 END" for s, (u, d) in _STATES.items()}}, "p2"),
+    step("p4", {"c_volume": f"least(1.0::DOUBLE, CASE WHEN volume > vm * 1.2::DOUBLE THEN 0.4::DOUBLE WHEN volume > vm THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END + {one('rn >= 10 AND v5 > w5')} * 0.3::DOUBLE + {one('vc > 0')} * 0.3::DOUBLE)",
+                "c_rsi": "CASE WHEN rsi > 30 AND rsi < 70 THEN 0.7::DOUBLE WHEN rsi > 50 THEN 0.9::DOUBLE ELSE 0.3::DOUBLE END",
+                "c_macd": "CASE WHEN macd > sig THEN 0.8::DOUBLE ELSE 0.3::DOUBLE END",
+                "c_dir": "CASE WHEN rn < 10 THEN 0.5::DOUBLE WHEN close > pc9 THEN 0.8::DOUBLE ELSE 0.3::DOUBLE END",
+                "c_structure": f"{one('swings BETWEEN 3 AND 8')} * 0.4::DOUBLE + {one('eqs >= 2')} * 0.3::DOUBLE",
+                "c_regime": "least(1.0::DOUBLE, CASE WHEN atr > am * 1.3::DOUBLE OR atr < am * 0.7::DOUBLE THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END + CASE WHEN adx > 25 THEN 0.4::DOUBLE WHEN adx > 20 THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END)",
+                "c_vol": "atr / nullif(close, 0)"}, "p3"),
+    *aligned_sql("p4", {c: c for c in ("c_volume", "c_rsi", "c_macd", "c_dir", "c_structure", "c_regime", "c_vol", *[f"{k}_{s}" for s in _SIGNALS for k in ("sy", "sg", "on", "st")])}),
+]
+
+
+def over(c: str, other: float) -> str:
+    return mean_sql(f"coalesce({p}_{c}, {other}::DOUBLE)" for p in "htl")
+
+
+_pairs = [(p, s) for p, g in CONFIG.items() for s in g]
+_shares = [mean_sql(f"CASE WHEN {p}_st_{s} = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" for s in g) for p, g in CONFIG.items()]
+COMPONENTS = {
+    "timeframe_alignment": "0.0::DOUBLE",
+    "signal_strength": f"least(100.0::DOUBLE, ({mean_sql(f'coalesce({p}_sg_{s}, 0.5::DOUBLE)' for p, s in _pairs)} * 0.6::DOUBLE + {mean_sql(f'coalesce({p}_sy_{s}, 0.3::DOUBLE)' for p, s in _pairs)} * 0.4::DOUBLE) * 100)",
+    "volume_confirmation": f"{over('c_volume', 0.0)} * 100", "momentum_alignment": f"{mean_sql([over('c_rsi', 0.3), over('c_macd', 0.3)])} * 100",
+    "structure_quality": f"{over('c_structure', 0.0)} * 100", "regime_alignment": f"{over('c_regime', 0.8)} * 100",
+}
+assert list(COMPONENTS) == list(C.WEIGHTS)
+_share = f"least(100.0::DOUBLE, ({mean_sql(_shares)} * 0.8::DOUBLE + CASE WHEN list_min([{', '.join(_shares)}]) >= 0.8::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END * 0.2::DOUBLE) * {1 - (max(0.0, 1 - 10 / len(_pairs)) if len(_pairs) < 10 else 0.0)}::DOUBLE * 100)"
+_NUDGED = [*C.WEIGHTS, "state_alignment", "confluence_score"]
+_parts = lambda cond: "list_filter([" + ", ".join(f"CASE WHEN {n} {cond} THEN '{n}' END" for n in C.WEIGHTS) + "], lambda x: x IS NOT NULL)"
+
+
+def nudged(df):
+    """Shares of few signals fall on exact half units of the last place; a fixed nudge settles them on both sides."""
+    return rounded(df.withColumns({c: F.col(c) + 1e-9 for c in df.columns if c in _NUDGED}))
+
+
+query("mt4_confluence_scores", f"WITH {', '.join([*BARS3, *CONF])}, y0 AS (SELECT pair, timeframe, ts, {', '.join(f'{e} AS {c}' for c, e in COMPONENTS.items())}, {_share} AS state_alignment FROM al),"
+      f" y1 AS (SELECT *, least(100.0::DOUBLE, {' + '.join(f'{n} * {w}::DOUBLE' for n, w in C.WEIGHTS.items())}) AS confluence_score FROM y0)"
+      f" SELECT pair, timeframe, ts, {', '.join(f'round({c} + 1e-9::DOUBLE, 6) AS {c}' for c in _NUDGED)}, "
+      + ", ".join(f"{ladder('(confluence_score + 1e-9::DOUBLE)', {k: v[i] for k, v in C.GRADES.items()}, C.LOWEST[i])} AS {n}" for i, n in enumerate(("grade", "recommendation", "confidence_level")))
+      + f", {_parts('+ 1e-9::DOUBLE >= 80')} AS strengths, {_parts('- 1e-9::DOUBLE <= 40')} AS weaknesses FROM y1")(
+    lambda spark, sf: nudged(C.confluence_scores(bars(spark, sf, *TF), TF, CONFIG)))
+_known = " + ".join(one(f"{p}_c_vol IS NOT NULL") for p in "htl")
+BREAKDOWN = {
+    **{f"{p}_{k}": e for p, g in CONFIG.items() for k, e in (("active", " + ".join(f"coalesce({p}_on_{s}, 0)" for s in g)), ("activation_rate", "round((" + " + ".join(f"coalesce({p}_on_{s}, 0)" for s in g) + f") / {len(g)}.0::DOUBLE, 6)"))},
+    **{f"{k}_{w}": f"{v}::DOUBLE" if w == "coverage" else str(v) for k, (n, cov) in C.categories(CONFIG).items() for w, v in (("signals", n), ("coverage", round(cov, 6)))},
+    "timeframe_confirmation": f"round({over('c_dir', 0.5)}, 6)", "signal_density": "1.0::DOUBLE",
+    "risk_adjusted_score": f"round(greatest(0.0::DOUBLE, 1 - CASE WHEN {_known} > 0 THEN (coalesce(h_c_vol, 0) + coalesce(t_c_vol, 0) + coalesce(l_c_vol, 0)) / ({_known}) ELSE 0.02::DOUBLE END), 6)",
+}
+query("mt5_confluence_breakdown", f"WITH {', '.join([*BARS3, *CONF])} SELECT pair, timeframe, ts, {', '.join(f'{e} AS {c}' for c, e in BREAKDOWN.items())} FROM al")(
+    lambda spark, sf: rounded(C.confluence_breakdown(bars(spark, sf, *TF), TF, CONFIG)))
+
+
+# ---- modes H and I ----
+def held(up: str, down: str) -> str:
+    """The newest of two events while it is at most its timeframe's hold old."""
+    e = f"CASE WHEN {up} THEN 1 WHEN {down} THEN -1 ELSE 0 END"
+    return (f"CASE WHEN rn - max(CASE WHEN {e} <> 0 THEN rn END) OVER {frame(6)} <= CASE timeframe WHEN '15m' THEN 3 ELSE 4 END"
+            f" THEN last_value(CASE WHEN {e} <> 0 THEN {e} END IGNORE NULLS) OVER {frame(6)} ELSE 0 END")
+
+
+P10 = "OVER (PARTITION BY pair, timeframe ORDER BY ts ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)"
+SIGNAL_SQL = [
+    f"x_tr AS (WITH {', '.join(TREND)} SELECT pair, timeframe, ts, {', '.join(f'{TREND_COLUMNS[c]} AS {c}' for c in ('primary_trend', 'primary_trend_strength', 'oscillator_trend', 'swing_trend_quality'))} FROM p4)",
+    f"x_pq AS (WITH {', '.join(QUALITY)} SELECT pair, timeframe, ts, total, round_even((structure * 25 + vol * 15 + mom * 15 + tm * 10)::DOUBLE / 100, 1) AS total_bear FROM p4)",
+    f"x_cx AS (WITH {', '.join(CTX[1:])} SELECT pair, timeframe, ts, pcb, pcs FROM u3)",
+    f"x_ts AS (WITH {', '.join(TS)} SELECT pair, timeframe, ts, CASE WHEN sh >= 0.55::DOUBLE THEN 1 WHEN sh < 0.45::DOUBLE THEN -1 ELSE 0 END AS structure FROM t6)",
+    f"x_pv AS (WITH {', '.join(PIV)} SELECT pair, timeframe, ts, {held('coalesce(close > lh AND volume > vm * 1.2::DOUBLE, false)', 'false')} AS break_up, {held('false', 'coalesce(close < ll AND volume > vm * 1.2::DOUBLE, false)')} AS break_down FROM p1)",
+    f"x_md AS (WITH {', '.join(RS11)}, dd AS (SELECT *, coalesce(n11 = 11 AND low < min(low) {P10} AND rsi > min(rsi) {P10}, false) AS up, coalesce(n11 = 11 AND high > max(high) {P10} AND rsi < max(rsi) {P10}, false) AS down,"
+    f" row_number() OVER (PARTITION BY pair, timeframe ORDER BY ts) AS rn FROM d) SELECT pair, timeframe, ts, {held('up', 'false')} AS div_up, {held('false', 'down')} AS div_down FROM dd)",
+    "x_rt AS (SELECT pair, timeframe, ts, (lead(close, 5) OVER (PARTITION BY pair, timeframe ORDER BY ts) / nullif(close, 0) - 1) * 100 AS ret FROM bars)",
+    "x AS (SELECT * FROM x_tr " + " ".join(f"JOIN x_{n} USING (pair, timeframe, ts)" for n in ("pq", "cx", "ts", "pv", "md", "rt")) + ")",
+    *aligned_sql("x", {c: c for c in ("primary_trend", "primary_trend_strength", "total", "total_bear", "pcb", "pcs", "structure", "break_up", "break_down", "div_up", "div_down", "ret")}),
+    step("w0", {"th": "coalesce(h_primary_trend, 'neutral')", "tt": "coalesce(t_primary_trend, 'neutral')", "tl": "coalesce(l_primary_trend, 'neutral')"}, "al"),
+    step("w1", {"trend": SYNTHESIS[-1][SYNTHESIS[-1].index("list_max(["):SYNTHESIS[-1].rindex("]).label")] + "]).label",
+                "strength": "(coalesce(h_primary_trend_strength, 0) * 5 + coalesce(t_primary_trend_strength, 0) * 3 + coalesce(l_primary_trend_strength, 0) * 2) / 10"}, "w0"),
+]
+_H = {"uptrend_pullback": ("bullish", "strength >= 50", "h_structure = 1 AND t_pcb = 1 AND l_break_up = 1", "strength"),
+      "downtrend_rally": ("bearish", "strength >= 50", "h_structure = -1 AND t_pcs = 1 AND l_break_down = -1", "strength")}
+_I = {"hq_bullish_pullback": ("bullish", "coalesce(l_total, 0) >= 80", "h_structure = 1 AND t_pcb = 1 AND l_div_up = 1", "l_total"),
+      "hq_bearish_pullback": ("bearish", "coalesce(l_total_bear, 0) >= 80", "h_structure = -1 AND t_pcs = 1 AND l_div_down = -1", "l_total_bear")}
+
+
+def gate_sql(setups: dict, bonus: str) -> str:
+    rows = " UNION ALL ".join(
+        f"SELECT pair, l_ret AS ret, '{n}' AS setup, '{d}' AS direction, {g} AS grade, trend IN ({', '.join(repr(t) for t in D.TRENDS[1 if d == 'bullish' else -1])}) AND {cond} AS gate, coalesce({on}, false) AS sig FROM w1"
+        for n, (d, cond, on, g) in setups.items())
+    return (f"WITH {', '.join([*BARS3, *SIGNAL_SQL])}, v AS ({rows}), g AS (SELECT pair, setup, direction, sum(gate::INT) AS gated_bars, sum(sig::INT) AS signal_bars, sum((gate AND sig)::INT) AS sample_size,"
+            " avg(CASE WHEN gate AND sig THEN CASE WHEN coalesce(CASE direction WHEN 'bullish' THEN ret > 0 ELSE ret < 0 END, false) THEN 1.0 ELSE 0.0 END END) AS acc, avg(CASE WHEN gate AND sig THEN grade END) AS gs FROM v GROUP BY ALL)"
+            f" SELECT pair, setup, direction, gated_bars, signal_bars, sample_size, round(acc, 6) AS discovered_accuracy, round(gs, 6) AS gate_score, round(acc * {bonus}, 6) AS performance_score FROM g")
+
+
+def gate_query(name: str, mode: str, sql: str):
+    @query(name, sql)
+    def run(spark, sf):
+        states, raw = D.signals_of(mode)
+        return rounded(D.gate_report(mtf_table(bars(spark, sf, *TF), TF, states, [*raw, *D.CONTEXT_EXTRA]), mode, "bar"))
+
+
+gate_query("dsc10_mode_h", "h", gate_sql(_H, "1.1"))
+gate_query("dsc11_mode_i", "i", gate_sql(_I, "(1 + gs / 100)"))

@@ -97,6 +97,9 @@ _part("risk_reward", [*_SWINGS, "pullback_reward_ratio"],
 _PARTS = [f"pullback_{p}_score" for p in WEIGHTS]
 native("pullback_overall", _PARTS,
        lambda: F.bround(sum((F.col(f"pullback_{p}_score") * w for p, w in list(WEIGHTS.items())[1:]), F.col("pullback_depth_score") * WEIGHTS["depth"]) / 100.0, 1), group=G)
+# Depth and reward are judged in uptrends only, so in a downtrend the other five parts make the score.
+native("pullback_overall_bearish", _PARTS,
+       lambda: F.bround(sum((F.col(f"pullback_{p}_score") * w for p, w in WEIGHTS.items() if p not in ("depth", "risk_reward")), F.lit(0)) / 100.0, 1), group=G)
 native("pullback_grade", ["pullback_overall"], lambda: ladder(F.col("pullback_overall"), GRADES, "F"), group=G)
 native("pullback_recommendation", ["pullback_overall"], lambda: ladder(F.col("pullback_overall"), ADVICE, "avoid"), group=G)
 # Four of seven parts are looked at, so a high confidence (0.7 of seven) is never reached.

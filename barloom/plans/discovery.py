@@ -358,6 +358,49 @@ def momentum_cascade(aligned: DataFrame, context: DataFrame, min_confidence: flo
         "pair", "setup", "direction", "sample_size", "discovered_accuracy", "flow", "cascade_score", "performance_score")
 
 
+TRENDS = {1: ("strong_uptrend", "uptrend"), -1: ("strong_downtrend", "downtrend")}
+#: What modes H and I read of each timeframe besides signal states.
+CONTEXT_EXTRA = ["primary_trend", "primary_trend_strength", "swing_trend_quality", "oscillator_trend", "pullback_overall", "pullback_overall_bearish"]
+GATES = {"h": (TREND_CONTEXT, 50), "i": (QUALITY_PULLBACK, 80)}
+
+
+def gate_report(aligned: DataFrame, mode: str, at: str = "last") -> DataFrame:
+    """Per pair and setup of mode H (trend strength at least 50) or I (pullback score at least 80): bars in the gate, bars on which all
+    signals agree, and count, accuracy and score of the bars that count.
+
+    ``at="last"`` asks the trend and the score of a pair's newest bar only, which then admits or bars its whole past; ``at="bar"``
+    asks every bar what was known there. ``aligned`` holds the mode's states and ``CONTEXT_EXTRA``.
+    """
+    from barloom.plans.structure import synthesis_columns
+
+    table, least = GATES[mode]
+    known = synthesis_columns()
+    score = {1: F.coalesce(F.col("l_pullback_overall"), F.lit(0.0)), -1: F.coalesce(F.col("l_pullback_overall_bearish"), F.lit(0.0))}
+    df = aligned.withColumns({"_trend": known["primary_trend"], "_strength": known["trend_strength"], "_up": score[1], "_down": score[-1]})
+    if at == "last":
+        now = last_bar(df, ["_trend", "_strength", "_up", "_down"])
+        df = df.drop("_trend", "_strength", "_up", "_down").join(now, "pair")
+    rows = []
+    for name, parts in table.items():
+        d = side_of(name)
+        grade = F.col("_strength") if mode == "h" else F.col("_up" if d > 0 else "_down")
+        rows.append(F.struct(F.lit(name).alias("setup"), F.lit("bullish" if d > 0 else "bearish").alias("direction"), grade.alias("grade"),
+                             (F.col("_trend").isin(*TRENDS[d]) & (grade >= least)).alias("gate"), all_of(parts, d).alias("on")))
+    x = df.select("pair", RET, F.explode(F.array(*rows)).alias("s")).select("pair", RET, "s.*").withColumn("both", F.col("gate") & F.col("on"))
+    count = lambda c: F.sum(F.col(c).cast("int"))
+    out = x.groupBy("pair", "setup", "direction").agg(
+        count("gate").alias("gated_bars"), count("on").alias("signal_bars"), count("both").alias("sample_size"),
+        F.avg(F.when(F.col("both"), hits(F.col("direction")).cast("int"))).alias("discovered_accuracy"), F.avg(F.when(F.col("both"), F.col("grade"))).alias("gate_score"))
+    bonus = F.lit(1.1) if mode == "h" else 1 + F.col("gate_score") / 100
+    return out.withColumn("performance_score", F.col("discovered_accuracy") * bonus)
+
+
+def gated(aligned: DataFrame, mode: str, at: str = "last") -> DataFrame:
+    """Strategies of mode H (at least 5 bars, half of them right) or I (more than 5 bars and 0.51)."""
+    n, a = F.col("sample_size"), F.col("discovered_accuracy")
+    return gate_report(aligned, mode, at).where((n >= 5) & (a >= 0.50) if mode == "h" else (n > 5) & (a > 0.51))
+
+
 def confluence(aligned: DataFrame, regime: str = "l_historical_regime", share: float = 0.6) -> DataFrame:
     """At least ``share`` of the price-action and of the indicator signals agree in a fitting regime."""
     import math
