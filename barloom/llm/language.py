@@ -89,11 +89,13 @@ def fitted(docs: DataFrame, text: str, doc_id: str, lang: str, folds: int, held:
     """One row per language in text order: lang, size and its automaton's transitions. Bounded by ``max_total`` symbols."""
     train = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(fold("id", folds) != held, F.lit(True)))
     # those with most labelled rows, so that each gets a useful share of the symbols
-    langs = [r["lang"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max(1, max_total // 2_000)).collect()]
-    if not langs:
+    counts = train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max(1, max_total // 2_000)).collect()
+    if not counts:
         return []
-    share = min(max_symbols, max_total // len(langs))
-    keyed = train.filter(F.col("lang").isin(langs)).withColumn("long", F.octet_length("text") > share).withColumn("h", F.xxhash64("id", "text", F.lit(13)))
+    share = min(max_symbols, max_total // len(counts))
+    # eight times the rows wanted, by a hash, so that a language with a third of all rows is thinned out before it is ordered
+    part = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 8 * max_rows / r["n"]))])[F.col("lang")]
+    keyed = train.withColumn("h", F.xxhash64("id", "text", F.lit(13))).filter(F.pmod("h", F.lit(1 << 40)) < part * float(1 << 40)).withColumn("long", F.octet_length("text") > share)
     place = F.row_number().over(Window.partitionBy("lang").orderBy("long", "h"))
     picked = keyed.select("lang", "long", "h").withColumn("place", place).filter(F.col("place") <= max_rows)
     rows = keyed.join(F.broadcast(picked.dropDuplicates(["lang", "h"]).drop("long")), ["lang", "h"]).dropDuplicates(["lang", "h"])
