@@ -32,10 +32,10 @@ def nearest_join(
     probes = left.select(*by, F.col(left_on).alias("_t"), F.lit(1).alias("_probe"), F.struct(*[F.col(c) for c in left.columns]).alias("_l"))
     both = rows.unionByName(probes, allowMissingColumns=True).withColumn("_slot", slot)
     order = Window.partitionBy(*by, "_slot").orderBy("_t", "_probe", *[F.col("_r")[c] for c in ties])
-    local = both.withColumns({
-        "_before": F.last("_r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-        "_after": F.first("_r", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)),
-    }).where("_probe = 1").drop("_r")
+    # backwards in time, a probe before the rows of its own time, so that the last row seen is the next one
+    turned = Window.partitionBy(*by, "_slot").orderBy(F.desc("_t"), F.desc("_probe"), *[F.col("_r")[c] for c in ties])
+    local = both.withColumns({f"_{n}": F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for n, w in (("before", order), ("after", turned))})
+    local = local.where("_probe = 1").drop("_r")
 
     # the later of two equally near later rows is never wanted, but of several at its time the last by ties is
     edges = rows.withColumn("_slot", slot).groupBy(*by, "_slot").agg(F.max("_r").alias("_newest"), F.min("_t").alias("_first"))
