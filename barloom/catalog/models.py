@@ -21,18 +21,26 @@ query("rm19_20_swing_registry", SWU + " SELECT pair, timeframe, ts, kind, round(
     lambda spark, sf: rounded(M.swing_registry(bars(spark, sf)).select(*KEYS, "kind", "price", "magnitude_pct", "structure")))
 
 
+_FITTED: dict[tuple[str, str], tuple] = {}
+
+
 def fitted(spark, sf):
-    b = bars(spark, sf)
-    s = cut_lineage(M.swing_registry(b))
-    r, m = M.hmm_regimes(s, iterations=5)
-    return b, s, cut_lineage(r), m
+    """Bars, swings, regimes and model of a data set, fitted once per application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FITTED:
+        b = bars(spark, sf)
+        s = cut_lineage(M.swing_registry(b))
+        r, m = M.hmm_regimes(s)
+        _FITTED[key] = (b, s, cut_lineage(r), m)
+    return _FITTED[key]
 
 
 query("rm21_hmm_regimes")(lambda spark, sf: fitted(spark, sf)[2].groupBy("pair", "regime").agg(F.count(F.lit(1)).alias("swings")))
 query("rm22_transitions")(lambda spark, sf: rounded(M.transition_table(spark, fitted(spark, sf)[3]), 3))
 query("rm23_centroids")(lambda spark, sf: rounded((lambda t: M.centroids(t[1], t[2]))(fitted(spark, sf)), 3))
+query("exp6_hmm_states")(lambda spark, sf: rounded((lambda t: M.hmm_states(t[0], t[2]))(fitted(spark, sf)), 4))
 query("rm24_regime_runs")(lambda spark, sf: M.regime_runs(fitted(spark, sf)[2]))
-query("rm26_next_regime")(lambda spark, sf: rounded((lambda t: (lambda r: r[0].withColumn("test_accuracy", F.lit(r[1])))(M.next_regime(t[1], t[2], 20, 5)))(fitted(spark, sf)), 4))
+query("rm26_next_regime")(lambda spark, sf: rounded((lambda t: (lambda r: r[0].withColumn("test_accuracy", F.lit(r[1])))(M.next_regime(t[1], t[2])))(fitted(spark, sf)), 4))
 query("rm27_bar_regimes")(lambda spark, sf: (lambda t: M.to_bars(t[0], t[2]))(fitted(spark, sf)).groupBy("pair", "hmm_regime").agg(F.count(F.lit(1)).alias("bars")))
 RN = "r AS (SELECT *, row_number() OVER (PARTITION BY pair, timeframe ORDER BY ts) AS rn FROM bars)"
 F33 = "OVER (PARTITION BY pair, timeframe ORDER BY ts ROWS 32 PRECEDING)"

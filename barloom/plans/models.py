@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -20,20 +19,27 @@ from barloom.functions.registry import compute
 from barloom.operators.asof import asof_join
 from barloom.operators.blocks import BLOCK_ROWS, SERIES, carry, core_rows, number_rows, to_blocks
 from barloom.operators.quantiles import grouped_quantiles
+from barloom.plans.hmm import MOST_STEPS, STATES, fit_chain
 from barloom.session import cut_lineage
 
-# Bar features copied to a swing, with the value used when a bar has none.
-SWING_FEATURES = {"rsi": 50.0, "adx": 20.0, "atr_ratio": 0.0, "macd_hist": 0.0, "volume_zscore": 0.0, "bb_width": 0.0}
-HMM_FEATURES = ("rsi", "adx", "atr_ratio", "slope", "magnitude_pct")
+# Bar features copied to a swing, with the value used when a bar has none; the features of the hidden chain.
+SWING_FEATURES = {
+    "rsi": 50.0, "adx": 20.0, "atr_ratio": 0.0, "macd_hist": 0.0, "volume_zscore": 0.0, "bb_width": 0.0, "local_slope": 0.0, "return_gradient": 0.0,
+    "directional_persistence": 0.0, "kc_width": 0.0, "normalized_variance": 0.0, "roc": 0.0, "ppo": 0.0, "volume_roc": 0.0, "obv_change": 0.0,
+}
+HMM_FEATURES = (
+    "magnitude_pct", "duration", "local_slope", "return_gradient", "directional_persistence", "atr_ratio", "bb_width", "kc_width", "normalized_variance",
+    "rsi", "roc", "ppo", "macd_hist", "adx", "volume_roc", "obv_change", "volume_zscore",
+)
 
 
 def swing_registry(bars: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per confirmed pivot (two where a bar is both) with its move from the pivot before and its structure."""
-    f = compute(bars, ["swing_high", "swing_low", *SWING_FEATURES, "_slope10", "_gradient10"], block_rows)
+    f = compute(bars, ["swing_high", "swing_low", *SWING_FEATURES, "_slope10", "_gradient10"], block_rows, keep=("_rn",))
     kinds = F.array_compact(F.array(
         F.when(F.col("swing_high") == 1, F.struct(F.lit("high").alias("kind"), F.col("high").alias("price"))),
         F.when(F.col("swing_low") == 1, F.struct(F.lit("low").alias("kind"), F.col("low").alias("price")))))
-    x = f.select(*SERIES, "ts", F.posexplode(kinds).alias("_k", "p"), F.coalesce("_slope10", F.lit(0.0)).alias("slope"), F.coalesce("_gradient10", F.lit(0.0)).alias("gradient"),
+    x = f.select(*SERIES, "ts", F.col("_rn").alias("bar_no"), F.posexplode(kinds).alias("_k", "p"), F.coalesce("_slope10", F.lit(0.0)).alias("slope"), F.coalesce("_gradient10", F.lit(0.0)).alias("gradient"),
                  *[F.coalesce(c, F.lit(d)).alias(c) for c, d in SWING_FEATURES.items()])
     x = x.withColumn("_ord", F.unix_seconds("ts") * 2 + F.col("_k")).select("*", "p.*").drop("p", "_k")
     b = to_blocks(number_rows(cut_lineage(x), ties=("_ord",)), 2, block_rows=block_rows)
@@ -42,101 +48,15 @@ def swing_registry(bars: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     kind = F.col("kind")
     up = F.col("price") > before
     structure = F.when(F.col("_rn") <= 2, "unknown").when((kind == "high") & up, "HH").when(kind == "high", "LH").when(up, "HL").otherwise("LL")
-    b = b.withColumns({"magnitude_pct": F.coalesce(F.try_divide(F.abs(F.col("price") - before), before) * 100, F.lit(0.0)), "structure": structure})
+    b = b.withColumns({"magnitude_pct": F.coalesce(F.try_divide(F.abs(F.col("price") - before), before) * 100, F.lit(0.0)), "structure": structure,
+                       "duration": F.coalesce(F.col("bar_no") - F.lag("bar_no").over(w), F.lit(0)).cast("double")})
     return core_rows(b, keep=("_rn",)).withColumnRenamed("_rn", "swing_no").drop("_ord")
 
 
-def _log_density(x: np.ndarray, means: np.ndarray, var: np.ndarray) -> np.ndarray:
-    return -0.5 * (np.log(2 * math.pi * var).sum(1) + (((x[:, None, :] - means) ** 2) / var).sum(2))
-
-
-def _expect(means, var, trans, start, cols):
-    """Scaled forward and backward passes of one block; statistics of its core rows only."""
-    k = len(means)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rn")
-        x = pdf[cols].to_numpy(float)
-        core = pdf["_core"].to_numpy(bool)
-        lp = _log_density(x, means, var)
-        e = np.exp(lp - lp.max(1, keepdims=True))
-        n = len(x)
-        a, c = np.empty((n, k)), np.empty(n)
-        for t in range(n):
-            a[t] = (start if t == 0 else a[t - 1] @ trans) * e[t]
-            c[t] = a[t].sum() or 1e-300
-            a[t] /= c[t]
-        b = np.ones((n, k))
-        for t in range(n - 2, -1, -1):
-            b[t] = trans @ (e[t + 1] * b[t + 1]) / c[t + 1]
-        g = a * b
-        g /= g.sum(1, keepdims=True)
-        xi = np.zeros((k, k))
-        for t in range(n - 1):
-            if core[t]:
-                m = trans * np.outer(a[t], e[t + 1] * b[t + 1])
-                xi += m / max(m.sum(), 1e-300)
-        gc, xc = g[core], x[core]
-        ll = float((np.log(c) + lp.max(1))[core].sum())
-        return pd.DataFrame({"ll": [ll], "w": [gc.sum(0).tolist()], "s": [(gc.T @ xc).ravel().tolist()], "q": [(gc.T @ xc**2).ravel().tolist()], "xi": [xi.ravel().tolist()]})
-
-    return run
-
-
-def _decode(means, var, trans, start, cols):
-    """Most likely path of a block; the halo rows settle the path before the core begins and after it ends."""
-    k = len(means)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rn", ignore_index=True)
-        lp = _log_density(pdf[cols].to_numpy(float), means, var)
-        lt = np.log(trans + 1e-300)
-        n = len(lp)
-        d, back = np.log(start + 1e-300) + lp[0], np.zeros((n, k), dtype=int)
-        for t in range(1, n):
-            s = d[:, None] + lt
-            back[t] = s.argmax(0)
-            d = s.max(0) + lp[t]
-        path = np.empty(n, dtype=int)
-        path[-1] = d.argmax()
-        for t in range(n - 1, 0, -1):
-            path[t - 1] = back[t, path[t]]
-        pdf["regime"] = path
-        return pdf[pdf["_core"]][[*SERIES, "swing_no", "ts", "kind", "regime"]]
-
-    return run
-
-
-def hmm_regimes(swings: DataFrame, features: Sequence[str] = HMM_FEATURES, states: int = 4, iterations: int = 10, halo: int = 256,
+def hmm_regimes(swings: DataFrame, features: Sequence[str] = HMM_FEATURES, states: int = STATES, iterations: int = MOST_STEPS,
                 seed: int = 42, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, dict]:
-    """Diagonal Gaussian hidden Markov model by expectation maximisation; only k x d sums reach the driver.
-
-    Blocks overlap by ``halo`` swings on both sides, over which the chain forgets where it was started.
-    """
-    cols = list(features)
-    stats = swings.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_samp(c).alias(f"s_{c}") for c in cols]).first()
-    z = swings.select(*SERIES, "swing_no", "ts", "kind", *[((F.col(c) - stats[f"m_{c}"]) / (stats[f"s_{c}"] or 1.0)).alias(c) for c in cols])
-    b = cut_lineage(to_blocks(z.withColumn("_rn", F.col("swing_no")), min(halo, block_rows), min(halo, block_rows), block_rows=block_rows))
-    vec = VectorAssembler(inputCols=cols, outputCol="features").transform(b.where("_core"))
-    means = np.array(KMeans(k=states, seed=seed).fit(vec).clusterCenters())
-    var, trans, start = np.ones_like(means), np.full((states, states), 0.1 / max(states - 1, 1)), np.full(states, 1 / states)
-    np.fill_diagonal(trans, 0.9)
-    d = len(cols)
-    schema = "ll double, w array<double>, s array<double>, q array<double>, xi array<double>"
-    history = []
-    for _ in range(iterations):
-        st = b.groupBy(*SERIES, "_blk").applyInPandas(_expect(means, var, trans, start, cols), schema)
-        tot = st.agg(F.sum("ll").alias("ll"), *[F.array(*[F.sum(F.col(c)[i]) for i in range(n)]).alias(c) for c, n in (("w", states), ("s", states * d), ("q", states * d), ("xi", states * states))]).first()
-        w = np.maximum(np.array(tot["w"]), 1e-8)
-        means = np.array(tot["s"]).reshape(states, d) / w[:, None]
-        var = np.maximum(np.array(tot["q"]).reshape(states, d) / w[:, None] - means**2, 1e-3)
-        xi = np.array(tot["xi"]).reshape(states, states) + 1e-6
-        trans, start = xi / xi.sum(1, keepdims=True), w / w.sum()
-        history.append(float(tot["ll"]))
-        if len(history) > 1 and abs(history[-1] - history[-2]) < 1e-6 * abs(history[-2]):
-            break
-    out = b.groupBy(*SERIES, "_blk").applyInPandas(_decode(means, var, trans, start, cols), "pair string, timeframe string, swing_no long, ts timestamp, kind string, regime int")
-    return out, {"means": means, "var": var, "transitions": trans, "log_likelihood": history}
+    """Hidden Markov regime and its posterior probability of every swing."""
+    return fit_chain(swings, features, ["swing_no", "ts", "kind"], "swing_no", states, iterations, seed=seed, block_rows=block_rows)
 
 
 def transition_table(spark, model: dict) -> DataFrame:
@@ -172,7 +92,18 @@ def to_bars(bars: DataFrame, regimes: DataFrame) -> DataFrame:
     return asof_join(bars.select(*SERIES, "ts", "close"), newest, list(SERIES), prefix="_").withColumn("hmm_regime", F.coalesce("_regime", F.lit(-1))).drop("_regime", "_ts")
 
 
-def next_regime(swings: DataFrame, regimes: DataFrame, trees: int = 50, depth: int = 6, seed: int = 42, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, float]:
+def hmm_states(bars: DataFrame, regimes: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Bars with the regime and probability of their newest swing, whether the regime changed there, and the bars it has lasted."""
+    newest = regimes.groupBy(*SERIES, "ts").agg(F.max_by(F.struct("regime", "probability"), "swing_no").alias("x")).select(*SERIES, "ts", "x.regime", "x.probability")
+    x = asof_join(bars.select(*SERIES, "ts", "close"), newest, list(SERIES), prefix="_").withColumn("hmm_regime", F.coalesce("_regime", F.lit(-1)))
+    b = to_blocks(x.select(*SERIES, "ts", "close", "hmm_regime", F.coalesce("_probability", F.lit(0.0)).alias("hmm_probability")), 2, block_rows=block_rows)
+    w = Window.partitionBy(*SERIES, "_blk").orderBy("_rn")
+    b = b.withColumn("regime_changed", F.when(F.col("hmm_regime").eqNullSafe(F.lag("hmm_regime").over(w)), 0).otherwise(1))
+    b = carry(b, 2, lasts={"_since": F.when(F.col("regime_changed") == 1, F.col("_rn"))}, block_rows=block_rows)
+    return core_rows(b.withColumn("bars_in_regime", F.col("_rn") - F.col("_since") + 1).drop("_since"))
+
+
+def next_regime(swings: DataFrame, regimes: DataFrame, trees: int = 100, depth: int = 6, seed: int = 42, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, float]:
     """Forest for the regime of the next swing, trained on the first 80 % of each series; importances and test accuracy."""
     cols = [*SWING_FEATURES, "slope", "gradient", "magnitude_pct"]
     j = swings.join(regimes.select(*SERIES, "swing_no", "regime"), [*SERIES, "swing_no"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,14 +27,20 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
     return spark
 
 
+#: Folders chosen for local sessions that name none, by application.
+_CHOSEN: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder all machines share, from ``spark.checkpoint.dir``; a temporary one is chosen only in local mode."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or _CHOSEN.get(sc.applicationId)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
-        named = "file://" + tempfile.mkdtemp(prefix="barloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        folder = tempfile.mkdtemp(prefix="barloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        named = _CHOSEN[sc.applicationId] = f"file://{folder}"
     return named.rstrip("/")
 
 
