@@ -180,7 +180,7 @@ def _expect(model: Chain, cols: list[str]):
         gamma, xi = _posterior(lp, real, stay, model, np.array(pdf["entered"].iat[0]), np.array(pdf["followed"].iat[0]))
         g = gamma.reshape(-1, gamma.shape[2])[: len(x)]
         begin = g[0] if first else np.zeros(g.shape[1])
-        return pd.DataFrame({"ll": [float(pdf["ll"].iat[0])], "b": [begin.tolist()], "w": [g.sum(0).tolist()], "s": [(g.T @ x).ravel().tolist()], "q": [(g.T @ x**2).ravel().tolist()], "xi": [xi.ravel().tolist()]})
+        return pd.DataFrame({"sums": [np.concatenate([[pdf["ll"].iat[0]], begin, g.sum(0), (g.T @ x).ravel(), (g.T @ x**2).ravel(), xi.ravel()]).tolist()]})
 
     return run
 
@@ -259,7 +259,6 @@ def fit_chain(rows: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), or
     blocks = _Blocks(rows, cols, keep, order, block_rows)
     n = blocks.rows.count()
     k, d = (states if n >= 5 * states else max(2, n // 5)), len(cols)
-    schema = "ll double, b array<double>, w array<double>, s array<double>, q array<double>, xi array<double>"
     out_schema = ", ".join(f"{c} {blocks.rows.schema[c].dataType.simpleString()}" for c in keep) + ", regime int, probability double"
     if n < k:
         return rows.sparkSession.createDataFrame([], out_schema), {"means": np.zeros((0, d)), "var": np.zeros((0, d)), "transitions": np.zeros((0, 0)), "log_likelihood": []}
@@ -271,11 +270,11 @@ def fit_chain(rows: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), or
     model = Chain(means, np.full((k, d), n / max(n - 1, 1) + LEAST_VARIANCE), np.full((k, k), 1 / k), np.full(k, 1 / k))
     history: list[float] = []
     for _ in range(steps):
-        st = blocks.connected(model).groupBy(*SERIES, "_blk").applyInPandas(_expect(model, cols), schema)
-        sums = {"b": k, "w": k, "s": k * d, "q": k * d, "xi": k * k}
-        tot = st.agg(F.sum("ll").alias("ll"), *[F.array(*[F.sum(F.col(c)[i]) for i in range(m)]).alias(c) for c, m in sums.items()]).first()
-        b, w, s, q, xi = (np.array(tot[c]) for c in sums)
-        history.append(float(tot["ll"]))
+        sums = blocks.connected(model).groupBy(*SERIES, "_blk").applyInPandas(_expect(model, cols), "sums array<double>")
+        totals = sums.select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("total")).collect()
+        flat = np.array([r["total"] for r in sorted(totals, key=lambda r: r["pos"])])
+        ll, b, w, s, q, xi = np.split(flat, np.cumsum([1, k, k, k * d, k * d]))
+        history.append(float(ll[0]))
         mass = np.maximum(w, 1e-5)[:, None]
         means = s.reshape(k, d) / mass
         spread = q.reshape(k, d) - 2 * means * s.reshape(k, d) + means**2 * w[:, None]
