@@ -292,12 +292,12 @@ feature_query("cs1_16_candlesticks", [f"pattern_{c}" for c in CANDLES],
               sql_flags([B, SHAPE, SMALL], {f"pattern_{c}": CANDLE_SQL[c] for c in CANDLES}, "q2"))
 feature_query("cs17_placeholders", [f"pattern_{p}" for p in PLACEHOLDERS],
               sql_flags([B], {f"pattern_{p}": "false" for p in PLACEHOLDERS}))
-_flags = "fl AS (SELECT *, " + ", ".join(
+CANDLE_FLAGS = "fl AS (SELECT *, " + ", ".join(
     f"CASE WHEN {CANDLE_SQL[c]} THEN 1 ELSE 0 END AS {c}" for c in CANDLES) + " FROM q2)"
 closed("rg5_recent_patterns", {
     "recent_bullish_patterns": f"({roll('sum', '(hammer + bullish_engulfing + morning_star + inverted_hammer)', 5)})::BIGINT",
     "recent_bearish_patterns": f"({roll('sum', '(shooting_star + bearish_engulfing + evening_star + hanging_man)', 5)})::BIGINT",
-    "recent_doji": f"({roll('sum', '(doji + dragonfly_doji + gravestone_doji + long_legged_doji)', 5)})::BIGINT"}, [SHAPE, SMALL, _flags], "fl")
+    "recent_doji": f"({roll('sum', '(doji + dragonfly_doji + gravestone_doji + long_legged_doji)', 5)})::BIGINT"}, [SHAPE, SMALL, CANDLE_FLAGS], "fl")
 closed("rg6_local_slope", {"local_slope": roll("avg", "s", 3, True)},
        ["r AS (SELECT *, row_number() OVER (PARTITION BY pair, timeframe ORDER BY ts) AS rn FROM bars)",
         step("q", {"s": f"CASE WHEN count(*) OVER {frame(5)} > 1 THEN regr_slope(close, rn) OVER {frame(5)} ELSE 0 END"}, "r")], "q")

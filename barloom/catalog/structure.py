@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.catalog.base import KEYS, bars, bars_cte, ema_spec, ewm_cte, frame, prev, query, roll, rounded
-from barloom.catalog.indicators import ADX, ATRJ, B, CCI, CTX, CUM, FIBSQL, MACD, OBV, RSI, STOCH, SW, SW1, SW2, feature_query, roc, step
+from barloom.catalog.base import KEYS, SQL, bars, bars_cte, ema_spec, ewm_cte, frame, prev, query, roll, rounded
+from barloom.catalog.indicators import (
+    ABC, ADX, ATRJ, B, CANDLE_FLAGS, CANDLE_SQL, CCI, CTX, CUM, FIBSQL, MACD, OBV, RSI, SHAPE, SMALL, STOCH, SW, SW1, SW2, feature_query, roc, step,
+)
 from barloom.catalog.patterns import PIV, RS11, TS
+from barloom.functions.candles import PLACEHOLDERS
 from barloom.functions.pullback_quality import ADVICE, GRADES, PULLBACK_QUALITY, WEIGHTS
 from barloom.functions.registry import compute
 from barloom.functions.trend_class import ALIGNMENT_POINTS, LABELS, MOMENTUM_POINTS, QUALITY_POINTS, TREND_CLASS, VOLUME_POINTS
 from barloom.operators.touch import first_touch
 from barloom.plans import confluence as C
 from barloom.plans import discovery as D
+from barloom.plans import playbook as P
 from barloom.plans import structure as S
 from barloom.plans.mtf import mtf_table
 from barloom.plans.structure import CLASSES, LOOK, PARTS, SHARES, TOLERANCE, TREND_SCORES
@@ -369,3 +373,57 @@ def gate_query(name: str, mode: str, sql: str):
 
 gate_query("dsc10_mode_h", "h", gate_sql(_H, "1.1"))
 gate_query("dsc11_mode_i", "i", gate_sql(_I, "(1 + gs / 100)"))
+
+# ---- rule categories over averages, levels, price action, pullbacks, patterns and anomalies ----
+_NAMES = {"23_6": "236", "38_2": "382", "50_0": "500", "61_8": "618", "78_6": "786"}
+_STAGE = SQL["sw17_pullback_stage"].rsplit("SELECT pair, timeframe, ts, ", 1)[1].split(" AS pullback_stage", 1)[0]
+RULE_SQL = [
+    f"x_av AS (WITH {ewm_cte('em4', 'bars', 'close', [ema_spec('ema_9', 9), ema_spec('ema_26', 26), ema_spec('ema_50', 50), ema_spec('ema_200', 200)])},"
+    f" q AS (SELECT *, {roll('avg', 'close', 50)} AS sma_50, {roll('avg', 'close', 200)} AS sma_200, ({roll('sum', 'close * volume', 20)}) / nullif({roll('sum', 'volume', 20)}, 0) AS vwma,"
+    f" sum((high + low + close) / 3 * volume) {CUM} / nullif(sum(volume) {CUM}, 0) AS vwap FROM bars) SELECT * FROM q LEFT JOIN em4 USING (pair, timeframe, ts))",
+    f"x_cx AS (WITH {', '.join(CTX[1:])} SELECT pair, timeframe, ts, tshort AS trend_short, tmed AS trend_medium, tlong AS trend_long, swing_high, swing_low, sr AS sr_confluence_score, q AS pullback_quality_score,"
+    f" pcb AS pullback_complete_bull, pcs AS pullback_complete_bear, pfh AS pullback_from_high_pct, {', '.join(f'f{k} AS near_fib_{v}' for k, v in _NAMES.items())},"
+    f" {one('tmed = 1 AND mid AND close < pc')} AS healthy_bull_pullback, {one('tmed = -1 AND mid AND close > pc')} AS healthy_bear_pullback,"
+    f" {one('rn > 20 AND len(l3) >= 3 AND l3[-2] > l3[-3] AND l3[-1] > l3[-2] AND tmed = 1')} AS higher_lows_pattern, {one('rn > 20 AND len(h3) >= 3 AND h3[-2] < h3[-3] AND h3[-1] < h3[-2] AND tmed = -1')} AS lower_highs_pattern,"
+    f" {', '.join(one(f'abs(close - {c}) / nullif({c}, 0) < 0.01::DOUBLE') + f' AS pullback_to_{n}' for c, n in (('m9', 'ema9'), ('m26', 'ema20'), ('s50', 'sma50')))},"
+    f" {one('tmed = -1 AND close > lh AND volume > v5')} AS failed_pullback_bear, (lh + rng - close) / nullif(close, 0) * 100 AS distance_to_bull_target_pct,"
+    f" (close - (ll - rng)) / nullif(close, 0) * 100 AS distance_to_bear_target_pct, {_STAGE} AS pullback_stage FROM u3)",
+    f"x_ab AS (WITH {', '.join(ABC)} SELECT pair, timeframe, ts, {one('len(lo) = 21 AND pa - 1 < 16 AND pb - 1 < (22 - pa) - 2 AND list_min(lo[pa + pb - 1:]) > list_min(lo) * 1.005::DOUBLE')} AS abc_pullback_bull,"
+    f" {one('len(hi) = 21 AND qa - 1 < 16 AND qb - 1 < (22 - qa) - 2 AND list_max(hi[qa + qb - 1:]) < list_max(hi) * 0.995::DOUBLE')} AS abc_pullback_bear FROM l2)",
+    f"x_sh AS (WITH r AS (SELECT *, row_number() OVER (PARTITION BY pair, timeframe ORDER BY ts) AS rn FROM bars), q AS (SELECT *, CASE WHEN {roc('close', 1)} > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS u,"
+    f" CASE WHEN count(*) OVER {frame(5)} > 1 THEN regr_slope(close, rn) OVER {frame(5)} ELSE 0 END AS s FROM r)"
+    f" SELECT pair, timeframe, ts, ({roll('avg', 'u', 10)}) - 0.5 AS directional_persistence, {roll('avg', 's', 3, True)} AS local_slope FROM q)",
+    f"x_cd AS (WITH {SHAPE}, {SMALL}, {CANDLE_FLAGS} SELECT pair, timeframe, ts, {', '.join(f'{c} AS pattern_{c}' for c in CANDLE_SQL)}, {', '.join(f'0 AS pattern_{p}' for p in PLACEHOLDERS)},"
+    f" ({roll('sum', '(hammer + bullish_engulfing + morning_star + inverted_hammer)', 5)})::BIGINT AS recent_bullish_patterns,"
+    f" ({roll('sum', '(shooting_star + bearish_engulfing + evening_star + hanging_man)', 5)})::BIGINT AS recent_bearish_patterns,"
+    f" ({roll('sum', '(doji + dragonfly_doji + gravestone_doji + long_legged_doji)', 5)})::BIGINT AS recent_doji FROM fl)",
+    f"x_an AS (WITH {', '.join(ATRJ)} SELECT pair, timeframe, ts, abs(open - {prev('close')}) / nullif({prev('close')}, 0) AS gap_intensity, (high - low) / nullif(atr, 0) AS extended_bar_ratio,"
+    f" {one('volume > 2 * v20')} AS volume_spike FROM (SELECT *, {roll('avg', 'volume', 20)} AS v20 FROM atj))",
+    "x AS (SELECT * FROM x_av " + " ".join(f"JOIN x_{n} USING (pair, timeframe, ts)" for n in ("cx", "ab", "sh", "cd", "an")) + ")",
+]
+_COLUMNS = ["open", "close", *P.PATTERN_INPUTS, *[f"pattern_{c}" for c in (*CANDLE_SQL, *PLACEHOLDERS)]]
+
+
+def counted_rules(name: str, *categories: str):
+    rules = {c: P.applicable(P.PATTERN_RULES[c], _COLUMNS) for c in categories}
+    sums = ", ".join((" + ".join(one(r[2]) for r in rules[c]) or "0") + f" AS {c}" for c in categories)
+
+    @query(name, f"WITH {B}, {', '.join(RULE_SQL)} SELECT pair, timeframe, ts, {sums} FROM x")
+    def run(spark, sf):
+        wanted = [n for n in _COLUMNS if n not in ("open", "close")]
+        return compute(bars(spark, sf), wanted).select(*KEYS, *[F.size(P.confirmations(rules[c])).alias(c) for c in categories])
+
+
+counted_rules("rl5_average_confirmations", "average_bull", "average_bear")
+counted_rules("rl6_level_confirmations", "fibonacci_bull", "fibonacci_bear")
+counted_rules("rl7_action_confirmations", "action_bull", "action_bear")
+counted_rules("rl8_pullback_confirmations", "pullback_bull", "pullback_bear")
+counted_rules("rl9_pattern_confirmations", "candle_bull", "candle_bear", "candle_neutral", "chart_bull", "chart_bear", "chart_neutral")
+counted_rules("rl10_anomaly_confirmations", "anomaly_bull", "anomaly_bear")
+
+
+@query("rl12_entry_points")
+def _entries(spark, sf):
+    """All categories of a side together, as a sorted list of texts."""
+    x = P.entry_points(compute(bars(spark, sf), [*dict.fromkeys([*P.INPUTS, *P.PATTERN_INPUTS, *[n for n in _COLUMNS if n.startswith("pattern_")]])]))
+    return x.select(*KEYS, *[F.size(f"{s}_{k}").alias(f"{s}_{k}") for s in P.ENTRY_POINTS for k in ("indicators", "patterns")])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -99,6 +100,108 @@ VOLATILITY_BEAR = [
     ("High Drawdown Risk (Ulcer=%.2f)", ("ulcer_index",), "ulcer_index > 5"), ("Bull Power Weakening", (), "bull_power < -0.5"),
     ("Bear Power Negative (%.4f)", ("bear_power",), "bear_power < 0"), ("High Chop (%.1f) - Sideways", ("choppiness",), "choppiness > 60"),
 ]
+_AVERAGES = {"ema_9": "EMA(9)", "ema_26": "EMA(26)", "sma_50": "SMA(50)", "sma_200": "SMA(200)", "ema_200": "EMA(200)", "vwma": "VWMA", "vwap": "VWAP"}
+AVERAGE_BULL = [
+    *[(f"Price > {n} (+%.2f%%)", (f"(close - {c}) / {c} * 100",), f"close > {c}") for c, n in _AVERAGES.items()],
+    ("Fast EMA > Slow EMA", (), "ema_9 > ema_26"), ("Golden Cross (SMA50 > SMA200)", (), "sma_50 > sma_200"), ("EMA Golden Cross (EMA50 > EMA200)", (), "ema_50 > ema_200"),
+    ("Perfect Bullish MA Alignment", (), "ema_9 >= ema_26 and ema_26 >= sma_50 and sma_50 >= sma_200"),
+    ("Near SMA(200) Support (%.2f%%)", ("(close - sma_200) / sma_200 * 100",), "close > sma_200 and (close - sma_200) / sma_200 * 100 < 5"),
+]
+AVERAGE_BEAR = [
+    *[(f"Price < {n} (-%.2f%%)", (f"({c} - close) / {c} * 100",), f"close < {c}") for c, n in _AVERAGES.items()],
+    ("Fast EMA < Slow EMA", (), "ema_9 < ema_26"), ("Death Cross (SMA50 < SMA200)", (), "sma_50 < sma_200"), ("EMA Death Cross (EMA50 < EMA200)", (), "ema_50 < ema_200"),
+    ("Perfect Bearish MA Alignment", (), "ema_9 <= ema_26 and ema_26 <= sma_50 and sma_50 <= sma_200"),
+    ("Near SMA(200) Resistance (%.2f%%)", ("(sma_200 - close) / sma_200 * 100",), "close < sma_200 and (sma_200 - close) / sma_200 * 100 < 5"),
+]
+FIBONACCI_BULL = [
+    ("Near Fib 23.6%% Retracement (Bounce Zone)", (), "near_fib_236 = 1"), ("Near Fib 38.2%% Retracement (Bounce Zone)", (), "near_fib_382 = 1"),
+    ("Near Fib 50%% Retracement (Bounce Zone)", (), "near_fib_500 = 1"), ("Near Fib 61.8%% Golden Ratio (Bounce Zone)", (), "near_fib_618 = 1"),
+    ("Near Fib 78.6%% Retracement (Bounce Zone)", (), "near_fib_786 = 1"),
+    ("S/R Confluence (%d levels)", ("sr_confluence_score",), "sr_confluence_score >= 2"),
+    ("High Quality Pullback (Score=%d)", ("pullback_quality_score",), "pullback_quality_score >= 60"),
+]
+FIBONACCI_BEAR = [
+    ("Near Fib 23.6%% Extension (Resistance Zone)", (), "near_fib_236 = 1"), ("Near Fib 38.2%% Extension (Resistance Zone)", (), "near_fib_382 = 1"),
+    ("Near Fib 61.8%% Extension (Resistance Zone)", (), "near_fib_618 = 1"),
+    ("Resistance Confluence (%d levels)", ("sr_confluence_score",), "sr_confluence_score >= 2"),
+]
+ACTION_BULL = [
+    ("Higher High (HH)", (), "structure_type = 'HH'"), ("Higher Low (HL)", (), "structure_type = 'HL'"), ("Bullish Structure Break", (), "structure_break = 1"),
+    ("Short-Term Uptrend", (), "trend_short = 1"), ("Medium-Term Uptrend", (), "trend_medium = 1"), ("Long-Term Uptrend", (), "trend_long = 1"),
+    ("Swing Low Formed", (), "swing_low = 1"), ("Strong Upward Persistence (%.2f)", ("directional_persistence",), "directional_persistence > 0.2"),
+    ("Positive Price Slope (%.4f)", ("local_slope",), "local_slope > 0"),
+]
+ACTION_BEAR = [
+    ("Lower High (LH)", (), "structure_type = 'LH'"), ("Lower Low (LL)", (), "structure_type = 'LL'"), ("Bearish Structure Break", (), "structure_break = 1"),
+    ("Short-Term Downtrend", (), "trend_short = -1"), ("Medium-Term Downtrend", (), "trend_medium = -1"), ("Long-Term Downtrend", (), "trend_long = -1"),
+    ("Swing High Formed", (), "swing_high = 1"), ("Strong Downward Persistence (%.2f)", ("directional_persistence",), "directional_persistence < -0.2"),
+    ("Negative Price Slope (%.4f)", ("local_slope",), "local_slope < 0"),
+]
+PULLBACK_BULL = [
+    ("✅ Bullish Pullback Complete", (), "pullback_complete_bull = 1"), ("Healthy Bull Pullback", (), "healthy_bull_pullback = 1"),
+    ("Higher Lows Pattern (Accumulation)", (), "higher_lows_pattern = 1"), ("ABC Bullish Continuation Pattern", (), "abc_pullback_bull = 1"),
+    ("Pullback to EMA(9)", (), "pullback_to_ema9 = 1"), ("Pullback to EMA(20)", (), "pullback_to_ema20 = 1"), ("Pullback to SMA(50)", (), "pullback_to_sma50 = 1"),
+    ("Ideal Pullback Depth (%.1f%%)", ("abs(pullback_from_high_pct)",), "abs(pullback_from_high_pct) between 3 and 12"),
+    ("Measured Move Target +%.1f%%", ("distance_to_bull_target_pct",), "distance_to_bull_target_pct > 0"),
+    ("🚀 Trend Resumption Phase", (), "pullback_stage = 'resumption_bull'"), ("Late Pullback (Entry Zone)", (), "pullback_stage = 'pullback_late'"),
+]
+PULLBACK_BEAR = [
+    ("✅ Bearish Pullback Complete", (), "pullback_complete_bear = 1"), ("Healthy Bear Pullback", (), "healthy_bear_pullback = 1"),
+    ("Lower Highs Pattern (Distribution)", (), "lower_highs_pattern = 1"), ("ABC Bearish Continuation Pattern", (), "abc_pullback_bear = 1"),
+    ("Failed Bear Pullback (Reversal Risk)", (), "failed_pullback_bear = 1"),
+    ("Measured Move Target -%.1f%%", ("distance_to_bear_target_pct",), "distance_to_bear_target_pct > 0"),
+    ("📉 Downtrend Resumption Phase", (), "pullback_stage = 'resumption_bear'"), ("Late Pullback (Short Entry Zone)", (), "pullback_stage = 'pullback_late'"),
+]
+CANDLES = {
+    "bull": ("hammer", "inverted_hammer", "bullish_engulfing", "morning_star", "piercing_line", "three_white_soldiers", "bullish_harami", "morning_doji_star",
+             "three_inside_up", "three_outside_up", "belt_hold_bull", "tweezer_bottom", "abandoned_baby_bull", "counterattack_bull", "breakaway_bull",
+             "kicking_bull", "kicking_by_length_bull", "marubozu_bull"),
+    "bear": ("shooting_star", "hanging_man", "bearish_engulfing", "evening_star", "dark_cloud_cover", "three_black_crows", "bearish_harami", "evening_doji_star",
+             "three_inside_down", "three_outside_down", "belt_hold_bear", "tweezer_top", "abandoned_baby_bear", "counterattack_bear", "breakaway_bear",
+             "kicking_bear", "kicking_by_length_bear", "marubozu_bear"),
+    "neutral": ("doji", "long_legged_doji", "dragonfly_doji", "gravestone_doji", "rickshaw_man"),
+}
+CHARTS = {
+    "bull": ("double_bottom", "triple_bottom", "ascending_triangle", "cup_and_handle", "inverse_head_and_shoulders", "bullish_flag", "bullish_pennant",
+             "rounding_bottom", "falling_wedge"),
+    "bear": ("double_top", "triple_top", "descending_triangle", "head_and_shoulders", "bearish_flag", "bearish_pennant", "rounding_top", "rising_wedge"),
+    "neutral": ("symmetrical_triangle", "rectangle", "sideways_channel"),
+}
+_CANDLE_MARK, _CHART_MARK = {"bull": "🟢", "bear": "🔴", "neutral": "⚪"}, {"bull": "📈", "bear": "📉", "neutral": "↔️"}
+_RECENT = {"bull": ("Multiple Bullish Candles (%d recent)", ("recent_bullish_patterns",), "recent_bullish_patterns > 1"),
+           "bear": ("Multiple Bearish Candles (%d recent)", ("recent_bearish_patterns",), "recent_bearish_patterns > 1"),
+           "neutral": ("Indecision Candles (%d recent)", ("recent_doji",), "recent_doji > 0")}
+ANOMALY_BULL = [
+    ("Gap Up (%.2f%%)", ("gap_intensity * 100",), "gap_intensity > 0.01"), ("Extended Bullish Bar (Ratio=%.2f)", ("extended_bar_ratio",), "extended_bar_ratio > 2"),
+    ("⚡ Volume Spike (Institutional Activity)", (), "volume_spike = 1"),
+]
+ANOMALY_BEAR = [
+    ("Gap Down (%.2f%%)", ("gap_intensity * 100",), "gap_intensity < -0.01"),
+    ("Extended Bearish Bar (Ratio=%.2f)", ("extended_bar_ratio",), "extended_bar_ratio > 2 and close < open"),
+    ("⚡ Volume Spike (Distribution Alert)", (), "volume_spike = 1"),
+]
+PATTERN_RULES = {
+    "average_bull": AVERAGE_BULL, "average_bear": AVERAGE_BEAR, "fibonacci_bull": FIBONACCI_BULL, "fibonacci_bear": FIBONACCI_BEAR,
+    "action_bull": ACTION_BULL, "action_bear": ACTION_BEAR, "pullback_bull": PULLBACK_BULL, "pullback_bear": PULLBACK_BEAR,
+    **{f"candle_{k}": [*[(f"{_CANDLE_MARK[k]} Candlestick: {n.replace('_', ' ').title()}", (), f"pattern_{n} = 1") for n in names], _RECENT[k]] for k, names in CANDLES.items()},
+    **{f"chart_{k}": [(f"{_CHART_MARK[k]} Chart Pattern: {n.replace('_', ' ').title()}", (), f"{n} = 1") for n in names] for k, names in CHARTS.items()},
+    "anomaly_bull": ANOMALY_BULL, "anomaly_bear": ANOMALY_BEAR,
+}
+PATTERN_INPUTS = [
+    *_AVERAGES, "ema_50", *[f"near_fib_{n}" for n in ("236", "382", "500", "618", "786")], "sr_confluence_score", "pullback_quality_score", "trend_short", "trend_medium",
+    "trend_long", "swing_high", "swing_low", "directional_persistence", "local_slope", "pullback_complete_bull", "healthy_bull_pullback", "higher_lows_pattern",
+    "abc_pullback_bull", "pullback_to_ema9", "pullback_to_ema20", "pullback_to_sma50", "pullback_from_high_pct", "distance_to_bull_target_pct", "pullback_stage",
+    "pullback_complete_bear", "healthy_bear_pullback", "lower_highs_pattern", "abc_pullback_bear", "failed_pullback_bear", "distance_to_bear_target_pct",
+    "recent_bullish_patterns", "recent_bearish_patterns", "recent_doji", "gap_intensity", "extended_bar_ratio", "volume_spike",
+]
+# The lists a side is confirmed by, in order: indicators, then patterns.
+ENTRY_POINTS = {
+    "bullish": (("momentum_bull", "trend_bull", "volume_bull", "volatility_bull", "average_bull", "fibonacci_bull", "anomaly_bull"),
+                ("action_bull", "pullback_bull", "candle_bull", "chart_bull")),
+    "bearish": (("momentum_bear", "trend_bear", "volume_bear", "volatility_bear", "average_bear", "fibonacci_bear", "anomaly_bear"),
+                ("action_bear", "pullback_bear", "candle_bear", "chart_bear")),
+    "ranging": (("ranging",), ("candle_neutral", "chart_neutral", "ranging_patterns")),
+}
 RULES = {"momentum_bull": MOMENTUM_BULL, "momentum_bear": MOMENTUM_BEAR, "trend_bull": TREND_BULL, "trend_bear": TREND_BEAR, "ranging": RANGING,
          "ranging_patterns": RANGING_PATTERNS, "volume_bull": VOLUME_BULL, "volume_bear": VOLUME_BEAR, "volatility_bull": VOLATILITY_BULL,
          "volatility_bear": VOLATILITY_BEAR}
@@ -113,13 +216,26 @@ INPUTS = [
 # ---- end of fixed values ----
 
 
+def applicable(rules: Sequence[tuple[str, tuple[str, ...], str]], columns: Sequence[str]) -> list[tuple[str, tuple[str, ...], str]]:
+    """The rules whose columns the rows have; a rule on a column they lack never confirms."""
+    known = {*columns, "and", "between", "abs", "greatest", "least", "is", "not", "null"}
+    return [r for r in rules if set(re.findall(r"[A-Za-z_]\w*", re.sub(r"'[^']*'", "", r[2]))) <= known]
+
+
+def entry_points(rows: DataFrame) -> DataFrame:
+    """Rows with the confirming indicators and patterns of all categories, per side: ``bullish_indicators``, ``bullish_patterns``, ..."""
+    every = {**RULES, **PATTERN_RULES}
+    texts = {c: confirmations(applicable(every[c], rows.columns)) for pair in ENTRY_POINTS.values() for names in pair for c in names}
+    return rows.withColumns({f"{side}_{kind}": F.concat(*[texts[c] for c in names]) for side, pair in ENTRY_POINTS.items() for kind, names in zip(("indicators", "patterns"), pair, strict=True)})
+
+
 def confirmations(rules: Sequence[tuple[str, tuple[str, ...], str]]) -> Column:
     """The texts of the rules that hold on the row."""
     parts = []
     for text, cols, cond in rules:
         say = F.format_string(text, *[F.expr(c) for c in cols]) if cols else F.lit(text.replace("%%", "%"))
         parts.append(F.when(F.expr(cond), say))
-    return F.array_compact(F.array(*parts))
+    return F.array_compact(F.array(*parts)) if parts else F.array().cast("array<string>")
 
 
 def confirmed(rows: DataFrame, categories: Sequence[str] = tuple(RULES)) -> DataFrame:
