@@ -8,7 +8,7 @@ from barloom.session import scratch
 
 from barloom.catalog.base import KEYS, bars, query, roll, rounded
 from barloom.catalog.discovery import MTF, aligned
-from barloom.catalog.indicators import ATRJ, B, step
+from barloom.catalog.indicators import ATRJ, B, SWALL, step
 from barloom.catalog.patterns import PIV
 from barloom.functions.registry import compute
 from barloom.functions.states import state_table
@@ -123,6 +123,20 @@ query("rk9_chandelier", f"WITH {', '.join([B, *ATRJ])} SELECT pair, timeframe, t
     lambda spark, sf: rounded(RK.chandelier("close", "atr", ["pair", "timeframe"])(compute(bars(spark, sf), ["atr"])).select(*KEYS, "stop")))
 query("rk9_trailing_percent", f"WITH {B} SELECT pair, timeframe, ts, round(max(close - close * 0.01::DOUBLE) OVER (PARTITION BY pair, timeframe ORDER BY ts), 6) AS stop FROM bars")(
     lambda spark, sf: rounded(RK.trailing_stop(compute(bars(spark, sf), ["atr"])).select(*KEYS, "stop")))
+SWL = f"WITH {', '.join([*SWALL, *ATRJ])}, y AS (SELECT s2.pair, s2.timeframe, s2.ts, s2.close, s2.ll, atj.atr, first_value(s2.close) OVER (PARTITION BY s2.pair, s2.timeframe ORDER BY s2.ts) AS entry FROM s2 JOIN atj USING (pair, timeframe, ts))"
+query("rk9_trailing_swing", SWL + " SELECT pair, timeframe, ts, max(round(ll, 4)) OVER (PARTITION BY pair, timeframe ORDER BY ts) AS stop FROM y")(
+    lambda spark, sf: rounded(RK.trailing_stop(compute(bars(spark, sf), ["atr", "last_swing_low"]).withColumnRenamed("last_swing_low", "swing_level"), mode="swing", places=4).select(*KEYS, "stop")))
+query("rk9_breakeven", SWL + " SELECT pair, timeframe, ts, coalesce(close - entry >= 1.0 * atr, false) AS ready FROM y")(
+    lambda spark, sf: _breakeven(spark, sf))
+
+
+def _breakeven(spark, sf):
+    """Every series as a position entered at its first close."""
+    x = compute(bars(spark, sf), ["atr"])
+    entry = x.groupBy("pair", "timeframe").agg(F.min_by("close", "ts").alias("entry"))
+    return x.join(entry, ["pair", "timeframe"]).select(*KEYS, RK.breakeven_ready(F.col("close"), F.col("entry"), F.col("atr")).alias("ready"))
+
+
 query("rk10_position_size", f"WITH {B} SELECT pair, timeframe, ts, round(CASE WHEN volume * 0.1::DOUBLE >= 10 THEN volume * 0.1::DOUBLE / nullif(close, 0) ELSE 0 END, 6) AS quantity FROM bars")(
     lambda spark, sf: rounded(bars(spark, sf).select(*KEYS, RK.position_size(F.col("volume"), F.col("close")).alias("quantity"))))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.catalog.base import KEYS, bars, query, rounded
-from barloom.catalog.indicators import B, SW
+from barloom.catalog.indicators import ADX, B, SW
 from barloom.functions.registry import compute
 from barloom.plans import discovery as D
 from barloom.plans import exports as X
@@ -41,6 +41,8 @@ query("rm23_centroids")(lambda spark, sf: rounded((lambda t: M.centroids(t[1], t
 query("exp6_hmm_states")(lambda spark, sf: rounded((lambda t: M.hmm_states(t[0], t[2]))(fitted(spark, sf)), 4))
 query("rm24_regime_runs")(lambda spark, sf: M.regime_runs(fitted(spark, sf)[2]))
 query("rm26_next_regime")(lambda spark, sf: rounded((lambda t: (lambda r: r[0].withColumn("test_accuracy", F.lit(r[1])))(M.next_regime(t[1], t[2])))(fitted(spark, sf)), 4))
+query("exp7_predictions")(lambda spark, sf: rounded((lambda t: M.predicted_regimes(t[1], t[2])[0])(fitted(spark, sf)).groupBy("pair", "held_out").agg(
+    F.count(F.lit(1)).alias("swings"), F.sum(F.col("matches").cast("int")).alias("matches"), F.avg(F.col("matches").cast("int")).alias("match_accuracy")), 4))
 query("rm27_bar_regimes")(lambda spark, sf: (lambda t: M.to_bars(t[0], t[2]))(fitted(spark, sf)).groupBy("pair", "hmm_regime").agg(F.count(F.lit(1)).alias("bars")))
 RN = "r AS (SELECT *, row_number() OVER (PARTITION BY pair, timeframe ORDER BY ts) AS rn FROM bars)"
 F33 = "OVER (PARTITION BY pair, timeframe ORDER BY ts ROWS 32 PRECEDING)"
@@ -102,3 +104,21 @@ def _labels(spark, sf):
 
 query("exp1_9_bundle")(lambda spark, sf: X.write_bundle(bars(spark, sf), scratch(spark, "barloom-export")))
 query("exp8_instance_summary")(lambda spark, sf: rounded(X.instance_summary(compute(bars(spark, sf), ["bar_regime", "_pct1"]))))
+
+
+MS = f"WITH {B}, {', '.join(ADX)}, t AS (SELECT bars.*, CASE WHEN adx > 30 THEN 'strong_trend' WHEN adx >= 20 THEN 'trending' ELSE 'ranging' END AS r FROM bars LEFT JOIN z USING (pair, timeframe, ts))"
+query("ag4_regime_type_stats", MS + ", c AS (SELECT *, CASE WHEN r IS DISTINCT FROM lag(r) OVER (PARTITION BY pair, timeframe ORDER BY ts) THEN 1 ELSE 0 END AS n FROM t)"
+      " SELECT r AS regime_type, count(*) AS bars, round(avg(close), 6) AS close_mean, round(stddev_samp(close), 6) AS close_std, round(avg(volume), 6) AS volume_mean, round(stddev_samp(volume), 6) AS volume_std,"
+      " sum(n)::BIGINT AS instances FROM c GROUP BY r")(lambda spark, sf: _types(spark, sf))
+
+
+def _types(spark, sf):
+    """Market structure of the hourly bars as regime type, its unbroken runs as instances."""
+    df = compute(bars(spark, sf), ["market_structure", "market_structure_run"])
+    return rounded(X.regime_type_stats(df, "market_structure", "market_structure_run"))
+
+
+_ahead = lambda h: f"(lead(close, {h}) OVER (PARTITION BY pair, timeframe ORDER BY ts) / nullif(close, 0) - 1) * 100"
+query("exp10_regime_returns", MS + f", f AS (SELECT r, {', '.join(f'{_ahead(h)} AS f{h}' for h in (24, 72, 168))} FROM t) SELECT r AS regime_type, count(*) AS bars, "
+      + ", ".join(f"round(avg(f{h}), 6) AS return_{h}, round(avg(CASE WHEN f{h} IS NOT NULL THEN CASE WHEN f{h} > 0 THEN 1.0 ELSE 0.0 END END), 6) AS win_rate_{h}" for h in (24, 72, 168)) + " FROM f GROUP BY r")(
+    lambda spark, sf: rounded(X.regime_returns(compute(bars(spark, sf), ["market_structure", *[f"future_return_{h}" for h in (24, 72, 168)]]), "market_structure")))

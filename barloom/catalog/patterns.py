@@ -220,7 +220,7 @@ state_query("st11_pattern_states", list(FRAME_PATTERNS), [B, *CH], {
 @query("st12_mapping_coverage")
 def _coverage(spark, sf):
     """Signals with a rule, and how often each fires over the whole series (1 h bars)."""
-    names = [s for s in all_signals() if s in ("rsi", "macd", "adx", "obv", "bb_pct", "sma_20", "cci", "mfi", "trend_structure", "swing_failure")]
+    names = all_signals()
     wide = state_table(bars(spark, sf), names)
     from barloom.functions.states import state_long
 

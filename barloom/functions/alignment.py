@@ -34,3 +34,6 @@ native("swing_order", ["high_ring", "low_ring"], _order, group=G)
 
 native("_high_50", ["high"], lambda: F.max("high").over(trailing(50)), back=50)
 native("_low_50", ["low"], lambda: F.min("low").over(trailing(50)), back=50)
+
+total("market_structure_run", ["market_structure"],
+      lambda: F.when(F.col("market_structure").eqNullSafe(lag("market_structure")), 0).otherwise(1), back=2, group=G)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from barloom.functions.registry import REGISTRY
 from barloom.functions.states import STATES, state_long, state_table
 from barloom.operators.blocks import BLOCK_ROWS, SERIES
-from barloom.plans.mtf import contexts, last_bar, mtf_table
+from barloom.plans.mtf import GROUPS, contexts, last_bar, mtf_table
 from barloom.session import cut_lineage
 
 RET = "future_return"
@@ -466,20 +466,36 @@ def filter_and_rank(strategies: DataFrame) -> DataFrame:
         F.desc("performance_score"))
 
 
-def all_modes(bars: DataFrame, timeframes: tuple[str, str, str], group: str = "Group_3", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Every setup mode of one timeframe triple, ranked and given ids."""
-    modes = ("d", "e", "f", "g", "k", "l", "m", "n")
-    states, raw = [], []
-    for m in modes:
+#: Signals that modes A, B, C and COMBO combine over timeframes when none are named.
+COMBINED = ("sma_50", "ema_50", "rsi", "macd", "roc", "bop", "adx", "obv", "trend_structure")
+
+
+def all_modes(bars: DataFrame, groups: dict[str, tuple[str, str, str]] | None = None, signals: Sequence[str] = COMBINED, regime: str = "bar_regime",
+              gate: str = "last", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Every mode of every timeframe group, ranked and given ids. The states of a group are computed once and kept.
+
+    Modes A, B, C and COMBO combine ``signals``; J and the confluence mode read ``regime`` of the fast timeframe; H and I are gated at ``gate``.
+    """
+    cols = ["pair", "setup", "direction", "sample_size", "discovered_accuracy", "performance_score"]
+    states, raw = list(signals), [*CONTEXT_EXTRA, regime]
+    for m in ("d", "e", "f", "g", "h", "i", "j", "k", "l", "m", "n", "confluence"):
         s, r = signals_of(m)
         states += s
         raw += r
-    aligned = cut_lineage(mtf_table(bars, timeframes, list(dict.fromkeys(states)), list(dict.fromkeys(raw)), block_rows=block_rows))
-    ctx = contexts(bars, timeframes, block_rows=block_rows)
-    parts = {"d": multi_signal(aligned), "e": plain_setups(aligned, "e"), "f": plain_setups(aligned, "f"), "g": plain_setups(aligned, "g"),
-             "k": adaptive(aligned, ctx), "l": structure_aligned(aligned, ctx), "m": volatility_adaptive(aligned, ctx),
-             "n": momentum_cascade(aligned, ctx)}
-    cols = ["pair", "setup", "direction", "sample_size", "discovered_accuracy", "performance_score"]
-    pool = reduce(lambda a, b: a.unionByName(b), [p.select(*cols, F.lit(f"mtf_mode_{m}").alias("type")) for m, p in parts.items()])
-    pool = pool.withColumn("group", F.lit(group))
+    pool = None
+    for group, timeframes in (groups or GROUPS).items():
+        mine = bars.where(F.col("timeframe").isin(*timeframes))
+        aligned = cut_lineage(mtf_table(mine, timeframes, list(dict.fromkeys(states)), list(dict.fromkeys(raw)), block_rows=block_rows))
+        ctx = cut_lineage(contexts(mine, timeframes, block_rows=block_rows))
+        named = F.concat_ws("|", "htf_signal", "ttf_signal", "ltf_signal")
+        parts = {m: triples(aligned, signals, m).withColumn("setup", named) for m in "ab"}
+        parts["c"] = triples(aligned, signals, "c").withColumn("setup", F.concat_ws("|", named, F.col("threshold").cast("string")))
+        parts |= {"d": multi_signal(aligned), "e": plain_setups(aligned, "e"), "f": plain_setups(aligned, "f"), "g": plain_setups(aligned, "g"),
+                  "h": gated(aligned, "h", gate), "i": gated(aligned, "i", gate), "j": regime_optimised(aligned, f"l_{regime}"), "k": adaptive(aligned, ctx),
+                  "l": structure_aligned(aligned, ctx), "m": volatility_adaptive(aligned, ctx), "n": momentum_cascade(aligned, ctx),
+                  "confluence": confluence(aligned, f"l_{regime}"),
+                  "combo": top_pairs(mine, timeframes, list(signals), block_rows=block_rows).withColumn("setup", F.concat_ws("|", "h_pair", "t_pair", "l_pair"))}
+        for m, p in parts.items():
+            rows = p.select(*cols, F.lit(f"mtf_mode_{m}").alias("type"), F.lit(group).alias("group"))
+            pool = rows if pool is None else pool.unionByName(rows)
     return pool.withColumn("strategy_id", F.sha2(F.concat_ws("|", "type", "pair", "setup", "direction", "group"), 256).substr(1, 16))

@@ -22,6 +22,19 @@ def instance_summary(df: DataFrame, regime: str = "bar_regime") -> DataFrame:
         F.max("high").alias("max_price"), F.min("low").alias("min_price"), F.stddev_samp("_pct1").alias("volatility"), F.avg("volume").alias("avg_volume"), F.count(F.lit(1)).alias("bars"))
 
 
+def regime_type_stats(df: DataFrame, regime: str, instance: str) -> DataFrame:
+    """Per regime type: bars, mean and deviation of price, of volume, and the number of its instances."""
+    return df.groupBy(F.col(regime).alias("regime_type")).agg(
+        F.count(F.lit(1)).alias("bars"), F.avg("close").alias("close_mean"), F.stddev_samp("close").alias("close_std"), F.avg("volume").alias("volume_mean"),
+        F.stddev_samp("volume").alias("volume_std"), F.countDistinct(*SERIES, instance).alias("instances"))
+
+
+def regime_returns(df: DataFrame, regime: str, horizons: tuple[int, ...] = (24, 72, 168)) -> DataFrame:
+    """Per regime type: bars, mean forward return and share of gains at each horizon, from ``future_return_<bars>`` columns."""
+    cols = [c for h in horizons for c in (F.avg(f"future_return_{h}").alias(f"return_{h}"), F.avg((F.col(f"future_return_{h}") > 0).cast("int")).alias(f"win_rate_{h}"))]
+    return df.groupBy(F.col(regime).alias("regime_type")).agg(F.count(F.lit(1)).alias("bars"), *cols)
+
+
 def views(features: DataFrame) -> dict[str, DataFrame]:
     key = [*SERIES, "ts"]
     cols = set(features.columns)

@@ -141,7 +141,7 @@ def structure_name(bars: Column, slope: Column, adx: Column, vol_ratio: Column)
         vol_ratio > 0.4, "volatile_choppy").otherwise("ranging_tight")
 
 
-def describe(seg: DataFrame, with_peaks: bool = False) -> DataFrame:
+def describe(seg: DataFrame, with_peaks: bool = True) -> DataFrame:
     """One row per segment with price, swing, structure, indicator, pattern and outcome columns."""
     key = [*SERIES, "seg_start"]
     ws = Window.partitionBy(*key).orderBy("pos")
@@ -227,13 +227,13 @@ def describe(seg: DataFrame, with_peaks: bool = False) -> DataFrame:
     return out.select("instance_id", *[c for c in out.columns if not c.startswith("_") and c != "instance_id"])
 
 
-def instance_features(with_peaks: bool = False) -> list[str]:
+def instance_features(with_peaks: bool = True) -> list[str]:
     candles = [f"pattern_{c}" for names in CANDLE_SETS.values() for c in names]
     charts = [f"pattern_{c}" for c in (*CHART_SET, *(PEAK_SET if with_peaks else ()))]
     return list(dict.fromkeys([*NEEDED, *OUTCOMES, *candles, *charts, *PRICE_ACTION.values()]))
 
 
-def discover_instances(bars: DataFrame, min_bars: int = MIN_BARS, max_bars: int = MAX_BARS, with_peaks: bool = False,
+def discover_instances(bars: DataFrame, min_bars: int = MIN_BARS, max_bars: int = MAX_BARS, with_peaks: bool = True,
                        block_rows: int = BLOCK_ROWS) -> DataFrame:
     # Read twice, by the cut pass (one flag per bar) and by the description.
     feats = cut_lineage(compute(bars, instance_features(with_peaks), block_rows))

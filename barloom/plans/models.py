@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -103,8 +102,9 @@ def hmm_states(bars: DataFrame, regimes: DataFrame, block_rows: int = BLOCK_ROWS
     return core_rows(b.withColumn("bars_in_regime", F.col("_rn") - F.col("_since") + 1).drop("_since"))
 
 
-def next_regime(swings: DataFrame, regimes: DataFrame, trees: int = 100, depth: int = 6, seed: int = 42, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, float]:
-    """Forest for the regime of the next swing, trained on the first 80 % of each series; importances and test accuracy."""
+def predicted_regimes(swings: DataFrame, regimes: DataFrame, trees: int = 100, depth: int = 6, seed: int = 42, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, list[tuple[str, float]]]:
+    """Forest for the regime of the next swing, trained on the first 80 % of each series: every swing with the regime that followed,
+    the predicted one, its probability and whether they match (``held_out`` for the last 20 %), and the features' importances."""
     cols = [*SWING_FEATURES, "slope", "gradient", "magnitude_pct"]
     j = swings.join(regimes.select(*SERIES, "swing_no", "regime"), [*SERIES, "swing_no"])
     b = to_blocks(j.withColumn("_rn", F.col("swing_no")), 0, 1, block_rows=block_rows)
@@ -112,11 +112,18 @@ def next_regime(swings: DataFrame, regimes: DataFrame, trees: int = 100, depth:
     x = core_rows(b.withColumn("label", nxt.cast("double"))).where("label is not null")
     n = x.groupBy(*SERIES).agg(F.max("swing_no").alias("_n"))
     data = VectorAssembler(inputCols=[*cols, "regime"], outputCol="features").transform(cut_lineage(x.join(n, list(SERIES))))
-    train, test = data.where("swing_no <= 0.8 * _n"), data.where("swing_no > 0.8 * _n")
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(train)
-    acc = MulticlassClassificationEvaluator(metricName="accuracy").evaluate(model.transform(test))
-    rows = [(c, float(v)) for c, v in zip([*cols, "regime"], model.featureImportances.toArray(), strict=True)]
-    return swings.sparkSession.createDataFrame(rows, "feature string, importance double"), float(acc)
+    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(data.where("swing_no <= 0.8 * _n"))
+    out = model.transform(data).select(
+        *SERIES, "ts", "swing_no", F.col("label").cast("int").alias("next_regime"), F.col("prediction").cast("int").alias("predicted_regime"),
+        F.array_max(vector_to_array("probability")).alias("confidence"), (F.col("label") == F.col("prediction")).alias("matches"), (F.col("swing_no") > 0.8 * F.col("_n")).alias("held_out"))
+    return out, [(c, float(v)) for c, v in zip([*cols, "regime"], model.featureImportances.toArray(), strict=True)]
+
+
+def next_regime(swings: DataFrame, regimes: DataFrame, trees: int = 100, depth: int = 6, seed: int = 42, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, float]:
+    """Importances and accuracy on the held-out swings of ``predicted_regimes``."""
+    out, rows = predicted_regimes(swings, regimes, trees, depth, seed, block_rows)
+    acc = out.where("held_out").agg(F.avg(F.col("matches").cast("int"))).first()[0]
+    return swings.sparkSession.createDataFrame(rows, "feature string, importance double"), float(acc or 0.0)
 
 
 # ---- window clustering ----

@@ -146,35 +146,45 @@ def chandelier(price: str, atr: str, keys: Sequence[str], k: float = 3.0, long:
     return run
 
 
-def trail_kernel(mode: str, pct: float, k: float, min_improve: float, cooldown: float, long: bool):
-    """Ratcheting stop: never loosens, moves only by enough and not within the cooldown. Event time, not clock time."""
+def trail_kernel(mode: str, pct: float, k: float, min_improve: float, cooldown: float, long: bool, places: int | None = None):
+    """Ratcheting stop: never loosens, moves only by enough and not within the cooldown; fixed once locked. Event time, not clock time."""
     def run(rows: pd.DataFrame, state):
-        px, atr, t = rows["close"].to_numpy(), rows["atr"].to_numpy(), rows["epoch"].to_numpy()
-        stop, last = (float("nan"), float("nan")) if state is None else state
+        px, atr, t, swing, locks = (rows[c].to_numpy(float) for c in ("close", "atr", "epoch", "swing_level", "locked"))
+        stop, last, locked = (float("nan"), float("nan"), 0.0) if state is None else state
         out = np.full(len(rows), np.nan)
         for i in range(len(rows)):
-            if last == last and t[i] - last < cooldown:
+            locked = max(locked, locks[i])
+            if locked or (last == last and t[i] - last < cooldown):
                 out[i] = stop
                 continue
             dist = px[i] * pct if mode == "percent" else k * atr[i]
-            cand = px[i] - dist if long else px[i] + dist
-            if cand == cand:
+            cand = swing[i] if mode == "swing" else px[i] - dist if long else px[i] + dist
+            if cand == cand and (mode != "atr" or atr[i] != 0):
+                cand = cand if places is None else round(float(cand), places)
                 better = stop != stop or (cand >= stop if long else cand <= stop)
                 enough = stop != stop or mode != "atr" or abs(cand - stop) >= min_improve * atr[i]
                 if better and enough:
                     stop, last = cand, float(t[i])
             out[i] = stop
-        return {"stop": out}, [stop, last]
+        return {"stop": out}, [stop, last, locked]
 
     return run
 
 
 def trailing_stop(df: DataFrame, keys: Sequence[str] = SERIES, mode: str = "percent", pct: float = 0.01, k: float = 2.0, min_improve: float = 0.1,
-                  cooldown: float = 0.0, long: bool = True, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``df``: one row per (position keys, ts) with close and atr. Adds the stop after each price."""
-    src = df.select(*keys, "ts", "close", "atr", F.unix_seconds("ts").cast("double").alias("epoch"))
-    x = block_scan(src, trail_kernel(mode, pct, k, min_improve, cooldown, long), {"stop": T.DoubleType()}, 2048, keys, block_rows=block_rows)
-    return x.drop("epoch")
+                  cooldown: float = 0.0, long: bool = True, block_rows: int = BLOCK_ROWS, places: int | None = None) -> DataFrame:
+    """``df``: one row per (position keys, ts) with close and atr, for mode ``swing`` a swing_level, and where a stop may be fixed a
+    ``locked`` flag. Adds the stop after each price, rounded to ``places``. A stop that only ratchets is a running extreme and needs no scan."""
+    extra = [F.col(c).cast("double").alias(c) if c in df.columns else F.lit(d).cast("double").alias(c) for c, d in (("swing_level", None), ("locked", 0.0))]
+    src = df.select(*keys, "ts", "close", "atr", F.unix_seconds("ts").cast("double").alias("epoch"), *extra)
+    x = block_scan(src, trail_kernel(mode, pct, k, min_improve, cooldown, long, places), {"stop": T.DoubleType()}, 2048, keys, block_rows=block_rows)
+    return x.drop("epoch", "swing_level", "locked")
+
+
+def breakeven_ready(price: Column, entry: Column, atr: Column, trigger: float = 1.0, long: bool = True) -> Column:
+    """The price has gone ``trigger`` average ranges beyond the entry."""
+    advance = price - entry if long else entry - price
+    return F.coalesce(advance >= trigger * atr, F.lit(False))
 
 
 def position_size(balance: Column, price: Column, share: float = 0.1, min_notional: float = 10.0) -> Column:
