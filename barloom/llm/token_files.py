@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import per_worker, shared_dir, small_batches
+from .frames import per_worker, shared_root, small_batches
 from .memo import UnitMemo
 
 MAGIC = b"BLSEG01\0"
@@ -219,6 +219,6 @@ def token_files(docs: DataFrame, tokenizer: str, path: str | None = None, **opti
     """Write segments (to the shared folder unless ``path`` is given) and read them back."""
     import uuid
 
-    path = path or f"{shared_dir(docs.sparkSession)}/segments-{uuid.uuid4().hex}"
+    path = path or f"{shared_root(docs.sparkSession)}/segments-{uuid.uuid4().hex}"
     write_segments(docs, path, tokenizer, **options)
     return read_segments(docs.sparkSession, path)

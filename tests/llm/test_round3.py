@@ -330,3 +330,25 @@ def test_languages_odd_tables(spark, odd, clash, empty):
     assert {(r["lang_pred"], r["score"]) for r in unlabelled} == {("und", 0.0)}
     only_long = spark.createDataFrame([(1, "lang " * 30_000, "xx", "s", 1), (2, "short text", None, "s", 1)], SCHEMA)
     assert {r["lang_pred"] for r in language.languages(only_long).collect()} == {"xx"}
+
+
+def test_without_a_checkpoint_folder(tmp_path):
+    """A local session that names no shared folder gets one of its own, which goes with it."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+assert not spark.conf.get("spark.checkpoint.dir", None)
+from barloom.llm.frames import numbered, saved
+assert sorted(r["i"] for r in numbered(spark.range(20), ["id"]).collect()) == list(range(20))
+print("OK", saved(spark.range(3), "x").inputFiles()[0])
+"""
+    out = subprocess.run([sys.executable, "-c", code], env={**os.environ, "SPARK_CONF_DIR": str(tmp_path)}, capture_output=True, text=True, timeout=600, check=False)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert not os.path.exists(next(x for x in out.stdout.splitlines() if x.startswith("OK")).split()[1].removeprefix("file://"))
