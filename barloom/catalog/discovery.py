@@ -137,7 +137,7 @@ query("dsc20_filter_rank", LONG + """, g AS (SELECT pair, timeframe, signal, CAS
   SELECT pair, timeframe, signal, direction, round(acc, 6) AS discovered_accuracy, n AS sample_size, round(acc, 6) AS performance_score, round(acc * 100, 6) AS quality_score
   FROM g WHERE n > 20 AND acc >= 0.52""")(
     lambda spark, sf: rounded(D.filter_and_rank(D.single_signals(bars(spark, sf), SIG).withColumn("performance_score", F.col("discovered_accuracy")))))
-query("dsc21_all_modes")(lambda spark, sf: rounded(D.all_modes(bars(spark, sf, "1m", "5m", "15m", "1h", "4h"))))
+query("dsc21_all_modes")(lambda spark, sf: rounded(D.all_modes(bars(spark, sf, *TF), {"Group_3": TF})))
 query("dsc22_quality_score", f"WITH {ALL}, {st('b60', 's', True)}" + """, g AS (SELECT pair, timeframe, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS w, count(*) AS n,
    sum(CASE WHEN ret > 0 THEN ret END) AS gain, sum(CASE WHEN ret <= 0 THEN ret END) AS loss FROM s WHERE sma_20 = 1 GROUP BY ALL)
   SELECT pair, timeframe, n AS sample_size, round(CASE WHEN n < 10 THEN 0 ELSE least(40, (w - 0.5) * 200) + least(20, n / 100.0 * 20) + coalesce(least(20, (abs(gain / nullif(loss, 0)) - 1) * 10), 0) + 10 END, 6) AS quality_score FROM g""")(
