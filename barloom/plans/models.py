@@ -152,20 +152,88 @@ def predict_windows(model: PipelineModel, rows: DataFrame, features: Sequence[st
     return p.join(order, "cluster").drop("cluster")
 
 
-def walk_forward_windows(rows: DataFrame, train: int = 500, test: int = 100, k: int = 3, folds: int | None = None) -> DataFrame:
-    """Refit on each window of ``train`` rows per series position and predict the next ``test``; one mixture per fold over all series."""
+def _mixture(x: np.ndarray, k: int, starts: int, r: np.random.Generator, steps: int = 100, tolerance: float = 1e-3, ridge: float = 1e-6):
+    """Full-covariance Gaussian mixture of a few hundred rows, the likeliest of ``starts``: weights, means, Cholesky factors."""
+    n, d = x.shape
+
+    def density(rows, w, m, c):
+        z = np.stack([np.linalg.solve(f, (rows - mu).T).T for mu, f in zip(m, c)], 1)
+        return np.log(w) - 0.5 * (z**2).sum(2) - np.log(np.abs(np.diagonal(c, axis1=1, axis2=2))).sum(1) - 0.5 * d * np.log(2 * np.pi)
+
+    best = None
+    for _ in range(starts):
+        # spread-out first centres, each row then belongs to the nearest
+        centres = [x[r.integers(n)]]
+        while len(centres) < k:
+            far = np.min([((x - c) ** 2).sum(1) for c in centres], axis=0)
+            centres.append(x[r.choice(n, p=far / far.sum())] if far.sum() > 0 else x[r.integers(n)])
+        resp = np.eye(k)[np.argmin([((x - c) ** 2).sum(1) for c in centres], axis=0)]
+        before = -np.inf
+        for _ in range(steps):
+            mass = resp.sum(0) + 10 * np.finfo(float).eps
+            w, m = mass / n, resp.T @ x / mass[:, None]
+            c = np.stack([np.linalg.cholesky((resp[:, j, None] * (x - m[j])).T @ (x - m[j]) / mass[j] + ridge * np.eye(d)) for j in range(k)])
+            lp = density(x, w, m, c)
+            total = np.logaddexp.reduce(lp, axis=1)
+            resp = np.exp(lp - total[:, None])
+            if total.mean() - before < tolerance:
+                break
+            before = total.mean()
+        if best is None or total.mean() > best[0]:
+            best = (total.mean(), w, m, c)
+    _, w, m, c = best
+
+    def posterior(rows: np.ndarray) -> np.ndarray:
+        lp = density(rows, w, m, c)
+        return np.exp(lp - np.logaddexp.reduce(lp, axis=1)[:, None])
+
+    return posterior
+
+
+def _fold(features: list[str], keep: list[str], k: int, starts: int, variance: float, seed: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_rn", ignore_index=True)
+        train, test = pdf[~pdf["_test"]], pdf[pdf["_test"]]
+        out = test[[*keep, "fold"]].copy()
+        x = train[features].to_numpy(float)
+        if len(x) < max(k, 2) or test.empty:
+            out["regime"], out["confidence"] = -1, 0.0
+            return out
+        mean, scale = x.mean(0), x.std(0, ddof=1)
+        scale[scale == 0] = 1.0
+        z = (x - mean) / scale
+        _, sizes, axes = np.linalg.svd(z, full_matrices=False)
+        share = np.cumsum(sizes**2) / max((sizes**2).sum(), 1e-300)
+        axes = axes[: min(int(np.searchsorted(share, variance)) + 1, len(axes))]
+        posterior = _mixture(z @ axes.T, k, starts, np.random.default_rng(seed + int(pdf["fold"].iat[0])))
+        own = posterior(z @ axes.T)
+        order = np.argsort((own * x[:, :1]).sum(0) / np.maximum(own.sum(0), 1e-300), kind="stable")
+        p = posterior((test[features].to_numpy(float) - mean) / scale @ axes.T)[:, order]
+        out["regime"], out["confidence"] = p.argmax(1), p.max(1)
+        return out
+
+    return run
+
+
+def walk_forward_windows(rows: DataFrame, train: int = 500, test: int = 100, k: int = 3, features: Sequence[str] = WINDOW_FEATURES, starts: int = 3,
+                         variance: float = 0.95, seed: int = 42) -> DataFrame:
+    """Refit on each run of ``train`` rows of a series and predict its next ``test``: fold, regime and confidence of every row after the first run.
+
+    A row is handed to the folds it trains (``train / test`` of them at most) and the one it tests; each (series, fold) is one bounded
+    group in which mixture and prediction are made, so folds of all series run side by side. Regimes are numbered by the training
+    rows' mean of the first feature. A fold with fewer complete rows than regimes gives regime -1; a series without a fold gives nothing.
+    """
+    features, keep = list(features), [c for c in rows.columns]
     n = cut_lineage(number_rows(rows))
-    last = n.agg(F.max("_rn")).first()[0] or 0
-    parts = []
-    for i, end in enumerate(range(train, last, test)):
-        if folds is not None and i >= folds:
-            break
-        model = fit_window_model(n.where(F.col("_rn").between(end - train + 1, end)), k=k, restarts=1)
-        parts.append(predict_windows(model, n.where(F.col("_rn").between(end + 1, end + test))).withColumn("fold", F.lit(i)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.drop("_rn")
+    last = n.groupBy(*SERIES).agg(F.max("_rn").alias("_n"))
+    own = F.when(F.col("_rn") > train, F.floor((F.col("_rn") - train - 1) / test))
+    first, final = F.greatest(F.lit(0), F.ceil((F.col("_rn") - train) / test)), F.least(F.floor((F.col("_rn") - 1) / test), F.floor((F.col("_n") - train - 1) / test))
+    trains = F.when(final >= first, F.sequence(first, final)).otherwise(F.array().cast("array<bigint>"))
+    parts = F.concat(F.transform(trains, lambda f: F.struct(f.alias("fold"), F.lit(False).alias("_test"))),
+                     F.when(own.isNotNull(), F.array(F.struct(own.alias("fold"), F.lit(True).alias("_test")))).otherwise(F.array().cast("array<struct<fold: bigint, _test: boolean>>")))
+    x = n.na.drop(subset=features).join(last, list(SERIES)).withColumn("_p", F.explode(parts)).select(*keep, "_rn", "_p.fold", "_p._test")
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep) + ", fold bigint, regime int, confidence double"
+    return x.groupBy(*SERIES, "fold").applyInPandas(_fold(features, keep, k, starts, variance, seed), schema)
 
 
 def dwell(rows: DataFrame, regime: str = "regime", block_rows: int = BLOCK_ROWS) -> DataFrame:
