@@ -186,7 +186,7 @@ def model(name, fn):
 
 
 model("sa7_logistic_regime", lambda d: S.logistic_regime(d, FEATS, "dominant_structure"))
-model("sa8_permutation_importance", lambda d: S.permutation_importance(d, FEATS, "dominant_structure", 20, 5, 2))
+model("sa8_permutation_importance", lambda d: S.permutation_importance(d, FEATS, "dominant_structure"))
 query("sa9_markov_transitions", IND + ", t AS (SELECT structure AS from_structure, lead(structure) OVER (PARTITION BY pair, timeframe ORDER BY start_time) AS to_structure FROM inst),"
       " c AS (SELECT from_structure, to_structure, count(*) AS n FROM t WHERE to_structure IS NOT NULL GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY from_structure)::DOUBLE, 6) AS probability FROM c")(
     lambda spark, sf: rounded(S.transitions(found(spark, sf))))

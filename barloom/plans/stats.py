@@ -6,6 +6,7 @@ so no test collects or pairs up its observations.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -16,13 +17,15 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.tails import chi2_sf, f_sf, normal_two_sided, t_two_sided
-from barloom.operators.blocks import BLOCK_ROWS, SERIES, core_rows, to_blocks
+from barloom.operators.blocks import BLOCK_ROWS, SERIES, core_rows, number_rows, to_blocks
 from barloom.operators.quantiles import grouped_quantiles, with_prefix_counts
+from barloom.session import cut_lineage
 
 EXCLUDED_TIMEFRAMES = ("1m",)
 
@@ -271,29 +274,41 @@ def logistic_regime(df: DataFrame, features: Sequence[str], label: str, folds: i
     return df.sparkSession.createDataFrame(rows, "feature string, mean_abs_coef double, cv_accuracy double")
 
 
+def keyed_bijection(i: Column, n: int, key: int) -> Column:
+    """A permutation of 0..n-1: ``a * i + b`` modulo n with ``a`` prime to n, both chosen by ``key``. The same on every retry."""
+    r = np.random.default_rng(key)
+    a = 1
+    if n > 2:
+        a = int(r.integers(2, n))
+        while math.gcd(a, n) != 1:
+            a = a + 1 if a + 1 < n else 1
+    return F.pmod(i * F.lit(a) + F.lit(int(r.integers(0, max(n, 1)))), F.lit(n))
+
+
 def permutation_importance(df: DataFrame, features: Sequence[str], label: str, trees: int = 100, depth: int = 10,
-                           repeats: int = 3, seed: int = 42) -> DataFrame:
-    """Accuracy lost when one feature is replaced by its value on another, randomly matched row."""
+                           repeats: int = 10, seed: int = 42) -> DataFrame:
+    """Accuracy lost when one feature is replaced by its value on another row.
+
+    Rows are numbered in the order of a hash of their values; a keyed bijection of the numbers names the other row of each repeat. One
+    join hands every row its partners and one scoring pass judges all features and repeats.
+    """
+    features = list(features)
     clean = df.na.drop(subset=[*features, label]).select(*features, label)
-    data = _vectors(clean, features, label, scale=False)
+    data = cut_lineage(_vectors(clean, features, label, scale=False))
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(data)
-    ev = MulticlassClassificationEvaluator(metricName="accuracy")
-    base = ev.evaluate(model.transform(data))
-    cols = data.select(*features, "label").withColumn("_h", F.xxhash64(*features))
-    rows = []
-    asm = VectorAssembler(inputCols=list(features), outputCol="features")
-    for i, f in enumerate(features):
-        drops = []
-        for r in range(repeats):
-            # Two independent random orders inside hashed buckets pair every row with another one.
-            n = F.pmod(F.xxhash64("_h", F.lit(seed + i)), F.lit(64))
-            left = cols.withColumn("_b", n).withColumn("_k", F.row_number().over(Window.partitionBy("_b").orderBy(F.rand(seed + r), "_h")))
-            right = cols.withColumn("_b", n).withColumn("_k", F.row_number().over(Window.partitionBy("_b").orderBy(F.rand(seed + 1000 + r), "_h"))).select(
-                "_b", "_k", F.col(f).alias("_other"))
-            shuffled = left.join(right, ["_b", "_k"]).withColumn(f, F.col("_other"))
-            drops.append(base - ev.evaluate(model.transform(asm.transform(shuffled))))
-        rows.append((f, float(np.mean(drops)), float(np.std(drops)), float(model.featureImportances[i])))
-    return df.sparkSession.createDataFrame(rows, "feature string, importance_mean double, importance_std double, forest_importance double")
+    base = MulticlassClassificationEvaluator(metricName="accuracy").evaluate(model.transform(data))
+    rows = data.select(F.array(*[F.col(f).cast("double") for f in features]).alias("x"), "label", F.lit(1).alias("_one"), F.xxhash64(*features, "label").alias("_h"))
+    rows = cut_lineage(number_rows(rows, ["_one"], "_h", 1 << 50).select("x", "label", (F.col("_rn") - 1).alias("i")))
+    n = rows.count()
+    partners = F.array(*[F.struct(F.lit(r).alias("r"), keyed_bijection(F.col("i"), n, seed + r).alias("j")) for r in range(repeats)])
+    asked = rows.select("x", "label", F.explode(partners).alias("p")).select("x", "label", "p.r", "p.j")
+    swapped = asked.join(rows.select(F.col("i").alias("j"), F.col("x").alias("y")), "j").withColumn("f", F.explode(F.array(*[F.lit(k) for k in range(len(features))])))
+    mixed = F.transform("x", lambda v, k: F.when(k == F.col("f"), F.get(F.col("y"), k)).otherwise(v))
+    scored = model.transform(swapped.select("r", "f", "label", array_to_vector(mixed).alias("features")))
+    lost = scored.groupBy("f", "r").agg((F.lit(base) - F.avg((F.col("prediction") == F.col("label")).cast("double"))).alias("lost"))
+    found = {r["f"]: r for r in lost.groupBy("f").agg(F.avg("lost").alias("m"), F.stddev_pop("lost").alias("s")).collect()}
+    out = [(f, float(found[k]["m"]), float(found[k]["s"]), float(model.featureImportances[k])) for k, f in enumerate(features) if k in found]
+    return df.sparkSession.createDataFrame(out, "feature string, importance_mean double, importance_std double, forest_importance double")
 
 
 def pca_contribution(df: DataFrame, features: Sequence[str], k: int = 3) -> DataFrame:

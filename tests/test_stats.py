@@ -43,3 +43,21 @@ def test_holm_stops_at_first_failure(spark):
     df = spark.createDataFrame([("m", "a", "b", 0.01), ("m", "a", "c", 0.04), ("m", "b", "c", 0.03)], "metric string, group_a string, group_b string, p double")
     got = {r["p"]: r["reject"] for r in S.holm(df, "p", ["metric"]).collect()}
     assert got == {0.01: True, 0.03: False, 0.04: False}
+
+
+def test_permutation_importance(spark):
+    """The feature that decides the label loses accuracy, noise does not; the permutation is one, and runs agree."""
+    from pyspark.sql import functions as F
+
+    from barloom.plans.stats import keyed_bijection, permutation_importance
+
+    for n in (1, 2, 7, 100):
+        for key in (1, 2, 3):
+            got = [r["j"] for r in spark.range(n).select(keyed_bijection(F.col("id"), n, key).alias("j")).collect()]
+            assert sorted(got) == list(range(n))
+    r = np.random.default_rng(1)
+    x = r.normal(size=(300, 3))
+    df = spark.createDataFrame([(*map(float, v), "up" if v[0] > 0 else "down") for v in x], "a double, b double, c double, y string")
+    one, two = (permutation_importance(df.repartition(k), ["a", "b", "c"], "y", trees=10, depth=4, repeats=5).toPandas().set_index("feature") for k in (1, 5))
+    assert one.loc["a", "importance_mean"] > 0.3 and one.loc[["b", "c"], "importance_mean"].abs().max() < 0.1
+    assert (one["importance_std"] >= 0).all() and abs(one.loc["a", "importance_mean"] - two.loc["a", "importance_mean"]) < 0.15
