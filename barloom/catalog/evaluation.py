@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.session import scratch
 
-from barloom.catalog.base import KEYS, bars, query, roll, rounded
+from barloom.catalog.base import KEYS, bars, bars_cte, load, query, roll, rounded
 from barloom.catalog.discovery import MTF, aligned
 from barloom.catalog.indicators import ATRJ, B, SWALL, step
 from barloom.catalog.patterns import PIV
@@ -158,6 +158,24 @@ query("rep2_summary", POOL + " SELECT setup AS name, pair, round(wr, 6) AS wr, n
     lambda spark, sf: rounded(pool(spark, sf).where("wr >= 0.01").select(F.coalesce("setup", "pair").alias("name"), "pair", "wr", "n")))
 query("rep4_live_monitor")(lambda spark, sf: rounded(R.live_monitor(pool(spark, sf), "wr", "n", ["pair", "setup"])))
 query("rep6_robust_rank")(lambda spark, sf: rounded(R.robust_rank(pool(spark, sf).withColumn("robust", 1 - F.abs(F.col("wr") - 0.5)), "wr", "robust")))
+query("tk6_plan_candidates", POOL + " SELECT pair, setup, n, round(wr, 6) AS wr FROM g WHERE wr >= 0.55 ORDER BY g.wr DESC, pair, setup LIMIT 30")(
+    lambda spark, sf: rounded(R.plan_candidates(pool(spark, sf), "wr", ["pair", "setup"]).select("pair", "setup", "n", "wr")))
+TFS = ("15m", "1h", "4h")
+LAST = ", ".join(bars_cte(t, f"b{i}") for i, t in enumerate(TFS)) + ", b AS (" + " UNION ALL ".join(f"SELECT * FROM b{i}" for i in range(len(TFS))) + ")"
+query("tk7_timeframe_priority", f"WITH {LAST}, l AS (SELECT pair, timeframe, arg_max(close, ts) AS close, arg_max(open, ts) AS open FROM b GROUP BY 1, 2)"
+      " SELECT pair, timeframe, CASE timeframe WHEN '4h' THEN 1 WHEN '1h' THEN 2 WHEN '15m' THEN 3 ELSE 999 END AS priority, CASE WHEN close > open THEN 'buy' ELSE 'sell' END AS side FROM l")(
+    lambda spark, sf: _priority(spark, sf))
+
+
+def _priority(spark, sf):
+    """The newest bar of every series, slow timeframes first, with the side an order in its direction takes."""
+    last = bars(spark, sf, *TFS).groupBy("pair", "timeframe").agg(F.max_by("close", "ts").alias("c"), F.max_by("open", "ts").alias("o"))
+    side = R.order_side(F.when(F.col("c") > F.col("o"), "bullish").otherwise("bearish"))
+    return R.by_timeframe_priority(last.withColumn("side", side), then=["pair"]).select("pair", "timeframe", "priority", "side")
+
+
+query("hl13_active_orders", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'O'")(lambda spark, sf: R.active_orders(load(spark, sf, "orders").withColumn(
+    "status", F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "F", "filled").otherwise("partial"))).select("o_orderkey", "o_custkey"))
 query("sa17_wilson_interval", POOL + ", z AS (SELECT *, 1.959963984540054::DOUBLE AS z FROM g) SELECT pair, setup, round(((wr + z * z / (2 * n)) - z * sqrt(wr * (1 - wr) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS low,"
       " round(((wr + z * z / (2 * n)) + z * sqrt(wr * (1 - wr) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS high FROM z")(
     lambda spark, sf: rounded(pool(spark, sf).select("pair", "setup", *[c.alias(n) for n, c in zip(("low", "high"), R.wilson(F.col("w").cast("double"), F.col("n").cast("double")))])))

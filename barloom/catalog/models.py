@@ -21,6 +21,16 @@ query("rm19_20_swing_registry", SWU + " SELECT pair, timeframe, ts, kind, round(
     lambda spark, sf: rounded(M.swing_registry(bars(spark, sf)).select(*KEYS, "kind", "price", "magnitude_pct", "structure")))
 
 
+query("snk9_swing_registry", SWU + " SELECT pair, timeframe, ts, kind, round(price, 6) AS price, swing_no FROM v")(lambda spark, sf: _registry(spark, sf))
+
+
+def _registry(spark, sf):
+    """The swing registry written as CSV, partitioned by series, and read back."""
+    path = scratch(spark, "swing-registry")
+    M.swing_registry(bars(spark, sf)).select(*KEYS, "kind", "price", "swing_no").write.partitionBy("pair", "timeframe").option("header", True).csv(path)
+    return rounded(spark.read.option("header", True).schema("ts timestamp, kind string, price double, swing_no long, pair string, timeframe string").csv(path).select(*KEYS, "kind", "price", "swing_no"))
+
+
 _FITTED: dict[tuple[str, str], tuple] = {}
 
 

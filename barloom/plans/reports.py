@@ -36,6 +36,31 @@ def live_monitor(pool: DataFrame, win: str, n: str, tie: Sequence[str], min_win:
     return best.withColumn("config_json", F.to_json(F.struct(*[F.col(c) for c in pool.columns])))
 
 
+# Timeframes from the one looked at first, and the states in which an order still stands.
+TIMEFRAME_PRIORITY = {"4h": 1, "1h": 2, "15m": 3, "5m": 4, "1m": 5}
+ACTIVE = ("PENDING", "SUBMITTED", "OPEN")
+
+
+def plan_candidates(pool: DataFrame, win: str, tie: Sequence[str], min_win: float = 0.55, rows: int = 30) -> DataFrame:
+    """The strategies worth a stop and target plan: the best ``rows`` of those that win often enough."""
+    return pool.where(F.col(win) >= min_win).orderBy(F.desc(win), *tie).limit(rows)
+
+
+def by_timeframe_priority(df: DataFrame, timeframe: str = "timeframe", then: Sequence[str] = ()) -> DataFrame:
+    """Rows from slow to fast timeframes with their ``priority``; unknown timeframes come last (999)."""
+    rank = F.coalesce(F.create_map(*[F.lit(x) for kv in TIMEFRAME_PRIORITY.items() for x in kv])[F.col(timeframe)], F.lit(999))
+    return df.withColumn("priority", rank).orderBy("priority", *then)
+
+
+def order_side(direction: Column) -> Column:
+    """A long direction buys, anything else sells."""
+    return F.when(direction.isin("long", "bullish"), "buy").otherwise("sell")
+
+
+def active_orders(orders: DataFrame, status: str = "status") -> DataFrame:
+    return orders.where(F.upper(status).isin(*ACTIVE))
+
+
 def robust_rank(pool: DataFrame, score: str, robustness: str) -> DataFrame:
     return pool.withColumn("weighted", F.col(score) * F.col(robustness)).orderBy(F.desc("weighted"))
 
