@@ -7,10 +7,12 @@ every such block holds:
 
 1. Each later holder of a run meets the first one. That star has one pair per (document, run) at most, so a line of a third of all
    documents makes as many pairs as it has holders and no all-pairs group.
-2. Runs that stay (crossing or repeated lines) meet their other holders. An alignment sees of the earlier document only the lines that
-   both have, so earlier documents that are equal up to lines no such later document has count once; those that share nothing but
-   the run with the later document differ only by its shape, and one of each shape is enough; the others are found by the run and
-   a second common line.
+2. Runs that stay (crossing or repeated lines) meet their other holders. Pairs with a rare common line are listed by it, at most
+   ``RARE`` for each line of the later document. An alignment sees only the lines that both have, so all other pairs depend on the
+   frequent lines alone: documents count once for each sequence of frequent lines, on both sides. Earlier sequences that share
+   nothing but the run with the later one differ only by its shape, and one of each shape is enough; the others are found by the run
+   and a second common line. A position goes from a later document if the first earlier document that cuts it in this way comes before
+   it; should these two have a rare line in common, the later document meets every holder of its runs.
 
 Later means the larger (doc_id, text hash). Alignment reads the original lines of both sides, so the result does not depend on the
 order of work.
@@ -167,13 +169,19 @@ def removed(a: list[int], b: list[int], chars: list[int], min_chars: int) -> lis
 
 def projected(seq: list[int], keep: set[int]) -> list[int | None]:
     """``seq`` with each run of lines outside ``keep`` as one None."""
+    return narrowed(seq, seq, keep)[0]
+
+
+def narrowed(seq: list[int], chars: list[int], keep: set[int]) -> tuple[list[int | None], list[int], list[int]]:
+    """``seq`` with each run of lines outside ``keep`` as one None, its lengths (0 for None) and positions in ``seq``."""
     out: list[int | None] = []
-    for x in seq:
-        if x in keep:
-            out.append(x)
-        elif not out or out[-1] is not None:
-            out.append(None)
-    return out
+    n, places = [], []
+    for at, x in enumerate(seq):
+        if x in keep or not out or out[-1] is not None:
+            out.append(x if x in keep else None)
+            n.append(chars[at] if x in keep else 0)
+            places.append(at)
+    return out, n, places
 
 
 def digest(*parts: int | None) -> int:
@@ -195,9 +203,11 @@ def pair_keys(seq: list[int | None], own_lines: dict[int, set[int]]) -> list[int
     return [digest(run, 2, y) for run, own in own_lines.items() for y in lines - own]
 
 
-#: A document with more runs left meets all the earlier documents that hold one, as its keys with a second line would be too many.
+#: A line of at most so many holders is rare: all its pairs are aligned.
+RARE = 32
+#: A sequence with more runs left meets all the earlier ones that hold one, as its keys with a second line would be too many.
 FEW = 4
-#: Documents of one shape that are tried; if all share more than the run with the later document, it meets all the holders of the run.
+#: Sequences of one shape that are tried; up to the first that shares only the run, the later one meets all the holders of the run.
 TRIED = 4
 
 
@@ -212,9 +222,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     seqs = saved(seqs, "lines")
     kind = docs.schema[doc_id].dataType.simpleString()
 
-    def each(df: DataFrame, columns: tuple[str, ...], work, schema: str) -> DataFrame:
-        """(i, h) of k and the values that ``work`` yields for the row; ``schema`` is theirs."""
+    def each(df: DataFrame, columns: tuple[str, ...], work, schema: str, ids: tuple[str, ...] = ("k",)) -> DataFrame:
+        """``ids`` (structs of i and h) and the values that ``work`` yields for the row; ``schema`` is theirs."""
         names = [c.split(":")[0] for c in schema.split(", ")]
+        id_names = [f"{c}_{f}" for c in ids for f in "ih"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -223,18 +234,20 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
                     for values in work(*row):
                         at.append(n)
                         out.append(values)
-                k = batch.column("k").take(pa.array(at, pa.int32()))
-                kinds = [{"bigint": pa.int64(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64())}[c.split(":")[1]] for c in schema.split(", ")]
-                yield pa.RecordBatch.from_arrays([k.field(0), k.field(1), *(pa.array([v[x] for v in out], t) for x, t in enumerate(kinds))], ["i", "h", *names])
+                at = pa.array(at, pa.int32())
+                kept = [batch.column(c).take(at).field(f) for c in ids for f in (0, 1)]
+                kinds = [{"int": pa.int32(), "bigint": pa.int64(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64())}[c.split(":")[1]] for c in schema.split(", ")]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array([v[x] for v in out], t) for x, t in enumerate(kinds))], [*id_names, *names])
 
-        return df.select("k", *columns).mapInArrow(run, f"i {kind}, h bigint, {schema.replace(':', ' ')}").select(F.struct("i", "h").alias("k"), *names)
+        id_schema = ", ".join(f"{c}_i {kind}, {c}_h bigint" for c in ids)
+        structs = [F.struct(F.col(f"{c}_i").alias("i"), F.col(f"{c}_h").alias("h")).alias(c) for c in ids]
+        return df.select(*ids, *columns).mapInArrow(run, f"{id_schema}, {schema.replace(':', ' ')}").select(*structs, *names)
 
     def aligned(pairs: DataFrame, a: DataFrame) -> DataFrame:
         """(k, cut) of every k of ``pairs`` (first, k), ``a`` having the lines of first."""
         sides = pairs.join(a, "first").join(seqs.select("k", F.col("seq").alias("b"), "chars"), "k")
         cuts = each(sides, ("a", "b", "chars"), lambda a, b, n: [(removed(a, b, n, min_chars),)], "cut:array<int>")
-        # a document has no more partners than runs in the first step; what is gathered of a partner is bounded by its own length
-        return cuts.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
+        return gathered(cuts.select("k", F.explode_outer("cut").alias("at")))
 
     held = saved(each(seqs, ("seq", "chars"), lambda s, n: [(x,) for x in held_runs(s, n, min_chars)], "run:bigint"), "held")
     seqs = seqs.dropDuplicates(["k"])
@@ -249,8 +262,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     left = each(seqs.join(cuts, "k"), ("seq", "chars", "cut"), left_runs, "run:bigint")
     left = saved(left.join(first, "run").filter("first < k").select("k", "run"), "left")
     if not left.isEmpty():
-        cuts = cuts.union(aligned(*other_pairs(seqs, held, left, each, min_chars)))
-        cuts = cuts.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
+        cuts = gathered(cuts.select("k", F.explode("cut").alias("at")).union(other_cuts(seqs, held, left, each, min_chars)))
     cuts = cuts.filter(F.size("cut") > 0).select(F.col("k.i").alias("__i"), F.col("k.h").alias("__h"), F.col("cut").alias("__cut"))
     out = docs.join(cuts, (F.col(doc_id) == F.col("__i")) & (h == F.col("__h")), "left")
     rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__cut"))
@@ -259,51 +271,100 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     return out.withColumn(text, new).drop("__i", "__h", "__cut", "__lines")
 
 
-def other_pairs(seqs: DataFrame, held: DataFrame, left: DataFrame, each, min_chars: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (first, k) for the runs of ``left`` (k, run), and the lines of each first that count for them."""
-    later = saved(left.distinct().groupBy("k").agg(F.collect_list("run").alias("open")).join(seqs, "k"), "later")
-    wanted = later.select(F.explode("seq").alias("line")).distinct()
-    holders = held.join(left.select("run").distinct(), "run", "left_semi").distinct().groupBy("k").agg(F.collect_list("run").alias("open"))
-    holders = holders.join(seqs, "k")
-    kept = holders.select("k", F.explode(F.array_distinct("seq")).alias("line")).join(wanted, "line", "left_semi").groupBy("k").agg(F.collect_list("line").alias("keep"))
-
-    def shortened(seq: list[int], keep: list[int]) -> list[tuple[list[int | None], int]]:
-        a = projected(seq, set(keep))
-        return [(a, digest(*a))]
+def gathered(cuts: DataFrame) -> DataFrame:
+    """(k, cut) of rows (k, at), null for none: the positions of a document once each, so no list is longer than the document."""
+    return cuts.distinct().groupBy("k").agg(F.collect_list("at").alias("cut"))
 
-    earlier = each(holders.join(kept, "k"), ("seq", "keep"), shortened, "a:array<bigint>, sig:bigint").groupBy("sig").agg(F.min("k").alias("k"))
-    earlier = saved(earlier.select("k").join(holders, "k").join(kept, "k"), "earlier")
 
-    def own_lines(seq: list[int], chars: list[int], open_: list[int]) -> dict[int, set[int]]:
+def other_cuts(seqs: DataFrame, held: DataFrame, left: DataFrame, each, min_chars: int) -> DataFrame:
+    """(k, at): positions that earlier documents other than the first holders cut, for the runs of ``left`` (k, run)."""
+    none = F.array().cast("array<bigint>")
+    later = saved(left.distinct().groupBy("k").agg(F.collect_list("run").alias("open")).join(seqs, "k"), "later")
+    later_lines = saved(later.select("k", F.explode(F.array_distinct("seq")).alias("line")), "later-lines")
+    holders = held.join(left.select("run").distinct(), "run", "left_semi").distinct().groupBy("k").agg(F.collect_list("run").alias("open"))
+    holders = saved(holders.join(seqs, "k"), "holders")
+    shared = holders.select("k", F.explode(F.array_distinct("seq")).alias("line")).join(later_lines.select("line").distinct(), "line", "left_semi")
+    shared = saved(shared, "shared")
+    counts = saved(shared.groupBy("line").agg(F.count("*").alias("n")), "holders-of-lines")
+    frequent = counts.filter(F.col("n") > RARE).select("line")
+
+    def all_cuts(pairs: DataFrame) -> DataFrame:
+        a = holders.select(F.col("k").alias("first"), F.col("seq").alias("a"), F.col("open").alias("a_open"))
+        sides = pairs.join(a, "first").join(later, "k").filter(F.arrays_overlap("open", "a_open"))
+        return each(sides, ("a", "seq", "chars"), lambda a, b, n: [(x,) for x in removed(a, b, n, min_chars)], "at:int").distinct()
+
+    rare = shared.join(counts.filter(F.col("n") <= RARE), "line").select("line", F.col("k").alias("first"))
+    rare = saved(later_lines.join(rare, "line").filter("first < k").select("first", "k").distinct(), "rare-pairs")
+    cuts = saved(all_cuts(rare), "rare-cuts")
+
+    def frequent_part(seq: list[int], chars: list[int], open_: list[int], keep: list[int]) -> list[tuple]:
+        own = set(keep)
+        a, n, places = narrowed(seq, chars, own)
+        wanted = set(open_)
+        there = sorted(x for x, (at, *_) in held_runs(seq, chars, min_chars).items() if x in wanted and own.issuperset(seq[at[0]: at[1] + 1]))
+        return [(a, n, places, there, digest(*a))] if there else []
+
+    def narrow(docs: DataFrame, lines: DataFrame) -> DataFrame:
+        keep = lines.join(frequent, "line", "left_semi").groupBy("k").agg(F.collect_list("line").alias("keep"))
+        return each(docs.join(keep, "k"), ("seq", "chars", "open", "keep"), frequent_part,
+                    "a:array<bigint>, n:array<int>, places:array<int>, open:array<bigint>, sig:bigint")
+
+    members = saved(narrow(later, later_lines), "members")
+    open_ = members.select("sig", F.explode("open").alias("run")).distinct().groupBy("sig").agg(F.collect_list("run").alias("open"))
+    later_seqs = members.groupBy("sig").agg(F.min("k").alias("k"), F.max("k").alias("top"), F.min_by("a", "k").alias("b"), F.min_by("n", "k").alias("n"))
+    later_seqs = saved(later_seqs.join(open_, "sig"), "later-sequences")
+    earlier = narrow(holders, shared).groupBy("sig").agg(
+        F.min("k").alias("k"), F.min_by("a", "k").alias("a"), F.min_by("n", "k").alias("n"), F.min_by("open", "k").alias("open"))
+    earlier = saved(earlier, "earlier-sequences")
+    tops = later_seqs.select("k", "top")
+
+    def own_lines(seq: list[int | None], chars: list[int], open_: list[int]) -> dict[int, set[int]]:
         places = held_runs(seq, chars, min_chars)
         return {x: set(seq[slice(places[x][0][0], places[x][0][1] + 1)]) for x in open_}
 
-    def keys_of_later(seq: list[int], chars: list[int], open_: list[int]) -> list[tuple[int]]:
+    def keys_of_later(seq: list[int | None], chars: list[int], open_: list[int]) -> list[tuple[int]]:
         if len(open_) > FEW:
             return [(digest(x, 3),) for x in open_]
         return [(x,) for x in pair_keys(seq, own_lines(seq, chars, open_))]
 
-    def keys_of_earlier(seq: list[int], chars: list[int], open_: list[int], keep: list[int], few: list[int]) -> list[tuple[int, int]]:
-        a, few_runs = projected(seq, set(keep)), set(few)
-        few_lines = own_lines(seq, chars, [x for x in open_ if x in few_runs])
-        return [(x, digest(*a)) for x in (*(digest(run, 3) for run in open_), *pair_keys(a, few_lines))]
+    def keys_of_earlier(a: list[int | None], chars: list[int], open_: list[int], few: list[int]) -> list[tuple[int]]:
+        few_runs = set(few)
+        few_lines = own_lines(a, chars, [x for x in open_ if x in few_runs])
+        return [(x,) for x in (*(digest(run, 3) for run in open_), *pair_keys(a, few_lines))]
 
-    def shapes(seq: list[int], chars: list[int], few: list[int]) -> list[tuple[int, int, int]]:
-        return [(run, digest(*projected(seq, own)), digest(*seq) % TRIED) for run, own in own_lines(seq, chars, few).items()]
+    def runs_of_later(seq: list[int | None], chars: list[int], open_: list[int]) -> list[tuple[int, int, list[int]]]:
+        return [(run, digest(run, 3), sorted(own)) for run, own in own_lines(seq, chars, open_).items()]
 
-    def alone(a: list[int | None], seq: list[int], chars: list[int], run: int, shape: int) -> list[tuple[int, int, int]]:
-        return [(run, shape, int(set(a) & set(seq) <= own_lines(seq, chars, [run])[run]))]
+    def shapes(a: list[int | None], chars: list[int], few: list[int]) -> list[tuple[int, int, int]]:
+        return [(run, digest(*projected(a, own)), digest(*a) % TRIED) for run, own in own_lines(a, chars, few).items()]
 
-    few_later = later.filter(F.size("open") <= FEW).select("k", F.explode("open").alias("run"))
+    few_later = each(later_seqs.filter(F.size("open") <= FEW), ("b", "n", "open"), runs_of_later, "run:bigint, key:bigint, own:array<bigint>")
+    few_later = saved(few_later.join(tops, "k"), "later-runs")
     few = earlier.select("k", F.explode("open").alias("run")).join(few_later.select("run").distinct(), "run", "left_semi").groupBy("k").agg(F.collect_list("run").alias("few"))
-    few = earlier.join(few, "k", "left").withColumn("few", F.coalesce("few", F.array().cast("array<bigint>")))
-    lines = each(earlier, ("seq", "keep"), lambda s, keep: [(projected(s, set(keep)),)], "a:array<bigint>").select(F.col("k").alias("first"), "a")
-    of_shape = each(few, ("seq", "chars", "few"), shapes, "run:bigint, shape:bigint, part:bigint").groupBy("run", "shape", "part").agg(F.min("k").alias("first"))
-    of_shape = saved(few_later.join(of_shape, "run").filter("first < k").select("k", "run", "shape", "first"), "shapes")
-    # documents that share only the run are equal for the later one if the run has the same shape in them
-    tried = each(of_shape.join(lines, "first").join(seqs, "k"), ("a", "seq", "chars", "run", "shape"), alone, "run:bigint, shape:bigint, alone:bigint")
-    unsure = tried.groupBy("k", "run", "shape").agg(F.max("alone").alias("alone")).filter("alone = 0").select("k", "run").distinct()
-    keys = each(later, ("seq", "chars", "open"), keys_of_later, "key:bigint").union(each(unsure, ("run",), lambda x: [(digest(x, 3),)], "key:bigint"))
-    of_earlier = each(few, ("seq", "chars", "open", "keep", "few"), keys_of_earlier, "key:bigint, sig:bigint").groupBy("key", "sig").agg(F.min("k").alias("first"))
-    pairs = keys.join(of_earlier, "key").filter("first < k").select("first", "k").union(of_shape.select("first", "k")).distinct()
-    return pairs, lines
+    few = earlier.join(few, "k", "left").withColumn("few", F.coalesce("few", none))
+    of_shape = each(few, ("a", "n", "few"), shapes, "run:bigint, shape:bigint, part:bigint").groupBy("run", "shape", "part").agg(F.min("k").alias("first"))
+    a = earlier.select(F.col("k").alias("first"), "a")
+    tried = few_later.join(of_shape, "run").filter("first < top").join(a, "first").join(later_seqs.select("k", "b"), "k")
+    more = F.array_except(F.array_intersect(F.array_compact("a"), F.array_compact("b")), F.col("own"))
+    tried = saved(tried.select("k", "run", "key", "shape", "top", "first", (F.size(more) == 0).alias("alone")), "tried")
+    # sequences that share only the run are equal for the later one if the run has the same shape in them
+    unsure = tried.groupBy("k", "key", "run", "shape").agg(
+        F.min(F.when(F.col("alone"), F.col("first"))).alias("sure"), F.min(F.when(~F.col("alone"), F.col("first"))).alias("other"), F.first("top").alias("top"))
+    unsure = unsure.filter("other IS NOT NULL AND (sure IS NULL OR other < sure)").select("k", "key", F.coalesce("sure", "top").alias("top"))
+    keys = each(later_seqs, ("b", "n", "open"), keys_of_later, "key:bigint").join(tops, "k").union(unsure)
+    of_earlier = each(few, ("a", "n", "open", "few"), keys_of_earlier, "key:bigint").select("key", F.col("k").alias("first"))
+    pairs = keys.join(of_earlier, "key").filter("first < top").select("first", "k").union(tried.select("first", "k")).distinct()
+
+    def cut_places(a: list[int | None], b: list[int | None], n: list[int]) -> list[tuple[int]]:
+        return [(x,) for x in removed(a, ["" if x is None else x for x in b], n, min_chars)]
+
+    sides = pairs.join(a, "first").join(later_seqs.select("k", "b", "n"), "k")
+    at = each(sides, ("a", "b", "n"), cut_places, "at:int", ids=("k", "first")).groupBy("k", "at").agg(F.min("first").alias("first"))
+    at = at.groupBy("k").agg(F.collect_list(F.struct("at", "first")).alias("cuts")).join(later_seqs.select("k", "sig"), "k").drop("k")
+    found = members.join(at, "sig").select("k", "places", F.explode("cuts").alias("c")).filter("c.first < k").select(
+        "k", F.col("c.first").alias("first"), F.get("places", F.col("c.at")).alias("at"))
+    found = saved(found.join(rare.withColumn("rare", F.lit(True)), ["first", "k"], "left"), "found")
+    cuts = cuts.union(found.filter("rare IS NULL").select("k", "at")).distinct()
+    doubtful = found.filter("rare").join(cuts, ["k", "at"], "left_anti").select("k").distinct().join(left, "k")
+    doubtful = doubtful.join(held.withColumnRenamed("k", "first"), "run").filter("first < k").select("first", "k").distinct()
+    return cuts.union(all_cuts(doubtful)).distinct()

@@ -277,7 +277,10 @@ def test_line_dedup(spark, odd, clash, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
-def test_line_dedup_equals_all_pairs(spark):
+@pytest.mark.parametrize("rare", [0, 3, line_dedup.RARE])
+def test_line_dedup_equals_all_pairs(spark, monkeypatch, rare):
+    """With few rare lines most pairs go by their frequent lines, or must be looked at again as they share a rare one."""
+    monkeypatch.setattr(line_dedup, "RARE", rare)
     r = random.Random(9)
     pool = ["", "}", "a b", "x", "short 1"] + ["a line of more than ten characters %d" % i for i in range(12)]
     texts = ["\n".join(r.choice(pool) if r.random() < 0.8 else "own %d of this text only" % r.randrange(10**9) for _ in range(r.randint(1, 9))) for _ in range(150)]
@@ -285,6 +288,9 @@ def test_line_dedup_equals_all_pairs(spark):
     # the first holders have the lines of the block in another order
     texts += ["\n".join(x) for x in ([block[1], "u" * 20], [block[0], "v" * 20, block[1]], ["w" * 20, *block], [*block, "z" * 20, *reversed(block)], ["}", "a b"] * 8 + ["q" * 20, "}", "a b", "}"] * 3)]
     texts.append("\n".join(pool[5:][::-1]))
+    # a frequent line held twice, which only some of its holders align a second time, with rare lines in between
+    hot, rares = "the line that everybody has", ["a rare line of its own %d" % i for i in range(9)]
+    texts += ["\n".join([hot, *r.sample([*rares, *pool[5:8]], r.randint(0, 3)), *([hot] if r.random() < 0.6 else [])]) for _ in range(60)]
     rows = list(enumerate(texts))
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
     got = {g.doc_id: g.text for g in line_dedup.dedup_lines(docs).collect()}
