@@ -165,10 +165,17 @@ query("sa3_chi_square", FLG + ", ce AS (SELECT indicator_name, structure AS grp,
       " x2 AS (SELECT indicator_name, sum(CASE WHEN kr = 2 AND kc = 2 THEN (g - least(0.5, g)) ** 2 ELSE g * g END / e) AS chi2, max(kr) AS kr, max(kc) AS kc, max(n) AS n FROM ex GROUP BY 1 HAVING max(kr) >= 2 AND max(kc) >= 2)"
       " SELECT indicator_name, round(chi2, 6) AS chi2, (kr - 1) * (kc - 1) AS dof, round(sqrt(chi2 / (n * least(kr - 1, kc - 1))), 6) AS cramers_v FROM x2")(
     lambda spark, sf: rounded(S.chi_square(flagged(spark, sf)).select("indicator_name", "chi2", "dof", "cramers_v")))
-query("sa4_mutual_information", FLG + ", kn AS (SELECT indicator_name, has, r3 AS y FROM fl WHERE r3 IS NOT NULL), q AS (SELECT indicator_name, quantile_cont(y, [0.25, 0.5, 0.75]) AS q FROM kn GROUP BY 1),"
-      " b AS (SELECT kn.*, len(list_filter(q, lambda z: z < y)) AS bin FROM kn JOIN q USING (indicator_name)), c AS (SELECT indicator_name, has, bin, count(*)::DOUBLE AS n FROM b GROUP BY ALL),"
-      " d AS (SELECT *, sum(n) OVER (PARTITION BY indicator_name, has) AS a, sum(n) OVER (PARTITION BY indicator_name, bin) AS e, sum(n) OVER (PARTITION BY indicator_name) AS t FROM c)"
-      " SELECT indicator_name, round(sum(n / t * ln(n * t / (a * e))), 6) AS mutual_info, max(t)::BIGINT AS observations FROM d GROUP BY 1")(
+def psi(x: str) -> str:
+    return f"(ln({x} + 6) - 1 / (2.0 * ({x} + 6)) - 1 / (12.0 * ({x} + 6) ** 2) + 1 / (120.0 * ({x} + 6) ** 4) - 1 / (252.0 * ({x} + 6) ** 6)" + "".join(f" - 1.0 / ({x} + {i})" for i in range(6)) + ")"
+
+
+query("sa4_mutual_information", FLG + ", kn AS (SELECT indicator_name, has, floor(r3 * 1e9)::BIGINT AS y, row_number() OVER () AS id FROM fl WHERE r3 IS NOT NULL AND NOT isnan(r3)),"
+      " ke AS (SELECT *, count(*) OVER (PARTITION BY indicator_name, has) AS size FROM kn QUALIFY size > 1),"
+      " ds AS (SELECT a.indicator_name, a.has, a.id, a.y, a.size, list_sort(list(abs(b.y - a.y))) AS d FROM ke a JOIN ke b ON b.indicator_name = a.indicator_name"
+      " AND b.has = a.has AND b.id <> a.id GROUP BY ALL), nb AS (SELECT indicator_name, has, id, y, size, least(3, size - 1) AS k, d[least(3, size - 1)] AS r FROM ds),"
+      " mm AS (SELECT nb.indicator_name, nb.id, nb.size, CASE WHEN nb.r = 0 THEN count(*) FILTER (b.has = nb.has) ELSE nb.k END AS k, count(*) AS m FROM nb JOIN ke b ON b.indicator_name = nb.indicator_name"
+      " AND (abs(b.y - nb.y) < nb.r OR b.y = nb.y) GROUP BY nb.indicator_name, nb.id, nb.size, nb.r, nb.k), su AS (SELECT indicator_name, count(*) AS n, avg(" + psi("k") + " - " + psi("size") + " - " + psi("m") + ") AS s FROM mm GROUP BY 1)"
+      " SELECT indicator_name, round(greatest(0.0, " + psi("n") + " + s), 6) AS mutual_info, n::BIGINT AS observations FROM su")(
     lambda spark, sf: rounded(S.mutual_information(flagged(spark, sf))))
 query("sa5_distance_correlation", FLG + ", kn AS (SELECT indicator_name, instance_id, has, r3 AS y FROM fl WHERE r3 IS NOT NULL),"
       " pw AS (SELECT a.indicator_name, a.instance_id AS i, abs(a.has - b.has)::DOUBLE AS dx, abs(a.y - b.y) AS dy FROM kn a JOIN kn b USING (indicator_name)),"

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.tails import chi2_sf, f_sf, normal_two_sided, t_two_sided
 from barloom.operators.blocks import BLOCK_ROWS, SERIES, core_rows, number_rows, to_blocks
-from barloom.operators.quantiles import grouped_quantiles, with_prefix_counts
+from barloom.operators.quantiles import with_prefix_counts
 from barloom.session import cut_lineage
 
 EXCLUDED_TIMEFRAMES = ("1m",)
@@ -146,17 +146,51 @@ def chi_square(fl: DataFrame) -> DataFrame:
     return s.select("indicator_name", "chi2", "dof", chi2_sf(F.col("chi2"), F.col("dof")).alias("p_value"), v.alias("cramers_v"))
 
 
-def mutual_information(fl: DataFrame, bins: int = 4) -> DataFrame:
-    """Plug-in mutual information (nats) of presence and the outcome cut at its exact quantiles."""
-    known = fl.where("outcome is not null")
-    cuts = grouped_quantiles(known, ["indicator_name"], ["outcome"], [i / bins for i in range(1, bins)])
-    cuts = cuts.groupBy("indicator_name").agg(F.array_sort(F.collect_list("value")).alias("_q"))
-    x = known.join(cuts, "indicator_name").withColumn("bin", F.size(F.filter("_q", lambda q: q < F.col("outcome"))))
-    c = x.groupBy("indicator_name", "has", "bin").agg(F.count(F.lit(1)).alias("n"))
-    by = lambda *k: F.sum("n").over(Window.partitionBy("indicator_name", *k))
-    c = c.withColumns({"a": by("has"), "b": by("bin"), "t": by()})
-    return c.groupBy("indicator_name").agg(F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("a") * F.col("b")))).alias("mutual_info"),
-                                           F.max("t").alias("observations"))
+def digamma(x: Column) -> Column:
+    """The digamma function of a positive number: six steps of its recurrence, then the asymptotic series."""
+    x = x.cast("double")
+    y = x + 6
+    series = F.ln(y) - 1 / (2 * y) - 1 / (12 * y**2) + 1 / (120 * y**4) - 1 / (252 * y**6)
+    return reduce(lambda a, i: a - 1 / (x + i), range(6), series)
+
+
+def _radius(values: DataFrame, keys: list[str], k: int, block: int) -> DataFrame:
+    """Adds ``r``, the distance of each distinct value (with its count ``n``) to the nearest point but ``k - 1`` of its group, itself left out.
+
+    Distinct values are cut into blocks by position and lend ``k`` of their own to the neighbouring blocks, so no group is ordered in one task.
+    """
+    at = with_prefix_counts(values.withColumn("_one", F.lit(1)), keys, n="_one").withColumnRenamed("below", "_at").drop("total", "_one")
+    own, low, high = ((F.floor((F.col("_at") + d) / block)).cast("long") for d in (0, -k, k))
+    lent = at.withColumn("_own", own).withColumn("_block", F.explode(F.array_distinct(F.array(own, low, high))))
+    near = F.collect_list(F.struct("value", "n")).over(Window.partitionBy(*keys, "_block").orderBy("value").rowsBetween(-k, k))
+    away = F.flatten(F.transform("_near", lambda s: F.array_repeat(F.abs(s["value"] - F.col("value")), F.least(s["n"], F.lit(k + 1)).cast("int"))))
+    # the first entry is the point itself
+    return lent.withColumn("_near", near).where("_own = _block").withColumn("r", F.get(F.array_sort(away), F.col("k"))).drop("_at", "_own", "_block", "_near")
+
+
+def mutual_information(fl: DataFrame, neighbours: int = 3, block: int = 32_768) -> DataFrame:
+    """Mutual information (nats) of presence and outcome by the distance to the third nearest neighbour of the same presence.
+
+    psi(N) + mean psi(k) - mean psi(points of the same presence) - mean psi(points nearer than the k-th neighbour, itself and equal ones
+    included), at least 0. Outcomes that are null or not finite do not count; the others are taken in whole billionths, so distances and
+    ties are exact. ``k`` is smaller where fewer than four instances share the presence, and it is the number of equal points of the
+    presence where the distance is 0. A presence of one instance is left out of everything; an indicator with no other has no row.
+    """
+    keys = ["indicator_name", "has"]
+    values = fl.where("abs(outcome) < double('infinity')").groupBy(*keys, F.floor(F.col("outcome") * 1e9).cast("long").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = values.groupBy(*keys).agg(F.sum("n").alias("size")).where("size > 1").withColumn("k", F.least(F.lit(neighbours), F.col("size") - 1).cast("int"))
+    values = cut_lineage(values.join(sizes, keys))
+    inside = F.greatest(F.col("r") - 1, F.lit(0))
+    points = cut_lineage(_radius(values, keys, neighbours, block).withColumn("lo", F.col("value") - inside).withColumn("hi", F.col("value") + inside + 1))
+    asked = points.select("indicator_name", F.explode(F.array("lo", "hi")).alias("value"), F.lit(0).cast("long").alias("n"))
+    pooled = values.select("indicator_name", "value", "n").union(asked).groupBy("indicator_name", "value").agg(F.sum("n").alias("n"))
+    ranks = cut_lineage(with_prefix_counts(pooled, ["indicator_name"]).select("indicator_name", "value", "below"))
+    for bound in ("lo", "hi"):
+        points = points.join(ranks.select("indicator_name", F.col("value").alias(bound), F.col("below").alias(f"_{bound}")), ["indicator_name", bound])
+    k = F.when(F.col("r") == 0, F.col("n")).otherwise(F.col("k"))
+    term = digamma(k) - digamma(F.col("size")) - digamma(F.col("_hi") - F.col("_lo"))
+    out = points.groupBy("indicator_name").agg(F.sum(F.col("n") * term).alias("_s"), F.sum("n").alias("observations"))
+    return out.select("indicator_name", F.greatest(F.lit(0.0), digamma(F.col("observations")) + F.col("_s") / F.col("observations")).alias("mutual_info"), "observations")
 
 
 def _distance_rows(values: DataFrame, keys: list[str]) -> DataFrame:

@@ -31,6 +31,41 @@ def test_distance_correlation_matches_definition(spark):
     assert got == pytest.approx(want, rel=1e-9)
 
 
+def test_mutual_information_matches_definition(spark):
+    """Against all pairs of 2,000 rows, with repeated outcomes, a presence of one row and one of three, at two block sizes."""
+    r = np.random.default_rng(5)
+    has = r.integers(0, 2, 1000)
+    groups = {"linked": (has, has * 0.8 + np.where(r.random(1000) < 0.3, r.integers(-3, 4, 1000) / 2, r.normal(0, 1, 1000))),
+              "free": (r.integers(0, 2, 980), r.normal(0, 1, 980)),
+              "three": (np.array([1, 1, 1] + [0] * 12), np.array([0.5, 0.6, 0.6, *r.normal(0, 1, 12)])),
+              "one": (np.array([1, 0, 0, 0, 0]), np.array([5.0, 1, 2, 2, 4]))}
+    psi = lambda n: sum(1 / i for i in range(1, n)) - 0.5772156649015329
+
+    def want(has, y):
+        y = np.floor(y * 1e9).astype(np.int64)
+        keep = np.array([(has == h).sum() > 1 for h in has])
+        has, y = has[keep], y[keep]
+        total = 0.0
+        for i in range(len(y)):
+            own = np.delete(np.abs(y - y[i]), i)[np.delete(has, i) == has[i]]
+            k = min(3, len(own))
+            d = np.abs(y - y[i])
+            near = np.sort(own)[k - 1]
+            total += psi(k if near else int((own == 0).sum()) + 1) - psi(len(own) + 1) - psi(int(((d < near) | (d == 0)).sum()))
+        return max(0.0, psi(len(y)) + total / len(y)), len(y)
+
+    rows = [(name, int(h), float(v)) for name, (hs, ys) in groups.items() for h, v in zip(hs, ys)]
+    rows += [("free", 1, None), ("free", 0, float("nan")), ("free", 0, float("inf")), ("nothing", 1, None)]
+    df = spark.createDataFrame(rows, "indicator_name string, has int, outcome double")
+    for block in (5, 32_768):
+        got = {x["indicator_name"]: (x["mutual_info"], x["observations"]) for x in S.mutual_information(df, block=block).collect()}
+        assert set(got) == set(groups)
+        for name, (hs, ys) in groups.items():
+            assert got[name] == (pytest.approx(want(hs, ys)[0], abs=1e-9), want(hs, ys)[1]), name
+    assert got["linked"][0] > 0.05 > got["free"][0]
+    assert S.mutual_information(df.where("false")).count() == 0
+
+
 def test_kruskal_known_value(spark):
     rows = [("a", float(v)) for v in (1, 2, 3, 4, 5)] + [("b", float(v)) for v in (6, 7, 8, 9, 10)]
     got = S.kruskal_anova(spark.createDataFrame(rows, "g string, x double"), ["x"], "g", 5).first()
