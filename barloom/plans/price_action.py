@@ -33,7 +33,8 @@ def support_resistance(bars: DataFrame, last: int = 5, gap: float = 0.005, block
     newest = newest.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("_n >= 2")
     w = Window.partitionBy(*keys).orderBy("price", "ts")
     before = F.lag("price").over(w)
-    starts = F.when(before.isNull() | (F.abs(F.col("price") - before) / before > gap), 1).otherwise(0)
+    # the gap to a level of 0 is infinite
+    starts = F.when(F.coalesce(F.try_divide(F.abs(F.col("price") - before), before) > gap, F.lit(True)), 1).otherwise(0)
     cluster = newest.withColumn("_s", starts).withColumn("_g", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return cluster.groupBy(*keys, "_g").agg(F.avg("price").alias("level"), F.count(F.lit(1)).alias("touches")).drop("_g")
 
