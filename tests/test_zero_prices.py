@@ -43,3 +43,8 @@ def matches(spark, folder, name):
 
 def test_levels_next_to_a_level_of_zero(spark, zeros):
     assert any(r[3] == 0 for r in matches(spark, zeros, "pa17_support_resistance"))
+
+
+@pytest.mark.parametrize("name", ["bt1_mask_backtest"])
+def test_returns_from_a_close_of_zero(spark, zeros, name):
+    matches(spark, zeros, name)
