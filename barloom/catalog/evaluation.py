@@ -10,6 +10,7 @@ from barloom.catalog.base import KEYS, bars, bars_cte, load, query, roll, rounde
 from barloom.catalog.discovery import MTF, aligned
 from barloom.catalog.indicators import ATRJ, B, SWALL, step
 from barloom.catalog.patterns import PIV
+from barloom.functions.labels import known_returns
 from barloom.functions.registry import compute
 from barloom.functions.states import state_table
 from barloom.plans import backtest as BT
@@ -25,7 +26,7 @@ ROWS = [step("r0", {"m": roll("avg", "close", 20), **{f"f{h}": RET.replace("{0}"
 
 
 def sided(spark, sf, extra=("future_return_5",)):
-    return state_table(bars(spark, sf), ["sma_20"], extra=list(extra)).withColumnRenamed("state_sma_20", "side")
+    return known_returns(state_table(bars(spark, sf), ["sma_20"], extra=list(extra))).withColumnRenamed("state_sma_20", "side")
 
 
 AGG = ("count(*) AS signals, sum(CASE WHEN r > 0 THEN 1 ELSE 0 END)::BIGINT AS wins, round(avg(r), 4) AS avg_return, round(coalesce(avg(CASE WHEN r > 0 THEN r END), 0), 4) AS avg_win,"
@@ -146,7 +147,7 @@ POOL = f"WITH {B}, {', '.join(ROWS)}, g AS (SELECT pair, 'h' || hour(ts) AS setu
 
 def pool(spark, sf):
     r = F.col("future_return_5")
-    return compute(bars(spark, sf), ["future_return_5"]).where(r.isNotNull()).groupBy("pair", F.concat(F.lit("h"), F.hour("ts")).alias("setup")).agg(
+    return known_returns(compute(bars(spark, sf), ["future_return_5"])).where(r.isNotNull()).groupBy("pair", F.concat(F.lit("h"), F.hour("ts")).alias("setup")).agg(
         F.count(r).alias("n"), F.sum((r > 0).cast("int")).alias("w"), F.avg((r > 0).cast("int")).alias("wr"))
 
 
@@ -188,7 +189,7 @@ _TRIO = (f"WITH {B}, {step('q', {'m': roll('avg', 'close', 20), 'c10': 'lag(clos
 
 
 def trio(spark, sf):
-    x = state_table(bars(spark, sf), ["sma_20", "roc", "bop"], extra=["future_return_5"])
+    x = known_returns(state_table(bars(spark, sf), ["sma_20", "roc", "bop"], extra=["future_return_5"]))
     r = F.col("future_return_5")
     return x.select(*[F.when(F.col(f"state_{s}") != 0, F.col(f"state_{s}") * r).alias(n) for n, s in (("sma", "sma_20"), ("roc", "roc"), ("bop", "bop"))])
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.catalog.base import KEYS, bars, query, rounded
 from barloom.catalog.indicators import ADX, B, SW
+from barloom.functions.labels import known_returns
 from barloom.functions.registry import compute
 from barloom.plans import discovery as D
 from barloom.plans import exports as X
@@ -131,4 +132,4 @@ def _types(spark, sf):
 _ahead = lambda h: f"(lead(close, {h}) OVER (PARTITION BY pair, timeframe ORDER BY ts) / nullif(close, 0) - 1) * 100"
 query("exp10_regime_returns", MS + f", f AS (SELECT r, {', '.join(f'{_ahead(h)} AS f{h}' for h in (24, 72, 168))} FROM t) SELECT r AS regime_type, count(*) AS bars, "
       + ", ".join(f"round(avg(f{h}), 6) AS return_{h}, round(avg(CASE WHEN f{h} IS NOT NULL THEN CASE WHEN f{h} > 0 THEN 1.0 ELSE 0.0 END END), 6) AS win_rate_{h}" for h in (24, 72, 168)) + " FROM f GROUP BY r")(
-    lambda spark, sf: rounded(X.regime_returns(compute(bars(spark, sf), ["market_structure", *[f"future_return_{h}" for h in (24, 72, 168)]]), "market_structure")))
+    lambda spark, sf: rounded(X.regime_returns(known_returns(compute(bars(spark, sf), ["market_structure", *[f"future_return_{h}" for h in (24, 72, 168)]])), "market_structure")))

@@ -11,6 +11,7 @@ from barloom.catalog.indicators import (
     ADX, B, BB, CLV, CUM, DC, ET, FIBSQL, MACD, MFI, OBV, RSI, STOCH, SWALL, VORTEX, feature_query, fl, lastv, roc, step,
 )
 from barloom.functions.charts import FRAME_PATTERNS, PEAK_PATTERNS, TROUGH_PATTERNS
+from barloom.functions.labels import known_returns
 from barloom.functions.registry import compute
 from barloom.functions.states import all_signals, state_table, unmapped_features
 from barloom.plans.price_action import price_structure, structure_score, support_resistance
@@ -263,7 +264,9 @@ feature_query("lb1_forward_labels", [x for h in (1, 5, 24) for x in (f"future_re
                   for h in (1, 5, 24)) + " FROM l0")
 feature_query("lb3_log_forward", ["log_forward_return", "abs_log_forward_return"],
               sql_select([B], {"log_forward_return": f"ln({ahead(1)} / close)", "abs_log_forward_return": f"abs(ln({ahead(1)} / close))"}))
-feature_query("lb4_excursions", ["max_favorable_excursion_1d", "max_adverse_excursion_1d", "future_return_24", "future_return_72", "future_return_168"],
-              sql_select([B], {"max_favorable_excursion_1d": f"(max(high) {over(0, 23)} - close) / nullif(close, 0) * 100",
-                               "max_adverse_excursion_1d": f"(min(low) {over(0, 23)} - close) / nullif(close, 0) * 100",
-                               **{f"future_return_{h}": f"({ahead(h)} / nullif(close, 0) - 1) * 100" for h in (24, 72, 168)}}))
+EXCURSIONS = ["max_favorable_excursion_1d", "max_adverse_excursion_1d", "future_return_24", "future_return_72", "future_return_168"]
+query("lb4_excursions", sql_select([B], {
+    "max_favorable_excursion_1d": f"(max(high) {over(0, 23)} - close) / nullif(close, 0) * 100",
+    "max_adverse_excursion_1d": f"(min(low) {over(0, 23)} - close) / nullif(close, 0) * 100",
+    **{f"future_return_{h}": f"({ahead(h)} / nullif(close, 0) - 1) * 100" for h in (24, 72, 168)}}))(
+    lambda spark, sf: rounded(known_returns(compute(bars(spark, sf), EXCURSIONS)).select(*KEYS, *EXCURSIONS)))

@@ -9,6 +9,7 @@ from barloom.session import scratch
 
 from barloom.catalog.base import KEYS, bars, bars_cte, load, prev, query, roll, rounded
 from barloom.catalog.indicators import B, RSI, roc, step
+from barloom.functions.labels import known_returns
 from barloom.functions.registry import BASE, REGISTRY, compute
 from barloom.operators.quantiles import grouped_quantiles
 from barloom.sources import store
@@ -136,7 +137,7 @@ query("ag5_returns_with_median", f"WITH {B}, {LBL} SELECT pair, timeframe, count
 
 
 def _ag5(spark, sf):
-    df = compute(bars(spark, sf), ["future_return_5"])
+    df = known_returns(compute(bars(spark, sf), ["future_return_5"]))
     r = F.col("future_return_5")
     g = df.groupBy("pair", "timeframe").agg(F.count(r).alias("n"), F.round(F.avg(r), 4).alias("mean_return"), F.round(F.stddev_samp(r), 4).alias("std_return"),
                                             F.round(F.avg((r > 0).cast("int")), 6).alias("win_rate"))
@@ -240,7 +241,7 @@ query("tk3_deduplicated_top", f"WITH {B}, {LBL}, g AS (SELECT pair, hour(ts) AS
 def _tk3(spark, sf):
     from barloom.plans.reports import top_strategies
 
-    df = compute(bars(spark, sf), ["future_return_5"]).where("future_return_5 is not null")
+    df = known_returns(compute(bars(spark, sf), ["future_return_5"])).where("future_return_5 is not null")
     g = df.groupBy("pair", F.hour("ts").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("future_return_5") > 0).cast("int")).alias("win_rate"))
     return rounded(top_strategies(g, "win_rate", "n", ["pair", "h"], 20, 0))
 

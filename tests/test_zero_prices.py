@@ -45,6 +45,6 @@ def test_levels_next_to_a_level_of_zero(spark, zeros):
     assert any(r[3] == 0 for r in matches(spark, zeros, "pa17_support_resistance"))
 
 
-@pytest.mark.parametrize("name", ["bt1_mask_backtest"])
+@pytest.mark.parametrize("name", ["bt1_mask_backtest", "jn1_mtf_states", "lb1_forward_labels", "lb4_excursions", "ag5_returns_with_median"])
 def test_returns_from_a_close_of_zero(spark, zeros, name):
     matches(spark, zeros, name)
