@@ -57,9 +57,17 @@ def _bar_regime():
 
 native("bar_regime", ["adx", "volatility_class", "is_transition"], _bar_regime, group=G)
 
-# Window features of the last 33 bars: Parkinson volatility and the slope of the scaled closes.
+# Window features of the last 33 bars: Parkinson volatility and the slope of the scaled closes. A price of 0 has the logarithm
+# -infinity, so such windows have an infinite volatility and no slope (NaN).
 WINDOW = 33
-native("_hl_log2", ["high", "low"], lambda: F.pow(F.ln(div("high", "low")), 2))
+
+
+def _log(price: str):
+    p = F.col(price)
+    return F.when(p == 0, F.lit(float("-inf"))).when(p < 0, F.lit(float("nan"))).otherwise(F.ln(p))
+
+
+native("_hl_log2", ["high", "low"], lambda: F.pow(F.when(F.col("low") > 0, F.ln(div("high", "low"))).otherwise(_log("high") - _log("low")), 2))
 native("parkinson_vol", ["_hl_log2"],
        lambda: F.when(F.count("_hl_log2").over(trailing(WINDOW)) == WINDOW,
                       F.sqrt(F.avg("_hl_log2").over(trailing(WINDOW)) / F.lit(2.772588722239781)) * 100), back=WINDOW, group=G)
@@ -70,6 +78,6 @@ native("robust_slope", ["close", "_quartiles33"],
                           F.col("_quartiles33")[1] - F.col("_quartiles33")[0]) * 100), back=WINDOW, group=G)
 native("log_slope", ["close"],
        lambda: F.when(F.count("close").over(trailing(WINDOW)) == WINDOW,
-                      F.regr_slope(F.ln("close"), F.col("_i").cast("double")).over(trailing(WINDOW)) * 100), back=WINDOW, group=G)
+                      F.regr_slope(_log("close"), F.col("_i").cast("double")).over(trailing(WINDOW)) * 100), back=WINDOW, group=G)
 native("_slope10", ["close"], lambda: F.regr_slope("close", F.col("_i").cast("double")).over(span(-5, 4)), back=5, ahead=4)
 native("_gradient10", ["_pct_diff"], lambda: F.avg("_pct_diff").over(span(-5, 4)), back=5, ahead=4)

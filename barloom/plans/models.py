@@ -130,9 +130,16 @@ def next_regime(swings: DataFrame, regimes: DataFrame, trees: int = 100, depth:
 WINDOW_FEATURES = ("parkinson_vol", "robust_slope", "log_slope")
 
 
+def complete(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Rows whose features are all finite numbers; windows with a price of 0 have none."""
+    for c in features:
+        rows = rows.where(F.abs(c) < float("inf"))
+    return rows
+
+
 def fit_window_model(rows: DataFrame, features: Sequence[str] = WINDOW_FEATURES, k: int = 3, variance: float = 0.95, restarts: int = 3, seed: int = 42) -> PipelineModel:
     """Scaling, components for 95 % of the variance, then the likeliest of several Gaussian mixtures."""
-    clean = rows.na.drop(subset=list(features))
+    clean = complete(rows, features)
     base = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True)]).fit(clean)
     scaled = base.transform(clean)
     full = PCA(k=len(features), inputCol="scaled", outputCol="pc").fit(scaled)
@@ -146,7 +153,7 @@ def fit_window_model(rows: DataFrame, features: Sequence[str] = WINDOW_FEATURES,
 
 def predict_windows(model: PipelineModel, rows: DataFrame, features: Sequence[str] = WINDOW_FEATURES, sort_by: str | None = None) -> DataFrame:
     """Clusters renumbered by their mean of the first feature, with the probability of the chosen one."""
-    p = cut_lineage(model.transform(rows.na.drop(subset=list(features))).withColumn("confidence", F.array_max(vector_to_array("probability"))).drop("raw", "scaled", "pc", "probability"))
+    p = cut_lineage(model.transform(complete(rows, features)).withColumn("confidence", F.array_max(vector_to_array("probability"))).drop("raw", "scaled", "pc", "probability"))
     order = p.groupBy("cluster").agg(F.avg(sort_by or features[0]).alias("_m"))
     order = order.select("cluster", (F.row_number().over(Window.orderBy("_m")) - 1).alias("regime"))
     return p.join(order, "cluster").drop("cluster")
@@ -231,7 +238,7 @@ def walk_forward_windows(rows: DataFrame, train: int = 500, test: int = 100, k:
     trains = F.when(final >= first, F.sequence(first, final)).otherwise(F.array().cast("array<bigint>"))
     parts = F.concat(F.transform(trains, lambda f: F.struct(f.alias("fold"), F.lit(False).alias("_test"))),
                      F.when(own.isNotNull(), F.array(F.struct(own.alias("fold"), F.lit(True).alias("_test")))).otherwise(F.array().cast("array<struct<fold: bigint, _test: boolean>>")))
-    x = n.na.drop(subset=features).join(last, list(SERIES)).withColumn("_p", F.explode(parts)).select(*keep, "_rn", "_p.fold", "_p._test")
+    x = complete(n, features).join(last, list(SERIES)).withColumn("_p", F.explode(parts)).select(*keep, "_rn", "_p.fold", "_p._test")
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep) + ", fold bigint, regime int, confidence double"
     return x.groupBy(*SERIES, "fold").applyInPandas(_fold(features, keep, k, starts, variance, seed), schema)
 

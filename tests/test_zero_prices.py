@@ -48,3 +48,7 @@ def test_levels_next_to_a_level_of_zero(spark, zeros):
 @pytest.mark.parametrize("name", ["bt1_mask_backtest", "jn1_mtf_states", "lb1_forward_labels", "lb4_excursions", "ag5_returns_with_median"])
 def test_returns_from_a_close_of_zero(spark, zeros, name):
     matches(spark, zeros, name)
+
+
+def test_windows_with_a_price_of_zero(spark, zeros):
+    assert any(r[3] == math.inf for r in matches(spark, zeros, "rm28_window_features"))
