@@ -159,6 +159,17 @@ def curve(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1.0) ->
     return w
 
 
+def with_labels(texts: DataFrame, train: DataFrame, folds: int, held: int) -> DataFrame:
+    """(text, label) of all of ``texts``: the label from ``train``, null for rows without one.
+
+    Held-out rows and rows without an id have no label and stay where they are; the others meet the labels by a merge join at any
+    size, so what is moved is the same share of the texts on a small and on a large table.
+    """
+    apart = F.coalesce(fold("__id", folds) == held, F.lit(True))
+    found = texts.filter(~apart).join(train.hint("merge"), F.col("__id") == F.col("id"), "left").select("text", "label")
+    return found.unionAll(texts.filter(apart).select("text", F.lit(None).cast(train.schema["label"].dataType).alias("label")))
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", folds: int = 4, held: int = 2, threshold: float = 0.3, max_fit: int = 20_000) -> DataFrame:
     """doc_id, held_out, score, predicted; ``labels`` has doc_id and toxic."""
     small_batches(docs.sparkSession)
@@ -166,8 +177,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", doc_
     # at most max_fit rows of one training row in four fit the curve, on ratios of counts without them; the final ratios count every training row
     fits = train.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(4)) == 0).orderBy(F.xxhash64("id", F.lit(9)), "id").limit(max_fit)
     texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text"))
-    rows = count_rows(texts.join(train, F.col("__id") == F.col("id"), "left")).toPandas().sort_values("code")
-    fitting = saved(texts.join(fits, F.col("__id") == F.col("id")), "fitting")
+    rows = count_rows(with_labels(texts, train, folds, held)).toPandas().sort_values("code")
+    fitting = saved(texts.join(F.broadcast(fits), F.col("__id") == F.col("id")), "fitting")
     less = count_rows(fitting).toPandas().set_index("code").reindex(rows["code"], fill_value=0)
     code, toxic, ordinary = rows["code"].to_numpy(np.int64), rows["toxic"].to_numpy(float), rows["ordinary"].to_numpy(float)
     without = ratios(code, toxic - less["toxic"].to_numpy(float), ordinary - less["ordinary"].to_numpy(float))
