@@ -398,8 +398,25 @@ def transition_indicators(instances: DataFrame, indicators: DataFrame, top: int
     return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
+def exact_mean(x: Column) -> Column:
+    """Mean of a double column that does not depend on the order of its rows, so that equal sets of values have equal means.
+
+    Values are summed as decimals, to 18 digits behind the point and with room for 1e11 rows; those from 1e27 on, infinities and NaN as doubles.
+    """
+    parts, rest = [], x
+    for limit, scale in ((1e9, 18), (1e18, 9), (1e27, 0)):
+        # NaN is above every number.
+        parts.append(F.try_divide(F.sum(F.when(F.abs(rest) < limit, rest).cast(f"decimal(38,{scale})")), F.count(x)).cast("double"))
+        rest = F.when(F.abs(rest) >= limit, rest)
+    parts.append(F.try_divide(F.sum(rest), F.count(x)))
+    return F.when(F.count(x) > 0, reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0.0)) for p in parts]))
+
+
 def indicator_combinations(instances: DataFrame, size: int = 3, min_n: int = 20, top: int = 20) -> DataFrame:
-    """Returns after instances that share a set of one to ``size`` confirming indicators."""
+    """Returns after instances that share a set of one to ``size`` confirming indicators.
+
+    Combinations of the same instances have the same average and are listed by name.
+    """
     c = F.array_sort(F.array_distinct("confirming_indicators"))
     one = F.transform(c, lambda a: F.array(a))
     grown = [one]
@@ -408,7 +425,7 @@ def indicator_combinations(instances: DataFrame, size: int = 3, min_n: int = 20,
             F.filter(c, lambda x: x > F.element_at(s, -1)), lambda x: F.array_append(s, x)))))
     combos = F.explode(F.concat(*grown)).alias("combo")
     x = instances.select("next_1d_return_pct", "next_3d_return_pct", combos).withColumn("combo", F.concat_ws("+", "combo"))
-    g = x.groupBy("combo").agg(F.count(F.lit(1)).alias("n"), F.avg("next_1d_return_pct").alias("avg_1d"), F.avg("next_3d_return_pct").alias("avg_3d"),
+    g = x.groupBy("combo").agg(F.count(F.lit(1)).alias("n"), exact_mean(F.col("next_1d_return_pct")).alias("avg_1d"), exact_mean(F.col("next_3d_return_pct")).alias("avg_3d"),
                                F.avg(F.when(F.col("next_1d_return_pct") > 0, 1.0).otherwise(0.0)).alias("win_rate"))
     return g.where(F.col("n") >= min_n).orderBy(F.desc("avg_3d"), "combo").limit(top)
 

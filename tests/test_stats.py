@@ -1,4 +1,5 @@
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -96,3 +97,28 @@ def test_permutation_importance(spark):
     one, two = (permutation_importance(df.repartition(k), ["a", "b", "c"], "y", trees=10, depth=4, repeats=5).toPandas().set_index("feature") for k in (1, 5))
     assert one.loc["a", "importance_mean"] > 0.3 and one.loc[["b", "c"], "importance_mean"].abs().max() < 0.1
     assert (one["importance_std"] >= 0).all() and abs(one.loc["a", "importance_mean"] - two.loc["a", "importance_mean"]) < 0.15
+
+
+def test_combinations_of_equal_returns_are_listed_by_name(spark):
+    """The same returns in two orders are one average, of which the first name is kept."""
+    returns = [0.1, 0.2, 0.3]
+    assert (0.1 + 0.2) + 0.3 > (0.3 + 0.2) + 0.1
+    rows = [([n], v, v) for n, vs in (("a", returns[::-1]), ("b", returns)) for v in vs]
+    df = spark.createDataFrame(rows, "confirming_indicators array<string>, next_1d_return_pct double, next_3d_return_pct double").coalesce(1)
+    got = S.indicator_combinations(df, min_n=3, top=1).collect()
+    assert [r["combo"] for r in got] == ["a"]
+    assert (got[0]["avg_1d"], got[0]["avg_3d"]) == (0.2, 0.2)
+
+
+def test_exact_mean(spark):
+    """Equal to the exact mean in any order, for values of very different size; infinities, NaN and missing values as in a plain mean."""
+    r = np.random.default_rng(8)
+    values = (r.normal(0, 1, 400) * 10.0 ** r.integers(-6, 22, 400)).tolist()
+    exact = float(sum(map(Fraction, values)) / len(values))
+    groups = {"up": sorted(values), "down": sorted(values, reverse=True), "inf": [1.0, math.inf, None], "both": [math.inf, -math.inf], "nan": [2.0, math.nan],
+              "none": [None, None], "gap": [1.5, None, 2.5], "huge": [1e300, 1e300], "zero": [0.0]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double").coalesce(1)
+    got = {x["g"]: x["m"] for x in df.groupBy("g").agg(S.exact_mean(F.col("v")).alias("m")).collect()}
+    assert got["up"] == got["down"] == pytest.approx(exact, rel=1e-15)
+    assert got["inf"] == math.inf and math.isnan(got["both"]) and math.isnan(got["nan"]) and got["none"] is None
+    assert (got["gap"], got["huge"], got["zero"]) == (2.0, 1e300, 0.0)
