@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.functions.frames import lag, rstd
+from barloom.functions.frames import lag, lead, rstd
 from barloom.functions.registry import compute, native
 from barloom.operators.blocks import BLOCK_ROWS, SERIES, span
 from barloom.operators.scan import block_scan
@@ -28,6 +28,16 @@ native("seg_momentum", ["rsi", "macd_hist", "ppo"],
        lambda: (F.col("rsi") - 50) / 50 + F.signum("macd_hist") + F.signum("ppo"))
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """``a / b``; by 0 it is infinite, or NaN for 0 by 0."""
+    return F.when(b == 0, a * float("inf")).otherwise(F.try_divide(a, b))
+
+
+for _h in (24, 72, 168):
+    # Unlike the labels, which are 0 there, an outcome after a close of 0 is infinite.
+    native(f"outcome_{_h}", ["close"], lambda h=_h: (ratio(lead("close", h), F.col("close")) - 1) * 100, ahead=_h)
+
+
 def _trigger() -> Column:
     before = lag("seg_volatility")
     jump = (before > 0) & (F.abs(F.col("seg_volatility") - before) / before > VOL_JUMP)
@@ -73,7 +83,7 @@ INDICATORS = ("rsi", "macd_hist", "ppo", "adx", "atr_percent", "bb_width", "obv"
 # ---- end of fixed values ----
 NEEDED = ["swing_high", "swing_low", "rsi", "macd_hist", "ppo", "adx", "atr", "atr_percent", "bb_width", "obv", "seg_trigger",
           "pullback_depth", "pullback_from_high_pct", "failed_pullback_bull", "failed_pullback_bear"]
-OUTCOMES = ["future_return_24", "future_return_72", "future_return_168", "max_favorable_excursion_1d", "max_adverse_excursion_1d"]
+OUTCOMES = ["outcome_24", "outcome_72", "outcome_168", "max_favorable_excursion_1d", "max_adverse_excursion_1d"]
 
 
 def segments(features: DataFrame, min_bars: int = MIN_BARS, max_bars: int = MAX_BARS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -183,8 +193,8 @@ def describe(seg: DataFrame, with_peaks: bool = True) -> DataFrame:
         *[F.sum(c).alias(f"_a_{n}") for n, c in action],
     )
     vol_ratio = F.coalesce(F.try_divide(F.col("volatility_mean"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    moves = F.transform(F.sequence(F.lit(1), F.size("_sw") - 1), lambda i: F.abs(
-        F.get("_sw", i) - F.get("_sw", i - 1)) / F.get("_sw", i - 1) * 100)
+    moves = F.transform(F.sequence(F.lit(1), F.size("_sw") - 1), lambda i: ratio(
+        F.abs(F.get("_sw", i) - F.get("_sw", i - 1)), F.get("_sw", i - 1)) * 100)
     mean_move = F.when(F.size("_sw") > 1, F.aggregate(moves, F.lit(0.0), lambda a, x: a + x) / (F.size("_sw") - 1)).otherwise(0.0)
 
     def counts(side):
@@ -194,8 +204,8 @@ def describe(seg: DataFrame, with_peaks: bool = True) -> DataFrame:
     out = agg.withColumns({
         "instance_id": F.concat_ws("_", "pair", "timeframe", F.date_format("start_time", "yyyyMMdd_HHmm")),
         "duration_hours": (F.unix_seconds("end_time") - F.unix_seconds("start_time")) / 3600.0,
-        "price_change_pct": (F.col("_p1") / F.col("_p0") - 1) * 100, "max_drawdown_pct": (F.col("_lo") / F.col("_p0") - 1) * 100,
-        "max_runup_pct": (F.col("_hi") / F.col("_p0") - 1) * 100, "avg_swing_magnitude_pct": mean_move,
+        "price_change_pct": (ratio(F.col("_p1"), F.col("_p0")) - 1) * 100, "max_drawdown_pct": (ratio(F.col("_lo"), F.col("_p0")) - 1) * 100,
+        "max_runup_pct": (ratio(F.col("_hi"), F.col("_p0")) - 1) * 100, "avg_swing_magnitude_pct": mean_move,
         "dominant_structure": structure_name(F.col("bar_count"), F.col("_slope"), F.coalesce("adx_mean", F.lit(0.0)), vol_ratio),
         "chart_patterns": F.array_compact(F.array(*[F.when(F.col(f"_h_{c}") > 0, F.lit(c)) for c in charts])),
         "price_action_patterns": F.array_compact(F.array(*[F.when(F.col(f"_a_{n}") > 0, F.lit(n)) for n, _ in action])),
@@ -218,12 +228,11 @@ def describe(seg: DataFrame, with_peaks: bool = True) -> DataFrame:
     shape = F.when(st.like("trending_%_strong"), 40).when(st.like("trending_%_moderate"), 25).when(st == "ranging_tight", 20).otherwise(5)
     bulls = (F.when(F.col("rsi_mean") > 50, 1).otherwise(0) + F.when(F.col("macd_hist_mean") > 0, 1).otherwise(0)
              + F.when(F.array_contains("confirming_indicators", "macd_bullish"), 1).otherwise(0))
-    nxt = F.coalesce(F.col("future_return_24"), F.lit(0.0))
+    nxt = F.nanvl(F.coalesce(F.col("outcome_24"), F.lit(0.0)), F.lit(0.0))
     predict = F.when((bulls > 0) & (nxt > 0), F.least(bulls / 3.0 * F.abs(nxt) * 10, F.lit(100.0))).when(
         (bulls == 0) & (nxt < 0), F.least(F.abs(nxt) * 10, F.lit(100.0))).otherwise(0.0)
     out = out.withColumns({"consistency_score": aligned / 2.0 * 30 + steadiness + shape, "predictability_score": predict})
-    out = out.withColumnsRenamed({"future_return_24": "next_1d_return_pct", "future_return_72": "next_3d_return_pct",
-                                  "future_return_168": "next_7d_return_pct"})
+    out = out.withColumnsRenamed({"outcome_24": "next_1d_return_pct", "outcome_72": "next_3d_return_pct", "outcome_168": "next_7d_return_pct"})
     return out.select("instance_id", *[c for c in out.columns if not c.startswith("_") and c != "instance_id"])
 
 

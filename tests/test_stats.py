@@ -122,3 +122,12 @@ def test_exact_mean(spark):
     assert got["up"] == got["down"] == pytest.approx(exact, rel=1e-15)
     assert got["inf"] == math.inf and math.isnan(got["both"]) and math.isnan(got["nan"]) and got["none"] is None
     assert (got["gap"], got["huge"], got["zero"]) == (2.0, 1e300, 0.0)
+
+
+def test_granger_leaves_out_infinite_outcomes(spark):
+    r = np.random.default_rng(9)
+    rows = [("p", "1h", "i", f"2024-01-{1 + i // 24:02d} {i % 24:02d}:00:00", float(v), int(h)) for i, (v, h) in enumerate(zip(r.normal(0, 1, 200), r.integers(0, 2, 200)))]
+    odd = [("p", "1h", "i", f"2024-02-01 {h:02d}:00:00", v, 1) for h, v in enumerate((math.inf, math.nan, None))]
+    schema = "pair string, timeframe string, indicator_name string, start_time string, outcome double, has int"
+    plain, mixed = (S.granger(spark.createDataFrame(x, schema).withColumn("start_time", F.col("start_time").cast("timestamp"))).collect() for x in (rows, rows + odd))
+    assert plain == mixed and len(plain) == 1

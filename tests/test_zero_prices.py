@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -52,3 +53,27 @@ def test_returns_from_a_close_of_zero(spark, zeros, name):
 
 def test_windows_with_a_price_of_zero(spark, zeros):
     assert any(r[3] == math.inf for r in matches(spark, zeros, "rm28_window_features"))
+
+
+@pytest.fixture(scope="module")
+def zero_hours(tmp_path_factory):
+    """Three ticks an hour over 700 hours; one hour in twelve closes at 0 and one in 24 is 0 throughout, at times the first or last of a segment."""
+    r = np.random.default_rng(4)
+    out = []
+    for k, pair in enumerate(TYPES):
+        price = 60 + np.cumsum(r.normal(0, 1.5, (700, 3)).ravel()).reshape(700, 3)
+        price[r.random(700) < 1 / 12, 2] = 0
+        price[r.random(700) < 1 / 24] = 0
+        for i, j in np.ndindex(700, 3):
+            out.append((pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=60 * i + 15 * j + k), pair, round(abs(price[i, j]), 2)))
+    events = pd.DataFrame(out, columns=["ts", "event_type", "value"])
+    events["event_id"], events["user_id"], events["props"] = range(len(events)), 1, '{"k": 3}'
+    folder = tmp_path_factory.mktemp("zero_hours")
+    events["ts"] = events["ts"].astype("datetime64[us]")
+    events[["event_id", "ts", "user_id", "event_type", "value", "props"]].to_parquet(folder / "events.parquet", index=False)
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["rm3_4_identity_and_price", "rm5_14_swings", "jn2_indicator_statistics", "sa14_indicator_combinations"])
+def test_segments_next_to_a_close_of_zero(spark, zero_hours, name):
+    assert any(math.inf in r for r in matches(spark, zero_hours, name))
